@@ -33,7 +33,7 @@ EXPERIMENT = MetricSpec("experiment", ("Year", "Channel", "CustomerType"), **CLI
 EXPERIMENT3 = EXPERIMENT.but(experiment_group="ExperimentGroup3")
 DESCRIPTIVE = MetricSpec(
     "descriptive", ("Year", "Quarter", "Channel", "CustomerType", "Issue", "Outcome"), FILTERS,
-    columns=("Outcome", "Propensity", "FinalPropensity", "Priority", "ResponseTime"),
+    columns=("Outcome", "Propensity", "FinalPropensity", "Priority", "ResponseYears"),
     scores=("Count", "Sum", "Mean", "Median", "p25", "p75", "p90", "p95", "Std", "Var", "Skew"))
 EXACT = DESCRIPTIVE.but(use_sketch=False)
 MODEL = MetricSpec("model_ml_scores", ("Month", "Year", "Quarter", "Channel", "CustomerType"),
@@ -61,6 +61,10 @@ def ih(spark: SparkSession, folder: str) -> DataFrame:
     return fixtures.interactions(spark, folder)
 
 
+def described(spark: SparkSession, folder: str) -> DataFrame:
+    return clean.with_calculated(ih(spark, folder), {"ResponseYears": "ResponseTime / 31536000.0D"})
+
+
 def skilled(spark: SparkSession, folder: str) -> DataFrame:
     """Interactions whose propensity carries information."""
     return ih(spark, folder).withColumn("Propensity", F.col("SkilledPropensity"))
@@ -207,7 +211,7 @@ def snk_agg_table(spark, folder):
 def snk_agg_json(spark, folder):
     target = new_folder(spark, "export")
     counts = engagement.engagement(ih(spark, folder), ENGAGEMENT)
-    sketched = descriptive.descriptive_sketch(ih(spark, folder), DESCRIPTIVE)
+    sketched = descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
     store.export_json({"engagement": counts, "descriptive": sketched}, target)
     read = store.import_json(spark, target, {"engagement": counts.schema, "descriptive": sketched.schema})
     summed = engagement.sum_counts(read["engagement"], ["Channel"])
@@ -435,13 +439,13 @@ def exp_compact(spark, folder):
 def desc_numeric_select(spark, folder):
     items = fixtures.table(spark, folder, "lineitem")
     numbers = descriptive.numeric_columns(items, ["l_quantity", "l_returnflag", "l_tax", "absent"])
-    return items.groupBy("l_returnflag").agg(*[F.round(F.avg(c), 6).alias(f"{c}_Mean") for c in numbers])
+    return items.groupBy("l_returnflag").agg(*[F.round(F.avg(c), 9).alias(f"{c}_Mean") for c in numbers])
 
 
 STATS = ("Sum", "Mean", "Var", "Min", "Max", "Skew", "Median", "p25", "p75", "p90", "p95", "Std")
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     names = [n for n in df.columns if n.rsplit("_", 1)[-1] in STATS]
     return plain_year(round_columns(df, digits, *names))
 
@@ -449,12 +453,12 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 @query
 def desc_agg_exact(spark, folder):
     spec = EXACT.but(group_by=("Year", "Channel", "Outcome"), global_filters=())
-    return _rounded(descriptive.descriptive_exact(ih(spark, folder), spec), 5)
+    return _rounded(descriptive.descriptive_exact(described(spark, folder), spec))
 
 
 @query
 def desc_agg_sketch(spark, folder):
-    stored = descriptive.descriptive_sketch(ih(spark, folder), DESCRIPTIVE)
+    stored = descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
     return _rounded(stored.withColumns({
         f"{c}_n": sketches.size(f"{c}_sketch") for c in ("Propensity", "Priority")
     }).drop(*[c for c in stored.columns if c.endswith("_sketch")]))
@@ -462,22 +466,22 @@ def desc_agg_sketch(spark, folder):
 
 @query
 def desc_compact_moments(spark, folder):
-    stored = descriptive.descriptive_exact(ih(spark, folder), EXACT)
+    stored = descriptive.descriptive_exact(described(spark, folder), EXACT)
     spec = EXACT.but(group_by=("Outcome",), global_filters=("Channel",))
     return _rounded(descriptive.pooled(stored, spec, spec.keys))
 
 
 @query
 def desc_compact_quantiles_exact(spark, folder):
-    stored = descriptive.descriptive_exact(ih(spark, folder), EXACT)
+    stored = descriptive.descriptive_exact(described(spark, folder), EXACT)
     spec = EXACT.but(group_by=("Outcome",), global_filters=("Channel",))
     quantiles = stored.groupBy(*spec.keys).agg(*descriptive.averaged_quantiles(stored, spec))
-    return _rounded(quantiles, 5)
+    return _rounded(quantiles)
 
 
 @query
 def desc_compact_sketch(spark, folder):
-    stored = descriptive.descriptive_sketch(ih(spark, folder), DESCRIPTIVE)
+    stored = descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
     spec = DESCRIPTIVE.but(group_by=("Outcome",), global_filters=("Channel",))
     merged = descriptive.compact_descriptive(stored, spec)
     return merged.select("Outcome", "Channel", sketches.size("Priority_sketch").alias("n"),
@@ -521,7 +525,8 @@ def ml_agg_sketch(spark, folder):
 @query
 def ml_agg_exact(spark, folder):
     rows = ml.scored_rows(skilled(spark, folder), MODEL)
-    exact = ml.exact_binary_metrics(rows, ["Year", "Channel"])
+    cuts = ml.score_cuts(skilled(spark, folder))
+    exact = ml.exact_binary_metrics(rows, ["Year", "Channel"], cuts=cuts)
     return round_columns(plain_year(exact), 8, "roc_auc", "average_precision")
 
 
@@ -542,7 +547,7 @@ def clv_agg(spark, folder):
 
 def _clv_out(df: DataFrame) -> DataFrame:
     dates = {c: F.date_format(c, "yyyy-MM-dd") for c in ("MinPurchasedDate", "MaxPurchasedDate")}
-    return round_columns(df.withColumns(dates), 2, "lifetime_value")
+    return round_columns(df.withColumns(dates), 4, "lifetime_value")
 
 
 def purchases(spark, folder, spec: MetricSpec = PURCHASES) -> DataFrame:
@@ -552,7 +557,7 @@ def purchases(spark, folder, spec: MetricSpec = PURCHASES) -> DataFrame:
 @query
 def clv_contractual(spark, folder):
     made = purchases(spark, folder, PURCHASES.but(model="contractual", group_by=()))
-    return round_columns(_clv_out(made), 2, "recurring_costs")
+    return round_columns(_clv_out(made), 4, "recurring_costs")
 
 
 @query
@@ -635,22 +640,22 @@ def rpt_ml_sketch(spark, folder):
 
 @query
 def rpt_desc_sketch(spark, folder):
-    stored = descriptive.descriptive_sketch(ih(spark, folder), DESCRIPTIVE)
+    stored = descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
     return reports.descriptive_scores(stored, DESCRIPTIVE, ["Channel"])
 
 
 def _descriptive_exact(spark, folder) -> DataFrame:
-    return descriptive.descriptive_exact(ih(spark, folder), EXACT)
+    return descriptive.descriptive_exact(described(spark, folder), EXACT)
 
 
 @query
 def rpt_desc_exact(spark, folder):
-    return _rounded(reports.descriptive_scores(_descriptive_exact(spark, folder), EXACT, ["Channel"]), 5)
+    return _rounded(reports.descriptive_scores(_descriptive_exact(spark, folder), EXACT, ["Channel"]))
 
 
 @query
 def rpt_desc_merge(spark, folder):
-    stored = descriptive.descriptive_sketch(ih(spark, folder), DESCRIPTIVE)
+    stored = descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
     merged = descriptive.merge_sketches_by(stored, DESCRIPTIVE, ["Channel"])
     return merged.select("Channel", *[sketches.size(f"{c}_sketch").alias(f"{c}_n")
                                       for c in DESCRIPTIVE.columns if c != "Outcome"])
@@ -660,6 +665,13 @@ def rfm(spark, folder) -> DataFrame:
     return clv_ops.rfm_summary(purchases(spark, folder), PURCHASES)
 
 
+def stored_rfm(spark, folder) -> DataFrame:
+    """The summary as a written table, for plans that read it several times."""
+    target = new_folder(spark, "rfm_table")
+    rfm(spark, folder).write.parquet(target)
+    return spark.read.parquet(target)
+
+
 def _rfm_out(df: DataFrame) -> DataFrame:
     return round_columns(df, 6, *[c for c in ("monetary_value", "lifetime_value") if c in df.columns])
 
@@ -693,8 +705,8 @@ def grp_ml(spark, folder):
 @query
 def grp_desc(spark, folder):
     spec = EXACT.but(group_by=("Year", "Channel"), global_filters=(), columns=("Outcome", "Priority"))
-    stored = descriptive.descriptive_exact(ih(spark, folder), spec)
-    return _rounded(descriptive.group_descriptive(stored, spec, ["Channel"]), 5)
+    stored = descriptive.descriptive_exact(described(spark, folder), spec)
+    return _rounded(descriptive.group_descriptive(stored, spec, ["Channel"]), 7)
 
 
 @query
@@ -731,10 +743,10 @@ def _two_arms(spark, folder) -> DataFrame:
 
 @query
 def stat_ztest_prop(spark, folder):
-    two, p2 = stats.proportions_ztest("t_pos", "c_pos", "t_n", "c_n")
-    _, p1 = stats.proportions_ztest("t_pos", "c_pos", "t_n", "c_n", two_tailed=False)
-    made = _two_arms(spark, folder).select("Month", two.alias("z_score"), p2.alias("p_two"), p1.alias("p_one"))
-    return round_columns(made, 7, "z_score", "p_two", "p_one")
+    counts = ("t_pos", "c_pos", "t_n", "c_n")
+    two = stats.with_ztest(_two_arms(spark, folder), *counts, p_name="p_two")
+    both = stats.with_ztest(two, *counts, p_name="p_one", two_tailed=False)
+    return round_columns(both.select("Month", "z_score", "p_two", "p_one"), 7, "z_score", "p_two", "p_one")
 
 
 @query
@@ -745,8 +757,8 @@ def stat_ztest_table(spark, folder):
 
 @query
 def stat_gtest_prop(spark, folder):
-    g, p = stats.gtest_proportions("t_pos", "c_pos", "t_n", "c_n")
-    return round_columns(_two_arms(spark, folder).select("Month", g.alias("g_stat"), p.alias("g_p_val")), 6, "g_stat", "g_p_val")
+    tested = stats.with_gtest(_two_arms(spark, folder), "t_pos", "c_pos", "t_n", "c_n")
+    return round_columns(tested.select("Month", "g_stat", "g_p_val"), 6, "g_stat", "g_p_val")
 
 
 def _tests(spark, folder, *names) -> DataFrame:
@@ -773,7 +785,7 @@ def stat_odds_ratio(spark, folder):
 
 
 def _sketched(spark, folder) -> DataFrame:
-    return descriptive.descriptive_sketch(ih(spark, folder), DESCRIPTIVE)
+    return descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
 
 
 @query
@@ -790,7 +802,7 @@ def sk_merge(spark, folder):
 
 @query
 def sk_quantile(spark, folder):
-    merged = _sketched(spark, folder).groupBy("Channel").agg(sketches.merge("ResponseTime_sketch").alias("s"))
+    merged = _sketched(spark, folder).groupBy("Channel").agg(sketches.merge("ResponseYears_sketch").alias("s"))
     shares = list(descriptive.SKETCH_QUANTILES.values())
     return merged.select("Channel", sketches.quantile("s", 0.5).alias("median"), sketches.quantiles("s", shares).alias("quantiles"))
 
@@ -899,22 +911,22 @@ def kpi_clv(spark, folder):
 @query
 def tab_boxplot(spark, folder):
     spec = EXACT.but(columns=("Priority",))
-    scored = reports.descriptive_scores(descriptive.descriptive_exact(ih(spark, folder), spec), spec, ["Channel"])
+    scored = reports.descriptive_scores(descriptive.descriptive_exact(described(spark, folder), spec), spec, ["Channel"])
     made = tables.boxplot(scored, "Priority", ["Channel"])
-    return round_columns(made, 5, *[c for c in made.columns if c != "Channel"])
+    return round_columns(made, 9, *[c for c in made.columns if c != "Channel"])
 
 
 @query
 def tab_funnel(spark, folder):
     spec = EXACT.but(columns=("Outcome",))
-    stored = descriptive.descriptive_exact(ih(spark, folder), spec)
+    stored = descriptive.descriptive_exact(described(spark, folder), spec)
     return tables.funnel(stored, "Outcome", ["Pending", "Impression", "Clicked", "Conversion", "Refund"],
                          ["Channel", "CustomerType"])
 
 
 @query
 def tab_histogram(spark, folder):
-    return reports.sketch_histogram(_sketched(spark, folder), DESCRIPTIVE, "ResponseTime", ["Channel"], 100)
+    return reports.sketch_histogram(_sketched(spark, folder), DESCRIPTIVE, "ResponseYears", ["Channel"], 100)
 
 
 @query
@@ -989,7 +1001,7 @@ def clv_exposure(spark, folder):
 
 @query
 def clv_corr(spark, folder):
-    values = rfm(spark, folder)
+    values = stored_rfm(spark, folder)
     made = None
     for x, y, method, facet in (("frequency", "tenure", "pearson", "rfm_segment"),
                                 ("frequency", "monetary_value", "spearman", "rfm_segment"),
@@ -1006,17 +1018,17 @@ def clv_density(spark, folder):
 
 @query
 def clv_bgnbd(spark, folder):
-    return purchase_models.purchases_by_segment(rfm(spark, folder), "bgnbd", 1)
+    return purchase_models.purchases_by_segment(stored_rfm(spark, folder), "bgnbd", 1)
 
 
 @query
 def clv_pareto(spark, folder):
-    return purchase_models.purchases_by_segment(rfm(spark, folder), "pareto", 1)
+    return purchase_models.purchases_by_segment(stored_rfm(spark, folder), "pareto", 1)
 
 
 @query
 def clv_gammagamma(spark, folder):
-    return purchase_models.value_by_segment(rfm(spark, folder), 1)
+    return purchase_models.value_by_segment(stored_rfm(spark, folder), 1)
 
 
 # ---- profiling ----------------------------------------------------------------------------------------------------
@@ -1030,7 +1042,7 @@ def _profile(spark, folder) -> DataFrame:
 def prof_schema(spark, folder):
     made = _profile(spark, folder)
     return round_columns(made.select("column", "unique_count", "most_occurring", "min", "max", "mean", "median"),
-                         6, "min", "max", "mean", "median")
+                         8, "min", "max", "mean", "median")
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outcome_engine.functions.columns import col, ratio, safe_sqrt
@@ -27,83 +27,114 @@ ERFC_FAR_DEN = (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951
 Z_975 = 1.959963984540054
 
 
-def _polynomial(coefficients, x: Column) -> Column:
-    """Horner form, highest power first."""
-    value = F.lit(coefficients[0])
+def _polynomial(coefficients, x: str) -> str:
+    """Horner form, highest power first, as SQL text."""
+    text = f"{coefficients[0]!r}D"
     for c in coefficients[1:]:
-        value = value * x + F.lit(c)
-    return value
+        text = f"({text} * {x} + {c!r}D)"
+    return text
 
 
-def erfc(x: Column | str) -> Column:
-    x = col(x).cast("double")
-    a = F.abs(x)
-    square = a * a
-    near = F.lit(1.0) - a * _polynomial(ERF_SMALL_NUM, square) / _polynomial(ERF_SMALL_DEN, square)
-    mid = F.exp(-square) * _polynomial(ERFC_MID_NUM, a) / _polynomial(ERFC_MID_DEN, a)
-    inverse = ratio(F.lit(1.0), square)
-    tail = inverse * _polynomial(ERFC_FAR_NUM, inverse) / _polynomial(ERFC_FAR_DEN, inverse)
-    far = F.exp(-square) * F.try_divide(F.lit(1.0 / math.sqrt(math.pi)) - tail, a)
-    positive = F.when(a <= 0.46875, near).when(a <= 4.0, mid).otherwise(far)
-    return F.when(x < 0, 2.0 - positive).otherwise(positive)
+def _erfc_text(x: str) -> str:
+    a = f"abs({x})"
+    square = f"({a} * {a})"
+    inverse = f"try_divide(1.0D, {square})"
+    near = f"1.0D - {a} * {_polynomial(ERF_SMALL_NUM, square)} / {_polynomial(ERF_SMALL_DEN, square)}"
+    mid = f"exp(-{square}) * {_polynomial(ERFC_MID_NUM, a)} / {_polynomial(ERFC_MID_DEN, a)}"
+    tail = f"{inverse} * {_polynomial(ERFC_FAR_NUM, inverse)} / {_polynomial(ERFC_FAR_DEN, inverse)}"
+    far = f"exp(-{square}) * try_divide({1.0 / math.sqrt(math.pi)!r}D - {tail}, {a})"
+    positive = f"CASE WHEN {a} <= 0.46875D THEN {near} WHEN {a} <= 4.0D THEN {mid} ELSE {far} END"
+    return f"(CASE WHEN {x} < 0 THEN 2.0D - ({positive}) ELSE {positive} END)"
 
 
-def normal_two_tailed(z: Column | str) -> Column:
-    return erfc(F.abs(col(z)) / F.lit(math.sqrt(2.0)))
+def erfc(x: str) -> Column:
+    """Complementary error function of a SQL expression, e.g. a column name.
 
+    The text form is parsed once in the JVM; built from Column objects it would take hundreds of calls.
+    """
+    return F.expr(_erfc_text(f"CAST({x} AS DOUBLE)"))
+
+
+def normal_two_tailed(z: str) -> Column:
+    return erfc(f"abs({z}) / {math.sqrt(2.0)!r}D")
 
-def chi2_survival(x: Column | str, dof: Column | str | int) -> Column:
-    """P(X > x) for chi-square with integer dof, by the finite recurrence."""
-    x = col(x).cast("double")
-    dof = F.lit(dof) if isinstance(dof, int) else col(dof)
-    half = F.greatest(x, F.lit(0.0)) / 2
+
+def chi2_survival(x: str, dof: str | int) -> Column:
+    """P(X > x) for chi-square with integer dof, by the finite recurrence. x and dof are column names."""
+    half_text = f"(greatest(CAST({x} AS DOUBLE), 0.0D) / 2)"
+    if dof == 1:
+        return erfc(f"sqrt({half_text})")
+    half, dof = F.expr(half_text), col(dof) if isinstance(dof, str) else F.lit(dof)
     steps = F.floor(dof / 2).cast("int")
 
-    def series(first: Column, count: Column, divisor) -> Column:
+    def series(first: Column, divisor) -> Column:
         start = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
         run = F.aggregate(
-            F.sequence(F.lit(1), count), start,
+            F.sequence(F.lit(1), steps), start,
             lambda acc, j: F.struct((acc["term"] * half / divisor(j)).alias("term"),
                                     (acc["sum"] + acc["term"]).alias("sum")),
         )
-        return F.when(count >= 1, run["sum"]).otherwise(F.lit(0.0))
+        return F.when(steps >= 1, run["sum"]).otherwise(F.lit(0.0))
 
-    even = series(F.exp(-half), steps, lambda j: j.cast("double"))
+    even = series(F.exp(-half), lambda j: j.cast("double"))
     odd_first = F.sqrt(half) * F.exp(-half) * F.lit(2.0 / math.sqrt(math.pi))
-    odd = erfc(F.sqrt(half)) + series(odd_first, steps, lambda j: j + F.lit(0.5))
+    odd = erfc(f"sqrt({half_text})") + series(odd_first, lambda j: j + F.lit(0.5))
     value = F.when(dof % 2 == 0, even).otherwise(odd)
-    return F.when(x.isNull() | dof.isNull(), F.lit(None).cast("double")).when(dof <= 0, F.lit(1.0)).otherwise(value)
+    unknown = F.expr(f"{x} IS NULL") | dof.isNull()
+    return F.when(unknown, F.lit(None).cast("double")).when(dof <= 0, F.lit(1.0)).otherwise(value)
+
+
+def _any_zero(*counts: Column) -> Column:
+    zero = F.lit(False)
+    for c in counts:
+        zero = zero | (c == 0)
+    return zero
 
 
-def proportions_ztest(c1, c2, n1, n2, two_tailed: bool = True) -> tuple[Column, Column]:
-    """z and p of two proportions with pooled variance; (0, 0) when any argument is 0.
+def proportions_z(c1, c2, n1, n2) -> Column:
+    """z of two proportions with pooled variance; 0 when any argument is 0.
 
     NULL where the pooled share leaves (0, 1), for then the variance is not positive.
     """
     c1, c2, n1, n2 = (col(c).cast("double") for c in (c1, c2, n1, n2))
     pooled = ratio(c1 + c2, n1 + n2)
     variance = pooled * (1 - pooled) * (ratio(F.lit(1.0), n1) + ratio(F.lit(1.0), n2))
-    any_zero = (c1 == 0) | (c2 == 0) | (n1 == 0) | (n2 == 0)
-    z = F.when(any_zero, F.lit(0.0)).otherwise(
-        ratio(ratio(c1, n1) - ratio(c2, n2), F.when(variance > 0, F.sqrt(variance))))
-    p = normal_two_tailed(z) if two_tailed else normal_two_tailed(z) / 2
-    return z, F.when(any_zero, F.lit(0.0)).otherwise(p)
+    z = ratio(ratio(c1, n1) - ratio(c2, n2), F.when(variance > 0, F.sqrt(variance)))
+    return F.when(_any_zero(c1, c2, n1, n2), F.lit(0.0)).otherwise(z)
+
+
+def with_ztest(df: DataFrame, c1: str, c2: str, n1: str, n2: str, z_name: str = "z_score",
+               p_name: str = "z_p_val", two_tailed: bool = True) -> DataFrame:
+    """Add z and p; both are 0 when any count is 0. Counts are column names.
+
+    z is a column of its own before p is built on it: the tail approximation names its argument many
+    times, and a reference costs nothing where a repeated expression would blow up the plan.
+    """
+    counts = [F.col(c) for c in (c1, c2, n1, n2)]
+    scored = df.withColumn(z_name, proportions_z(c1, c2, n1, n2))
+    p = normal_two_tailed(z_name)
+    return scored.withColumn(p_name, F.when(_any_zero(*counts), F.lit(0.0)).otherwise(p if two_tailed else p / 2))
 
 
 def _observed_log_ratio(observed: Column, expected: Column) -> Column:
     return F.when(observed > 0, observed * F.ln(ratio(observed, expected))).otherwise(F.lit(0.0))
 
 
-def gtest_proportions(c1, c2, n1, n2) -> tuple[Column, Column]:
-    """G and p of two proportions given successes and group sizes; (0, 0) when any argument is 0."""
+def g_proportions(c1, c2, n1, n2) -> Column:
+    """G of two proportions given successes and group sizes; 0 when any argument is 0."""
     c1, c2, n1, n2 = (col(c).cast("double") for c in (c1, c2, n1, n2))
     f1, f2, size = n1 - c1, n2 - c2, n1 + n2
     success, failure = ratio(c1 + c2, size), ratio(f1 + f2, size)
     g = (g_term(c1, n1 * success) + g_term(f1, n1 * failure)
          + g_term(c2, n2 * success) + g_term(f2, n2 * failure))
-    any_zero = (c1 == 0) | (c2 == 0) | (n1 == 0) | (n2 == 0)
-    return (F.when(any_zero, F.lit(0.0)).otherwise(g),
-            F.when(any_zero, F.lit(0.0)).otherwise(chi2_survival(g, 1)))
+    return F.when(_any_zero(c1, c2, n1, n2), F.lit(0.0)).otherwise(g)
+
+
+def with_gtest(df: DataFrame, c1: str, c2: str, n1: str, n2: str) -> DataFrame:
+    """Add g_stat and g_p_val (one degree of freedom); both are 0 when any count is 0."""
+    zero = _any_zero(*[F.col(c) for c in (c1, c2, n1, n2)])
+    scored = df.withColumn("g_stat", g_proportions(c1, c2, n1, n2))
+    return scored.withColumn("g_p_val", F.when(zero, F.lit(0.0)).otherwise(chi2_survival("g_stat", 1)))
 
 
 def chi2_term(observed: Column, expected: Column) -> Column:

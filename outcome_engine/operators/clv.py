@@ -12,6 +12,7 @@ from outcome_engine.functions.columns import count_values, ratio, total
 from outcome_engine.operators.clean import calendar
 from outcome_engine.operators.filters import apply_where
 from outcome_engine.operators.prefix import exact_quantiles
+from outcome_engine.session import cut_lineage
 from outcome_engine.spec import MetricSpec, unique_in_order
 
 # Fixed values: (recency, frequency, monetary) quartile codes of the default segments.
@@ -93,8 +94,10 @@ def quartile(value: str, breaks: Column, reverse: bool = False) -> Column:
 def rfm_quartiles(features: DataFrame) -> DataFrame:
     """Quartiles over the whole frame; recency runs from 4 (most recent) to 1.
 
-    The breaks are exact quantiles of distributed value counts, read as one scalar subquery.
+    The breaks are exact quantiles of distributed value counts, read as one scalar subquery. Three
+    passes read the features (cut points, counts, result), so they are written down first.
     """
+    features = cut_lineage(features)
     names = ("frequency", "monetary_value", "recency")
     found = exact_quantiles(features, [], names, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     packed = found.select(F.array(*[F.array(*[F.col(f"{n}_{q}") for q in ("q1", "q2", "q3")]) for n in names]))

@@ -11,7 +11,7 @@ from outcome_engine.functions import sketches
 from outcome_engine.functions.columns import col, join_on_nullable, ratio, total, weighted_mean
 from outcome_engine.operators.filters import apply_where
 from outcome_engine.operators.labels import LABEL, keep_best_outcome, keep_groups_with_positive, label_outcomes
-from outcome_engine.operators.prefix import prefix_sums
+from outcome_engine.operators.prefix import cut_points, prefix_sums
 from outcome_engine.spec import (ALL, FINAL_PROPENSITY, INTERACTION_ID, NAME, PROPENSITY, SUBJECT_ID,
                                  MetricSpec, unique_in_order)
 
@@ -125,7 +125,8 @@ def model_scores_exact(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     """Count, personalization, novelty, exact AUC and average precision per group."""
     rows = scored_rows(ih, spec)
     summary = rows.groupBy(*spec.keys).agg(F.count("*").alias("Count"))
-    measured = join_on_nullable(summary, exact_binary_metrics(rows, spec.keys), spec.keys, "left")
+    exact = exact_binary_metrics(rows, spec.keys, cuts=score_cuts(ih))
+    measured = join_on_nullable(summary, exact, spec.keys, "left")
     return _with_recommender_scores(measured, rows, spec)
 
 
@@ -139,6 +140,11 @@ def _with_recommender_scores(summary: DataFrame, rows: DataFrame, spec: MetricSp
     return summary
 
 
+def score_cuts(ih: DataFrame, score: str = PROPENSITY) -> list[float]:
+    """Cut points from the raw score column: one pruned scan instead of a second run of the labelling."""
+    return cut_points(ih, [score])[score]
+
+
 def exact_binary_metrics(rows: DataFrame, keys: Sequence[str], score: str = PROPENSITY,
                          cuts: Sequence[float] | None = None) -> DataFrame:
     """Rank-sum AUC (ties count half) and AP = sum of recall steps times precision.

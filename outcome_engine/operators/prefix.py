@@ -105,9 +105,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     return found.groupBy(*keys).agg(*out)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str,
+                  cuts: Sequence[float] | None = None) -> DataFrame:
     """One row per (keys, value) with `rank`: ties share the mean of their positions."""
     counts = df.groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
-    placed = prefix_sums(counts, keys, value, ["__w"])
+    placed = prefix_sums(counts, keys, value, ["__w"], cuts)
     return placed.select(*keys, value, (F.col("__w_before") + (F.col("__w") + 1) / F.lit(2.0)).alias("rank"),
                          F.col("__w").alias("weight"), F.col("__w_total").alias("total"))

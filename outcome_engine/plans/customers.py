@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outcome_engine.functions.columns import col, count_values, join_on_nullable, ratio, total
-from outcome_engine.operators.prefix import average_ranks, prefix_sums
+from outcome_engine.operators.prefix import average_ranks, cut_points, prefix_sums
 from outcome_engine.spec import MetricSpec
 
 AGGREGATES = {"count": lambda c: F.count(c), "sum": lambda c: F.sum(c), "avg": lambda c: F.avg(c),
@@ -75,7 +75,9 @@ def correlation(rfm: DataFrame, x: str, y: str, method: str = "pearson", facet:
 
 
 def _pearson(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return pairs.groupBy(*keys).agg(F.corr("__x", "__y").alias("correlation"))
+    """NULL, not an error, where one side is constant."""
+    spread = F.stddev_pop("__x") * F.stddev_pop("__y")
+    return pairs.groupBy(*keys).agg(ratio(F.covar_pop("__x", "__y"), spread).alias("correlation"))
 
 
 def _cells(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,9 +86,9 @@ def _cells(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _spearman(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pearson correlation of average ranks; the mean rank is known, so no second pass is needed."""
-    cells = _cells(pairs, keys)
+    cuts, cells = cut_points(pairs, ["__x", "__y"]), _cells(pairs, keys)
     for v in ("__x", "__y"):
-        ranked = average_ranks(cells, keys, v, "__n").withColumnRenamed("rank", f"{v}_rank").drop("weight")
+        ranked = average_ranks(cells, keys, v, "__n", cuts[v]).withColumnRenamed("rank", f"{v}_rank").drop("weight")
         cells = join_on_nullable(cells.drop("total"), ranked, [*keys, v])
     middle = (F.col("total") + 1) / F.lit(2.0)
     a, b, n = F.col("__x_rank") - middle, F.col("__y_rank") - middle, F.col("__n").cast("double")
@@ -104,9 +106,9 @@ def _kendall(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     points with bit 0 that lie below and above. Work grows with points x bits; running sums are cut
     into value buckets, so no group is handled by one task.
     """
-    cells = _cells(pairs, keys)
+    cuts, cells = cut_points(pairs, ["__x", "__y"]), _cells(pairs, keys)
     xs = cells.select(*keys, "__x").distinct().withColumn("__one", F.lit(1).cast("long"))
-    ranked = prefix_sums(xs, keys, "__x", ["__one"]).select(*keys, "__x", F.col("__one_before").alias("__r"),
+    ranked = prefix_sums(xs, keys, "__x", ["__one"], cuts["__x"]).select(*keys, "__x", F.col("__one_before").alias("__r"),
                                                             F.col("__one_total").alias("__k"))
     placed = join_on_nullable(cells, ranked, [*keys, "__x"])
     bits = F.ceil(F.log2(F.greatest(F.col("__k"), F.lit(2)).cast("double"))).cast("int")
@@ -123,7 +125,7 @@ def _kendall(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     sums = per_bit.groupBy(*group, "__y").agg(
         F.sum(F.when(F.col("__set") == 0, F.col("__n")).otherwise(0)).alias("__zero"),
         F.sum(F.when(F.col("__set") == 1, F.col("__n")).otherwise(0)).alias("__ones"))
-    run = prefix_sums(sums, group, "__y", ["__zero"])
+    run = prefix_sums(sums, group, "__y", ["__zero"], cuts["__y"])
     ones = F.col("__ones").cast("double")
     below, above = F.col("__zero_before"), F.col("__zero_total") - F.col("__zero_before") - F.col("__zero")
     balance = run.groupBy(*keys).agg(F.sum(ones * (below - above)).alias("__balance"))

@@ -48,16 +48,18 @@ def engagement_scores(stored: DataFrame, group_by: Sequence[str] = (), n_mode: s
         p, n = F.col(f"__{arm}_Positives"), F.col(f"__{arm}_Negatives")
         return ratio(p, p + n)
 
-    sizes = {arm: F.col(f"__{arm}_Negatives") + (F.col(f"__{arm}_Positives") if n_mode == "total" else F.lit(0))
-             for arm in "ct"}
-    z, p = stats.proportions_ztest(F.col("__t_Positives"), F.col("__c_Positives"), sizes["t"], sizes["c"])
+    more = {arm: F.col(f"__{arm}_Positives") if n_mode == "total" else F.lit(0) for arm in "ct"}
     scored = grouped.withColumns({
-        "Lift": F.coalesce(ratio(rate("t") - rate("c"), rate("c")), F.lit(0.0)),
+        **{f"__{arm}_rate": rate(arm) for arm in "ct"},
+        **{f"__{arm}_size": F.col(f"__{arm}_Negatives") + more[arm] for arm in "ct"},
         "CTR": ratio(F.col("Positives"), F.col("Positives") + F.col("Negatives")),
     })
-    return scored.select(*keys, "Negatives", "Positives", "Count", "Lift", "CTR",
-                         standard_error("CTR").alias("StdErr"),
-                         z.alias("Lift_Z_Score"), p.alias("Lift_P_Val"))
+    scored = scored.withColumns({
+        "Lift": F.coalesce(ratio(F.col("__t_rate") - F.col("__c_rate"), F.col("__c_rate")), F.lit(0.0)),
+        "StdErr": standard_error("CTR")})
+    tested = stats.with_ztest(scored, "__t_Positives", "__c_Positives", "__t_size", "__c_size",
+                              "Lift_Z_Score", "Lift_P_Val")
+    return tested.select(*keys, "Negatives", "Positives", "Count", "Lift", "CTR", "StdErr", "Lift_Z_Score", "Lift_P_Val")
 
 
 def conversion_scores(stored: DataFrame, group_by: Sequence[str]) -> DataFrame:
@@ -95,20 +97,22 @@ def experiment_scores(stored: DataFrame, spec: MetricSpec, group_by: Sequence[st
         F.max_by(row, order).alias("__1"), F.min_by(row, order).alias("__2"),
         *[total(m).alias(m) for m in ("Count", "Positives", "Negatives")])
     two = F.col("__dof") == 1
-    odds = stats.odds_ratio("__1.Positives", "__2.Positives", "__1.Negatives", "__2.Negatives")
-    z, z_p = stats.proportions_ztest("__1.Positives", "__2.Positives", "__1.Count", "__2.Count")
 
     def only_two(value):
         return F.when(two, value).otherwise(F.lit(0.0))
 
-    named = {"odds_ratio_stat": odds[0], "odds_ratio_ci_low": odds[1], "odds_ratio_ci_high": odds[2]}
+    first = {f"__{i}_{m}": F.col(f"__{i}.{m}") for i in "12" for m in ("Positives", "Negatives", "Count")}
+    odds = stats.odds_ratio("__1_Positives", "__2_Positives", "__1_Negatives", "__2_Negatives")
+    names = ("odds_ratio_stat", "odds_ratio_ci_low", "odds_ratio_ci_high")
+    scored = grouped.withColumns(first).withColumns({n: only_two(v) for n, v in zip(names, odds)})
+    scored = stats.with_ztest(scored, "__1_Positives", "__2_Positives", "__1_Count", "__2_Count")
     tests = []
     for test in ("chi2", "g"):
         tests += [F.col(f"{test}_stat"), F.col("__dof").alias(f"{test}_dof"),
-                  stats.chi2_survival(F.col(f"{test}_stat"), F.col("__dof")).alias(f"{test}_p_val")]
-        tests += [only_two(v).alias(f"{test}_{name}") for name, v in named.items()]
-    return grouped.select(*keys, *tests, only_two(z).alias("z_score"), only_two(z_p).alias("z_p_val"),
-                          "Count", "Positives", "Negatives")
+                  stats.chi2_survival(f"{test}_stat", "__dof").alias(f"{test}_p_val")]
+        tests += [F.col(n).alias(f"{test}_{n}") for n in names]
+    return scored.select(*keys, *tests, only_two(F.col("z_score")).alias("z_score"),
+                         only_two(F.col("z_p_val")).alias("z_p_val"), "Count", "Positives", "Negatives")
 
 
 CURVES = ("tpr", "fpr", "precision", "recall")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,3 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh, not yet existing path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}_{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several jobs read to the checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
