@@ -86,7 +86,7 @@ def threshold_bin(score: Column | str) -> Column:
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.01), s))
     up = F.ceil(inside * 100)
     here = up - (inside <= (up - 1) / F.lit(100.0)).cast("int") + (inside > up / F.lit(100.0)).cast("int")
-    return F.when(s <= 0, 0).when(s > 1, 101).otherwise(here + 0).cast("int")
+    return F.when(s <= 0, 0).when(s > 1, 101).when(s.isNotNull(), here).cast("int")
 
 
 def calibration_bin(score: Column | str) -> Column:
