@@ -65,6 +65,13 @@ def described(spark: SparkSession, folder: str) -> DataFrame:
     return clean.with_calculated(ih(spark, folder), {"ResponseYears": "ResponseTime / 31536000.0D"})
 
 
+def stored(spark: SparkSession, aggregates: DataFrame) -> DataFrame:
+    """First-level aggregates as a written table: what reports read, once or several times."""
+    target = new_folder(spark, "aggregates")
+    aggregates.write.parquet(target)
+    return spark.read.parquet(target)
+
+
 def skilled(spark: SparkSession, folder: str) -> DataFrame:
     """Interactions whose propensity carries information."""
     return ih(spark, folder).withColumn("Propensity", F.col("SkilledPropensity"))
@@ -306,8 +313,8 @@ def flt_interactive(spark, folder):
 
 @query
 def flt_dimension(spark, folder):
-    stored = engagement.engagement(ih(spark, folder), ENGAGEMENT)
-    kept = filters.filter_dimensions(stored, {"Channel": ["1-URGENT", "5-LOW"], "Year": [1997, 1998],
+    first_level = engagement.engagement(ih(spark, folder), ENGAGEMENT)
+    kept = filters.filter_dimensions(first_level, {"Channel": ["1-URGENT", "5-LOW"], "Year": [1997, 1998],
                                               "CustomerType": [], "Absent": ["x"]})
     return plain_year(engagement.sum_counts(kept, ["Channel", "Year"]))
 
@@ -400,8 +407,8 @@ def eng_agg(spark, folder):
 
 @query
 def eng_compact(spark, folder):
-    stored = engagement.engagement(ih(spark, folder), ENGAGEMENT)
-    return plain_year(engagement.compact_engagement(stored, ENGAGEMENT.but(group_by=("Issue",))))
+    first_level = engagement.engagement(ih(spark, folder), ENGAGEMENT)
+    return plain_year(engagement.compact_engagement(first_level, ENGAGEMENT.but(group_by=("Issue",))))
 
 
 @query
@@ -431,8 +438,8 @@ def exp_agg(spark, folder):
 
 @query
 def exp_compact(spark, folder):
-    stored = engagement.experiment(ih(spark, folder), EXPERIMENT)
-    return engagement.compact_experiment(stored, EXPERIMENT.but(group_by=(), global_filters=("Channel",)))
+    first_level = engagement.experiment(ih(spark, folder), EXPERIMENT)
+    return engagement.compact_experiment(first_level, EXPERIMENT.but(group_by=(), global_filters=("Channel",)))
 
 
 @query
@@ -458,32 +465,30 @@ def desc_agg_exact(spark, folder):
 
 @query
 def desc_agg_sketch(spark, folder):
-    stored = descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
-    return _rounded(stored.withColumns({
+    first_level = descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
+    return _rounded(first_level.withColumns({
         f"{c}_n": sketches.size(f"{c}_sketch") for c in ("Propensity", "Priority")
-    }).drop(*[c for c in stored.columns if c.endswith("_sketch")]))
+    }).drop(*[c for c in first_level.columns if c.endswith("_sketch")]))
 
 
 @query
 def desc_compact_moments(spark, folder):
-    stored = descriptive.descriptive_exact(described(spark, folder), EXACT)
     spec = EXACT.but(group_by=("Outcome",), global_filters=("Channel",))
-    return _rounded(descriptive.pooled(stored, spec, spec.keys))
+    return _rounded(descriptive.pooled(_descriptive_exact(spark, folder), spec, spec.keys))
 
 
 @query
 def desc_compact_quantiles_exact(spark, folder):
-    stored = descriptive.descriptive_exact(described(spark, folder), EXACT)
+    fine = _descriptive_exact(spark, folder)
     spec = EXACT.but(group_by=("Outcome",), global_filters=("Channel",))
-    quantiles = stored.groupBy(*spec.keys).agg(*descriptive.averaged_quantiles(stored, spec))
+    quantiles = fine.groupBy(*spec.keys).agg(*descriptive.averaged_quantiles(fine, spec))
     return _rounded(quantiles)
 
 
 @query
 def desc_compact_sketch(spark, folder):
-    stored = descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
     spec = DESCRIPTIVE.but(group_by=("Outcome",), global_filters=("Channel",))
-    merged = descriptive.compact_descriptive(stored, spec)
+    merged = descriptive.compact_descriptive(_sketched(spark, folder), spec)
     return merged.select("Outcome", "Channel", sketches.size("Priority_sketch").alias("n"),
                          sketches.quantile("Priority_sketch", 0.5).alias("median"))
 
@@ -531,13 +536,14 @@ def ml_agg_exact(spark, folder):
 
 
 def _model(spark, folder) -> DataFrame:
-    return ml.model_scores_sketch(skilled(spark, folder), MODEL)
+    """Count, personalization and novelty; the score distributions come from the bins."""
+    return ml.recommender_scores(ml.scored_rows(skilled(spark, folder), MODEL), MODEL.keys)
 
 
 @query
 def ml_compact(spark, folder):
     merged = ml.compact_model_scores(_model(spark, folder), MODEL.but(group_by=(), global_filters=("Channel", "Year")))
-    return round_columns(plain_year(merged.drop(*ml.SKETCHES)), 8, "personalization", "novelty")
+    return round_columns(plain_year(merged), 8, "personalization", "novelty")
 
 
 @query
@@ -565,8 +571,8 @@ def merge_loads(spark, folder):
     first = ih(spark, folder).filter(F.col("Year") < 1998)
     second = ih(spark, folder).filter(F.col("Year") >= 1998)
     spec = ENGAGEMENT.but(group_by=("Issue",), global_filters=("Channel",))
-    stored = engagement.engagement(first, spec)
-    return merge.merge_loads(stored, engagement.engagement(second, spec), spec)
+    first_level = engagement.engagement(first, spec)
+    return merge.merge_loads(first_level, engagement.engagement(second, spec), spec)
 
 
 def _weighted_mean(spark, folder):
@@ -635,17 +641,17 @@ def rpt_ml(spark, folder):
 
 @query
 def rpt_ml_sketch(spark, folder):
-    return reports.model_scores_from_sketches(_model(spark, folder), ["Channel"])
+    fine = stored(spark, ml.model_scores_sketch(skilled(spark, folder), MODEL))
+    return reports.model_scores_from_sketches(fine, ["Channel"])
 
 
 @query
 def rpt_desc_sketch(spark, folder):
-    stored = descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
-    return reports.descriptive_scores(stored, DESCRIPTIVE, ["Channel"])
+    return reports.descriptive_scores(_sketched(spark, folder), DESCRIPTIVE, ["Channel"])
 
 
-def _descriptive_exact(spark, folder) -> DataFrame:
-    return descriptive.descriptive_exact(described(spark, folder), EXACT)
+def _descriptive_exact(spark, folder, spec: MetricSpec = EXACT) -> DataFrame:
+    return stored(spark, descriptive.descriptive_exact(described(spark, folder), spec))
 
 
 @query
@@ -655,8 +661,7 @@ def rpt_desc_exact(spark, folder):
 
 @query
 def rpt_desc_merge(spark, folder):
-    stored = descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
-    merged = descriptive.merge_sketches_by(stored, DESCRIPTIVE, ["Channel"])
+    merged = descriptive.merge_sketches_by(_sketched(spark, folder), DESCRIPTIVE, ["Channel"])
     return merged.select("Channel", *[sketches.size(f"{c}_sketch").alias(f"{c}_n")
                                       for c in DESCRIPTIVE.columns if c != "Outcome"])
 
@@ -667,9 +672,7 @@ def rfm(spark, folder) -> DataFrame:
 
 def stored_rfm(spark, folder) -> DataFrame:
     """The summary as a written table, for plans that read it several times."""
-    target = new_folder(spark, "rfm_table")
-    rfm(spark, folder).write.parquet(target)
-    return spark.read.parquet(target)
+    return stored(spark, rfm(spark, folder))
 
 
 def _rfm_out(df: DataFrame) -> DataFrame:
@@ -698,15 +701,15 @@ def grp_exp(spark, folder):
 
 @query
 def grp_ml(spark, folder):
-    grouped = ml.group_model_scores(_model(spark, folder), MODEL, ["Quarter"]).drop(*ml.SKETCHES)
+    grouped = ml.group_model_scores(_model(spark, folder), MODEL, ["Quarter"])
     return round_columns(plain_year(grouped), 8, "personalization", "novelty")
 
 
 @query
 def grp_desc(spark, folder):
     spec = EXACT.but(group_by=("Year", "Channel"), global_filters=(), columns=("Outcome", "Priority"))
-    stored = descriptive.descriptive_exact(described(spark, folder), spec)
-    return _rounded(descriptive.group_descriptive(stored, spec, ["Channel"]), 7)
+    first_level = descriptive.descriptive_exact(described(spark, folder), spec)
+    return _rounded(descriptive.group_descriptive(first_level, spec, ["Channel"]), 7)
 
 
 @query
@@ -785,7 +788,7 @@ def stat_odds_ratio(spark, folder):
 
 
 def _sketched(spark, folder) -> DataFrame:
-    return descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE)
+    return stored(spark, descriptive.descriptive_sketch(described(spark, folder), DESCRIPTIVE))
 
 
 @query
@@ -856,7 +859,7 @@ def tab_polar(spark, folder):
 
 @query
 def tab_scatter(spark, folder):
-    scored = reports.engagement_scores(_engagement(spark, folder), ["Month", "Channel"])
+    scored = stored(spark, reports.engagement_scores(_engagement(spark, folder), ["Month", "Channel"]))
     made = tables.scatter(scored, "CTR", "Lift", "Count", ["Month", "Channel"])
     return round_columns(made, 7, "CTR", "Lift", "x_min", "x_max", "y_min", "y_max")
 
@@ -873,37 +876,37 @@ def tab_gauge(spark, folder):
 
 @query
 def tab_cards(spark, folder):
-    made = tables.cards(_engagement(spark, folder), "engagement", ["Channel", "CustomerType"])
+    made = tables.cards(stored(spark, _engagement(spark, folder)), "engagement", ["Channel", "CustomerType"])
     return round_columns(made, 8, "CTR", "delta")
 
 
 @query
 def kpi_engagement(spark, folder):
-    return round_columns(tables.kpi_engagement(_engagement(spark, folder)), 7, "CTR", "Lift", "Lift_P_Val")
+    return round_columns(tables.kpi_engagement(stored(spark, _engagement(spark, folder))), 7, "CTR", "Lift", "Lift_P_Val")
 
 
 @query
 def kpi_conversion(spark, folder):
-    made = tables.kpi_conversion(_conversion(spark, folder))
+    made = tables.kpi_conversion(stored(spark, _conversion(spark, folder)))
     return round_columns(round_columns(made, 8, "ConversionRate"), 4, "Revenue")
 
 
 @query
 def kpi_touchpoints(spark, folder):
-    return round_columns(tables.kpi_touchpoints(_conversion(spark, folder)), 8, "AvgTouchpoints")
+    return round_columns(tables.kpi_touchpoints(stored(spark, _conversion(spark, folder))), 8, "AvgTouchpoints")
 
 
 @query
 def kpi_ml(spark, folder):
-    made = tables.kpi_model(_model(spark, folder), _bins(spark, folder, ("Month",)))
+    made = tables.kpi_model(stored(spark, _model(spark, folder)), stored(spark, _bins(spark, folder, ("Month",))))
     return round_columns(made, 8, *MODEL_SCORES[:4])
 
 
 @query
 def kpi_clv(spark, folder):
-    stored = purchases(spark, folder)
-    whole = customers.totals(clv_ops.rfm_summary(stored, PURCHASES), "CustomerID")
-    yearly = customers.yearly_value(stored, PURCHASES)
+    bought = stored(spark, purchases(spark, folder))
+    whole = customers.totals(clv_ops.rfm_summary(bought, PURCHASES), "CustomerID")
+    yearly = customers.yearly_value(bought, PURCHASES)
     made = yearly.withColumn("__t", whole.select(F.struct("*")).scalar()).select("Year", "average_value", "yoy", "__t.*")
     return round_columns(round_columns(made, 6, "average_value", "yoy"), 2, "total_value")
 
@@ -911,7 +914,7 @@ def kpi_clv(spark, folder):
 @query
 def tab_boxplot(spark, folder):
     spec = EXACT.but(columns=("Priority",))
-    scored = reports.descriptive_scores(descriptive.descriptive_exact(described(spark, folder), spec), spec, ["Channel"])
+    scored = reports.descriptive_scores(_descriptive_exact(spark, folder, spec), spec, ["Channel"])
     made = tables.boxplot(scored, "Priority", ["Channel"])
     return round_columns(made, 9, *[c for c in made.columns if c != "Channel"])
 
@@ -919,8 +922,7 @@ def tab_boxplot(spark, folder):
 @query
 def tab_funnel(spark, folder):
     spec = EXACT.but(columns=("Outcome",))
-    stored = descriptive.descriptive_exact(described(spark, folder), spec)
-    return tables.funnel(stored, "Outcome", ["Pending", "Impression", "Clicked", "Conversion", "Refund"],
+    return tables.funnel(_descriptive_exact(spark, folder, spec), "Outcome", ["Pending", "Impression", "Clicked", "Conversion", "Refund"],
                          ["Channel", "CustomerType"])
 
 

@@ -7,7 +7,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,14 +140,14 @@ def with_response_time(df: DataFrame) -> DataFrame:
 def dedup_events(df: DataFrame, keys: Sequence[str] = DEDUP_KEYS) -> DataFrame:
     """One row per key: the smallest row in the order of the remaining columns (NULL first).
 
-    `min` over a struct is combined on the map side, so a key that holds a large share of
-    the rows sends one row per task to the shuffle; nothing is sorted inside a group.
+    Spark applies the limit of one row per key before the shuffle as well as after it, so a key that
+    holds a large share of the rows sends one row per task.
     """
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    kept = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row"))
-    return kept.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
+    ordered = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in rest])
+    return df.withColumn("__n", F.row_number().over(ordered)).filter(F.col("__n") == 1).drop("__n")
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outcome_engine.functions.columns import join_on_nullable
 from outcome_engine.spec import INTERACTION_KEYS, OUTCOME
 
 LABEL = "Outcome_Binary"
@@ -31,14 +30,22 @@ def keep_best_outcome(labelled: DataFrame, keys: Sequence[str] = INTERACTION_KEY
     The label is 0 or 1, so these are the positives plus the negatives whose key has no positive.
     That is a left join with the distinct positive keys instead of a window: the right side has one
     row per key, AQE may broadcast it after measuring it, and a key that holds a large share of the
-    rows is split by AQE's skew join rather than sorted by one task.
+    rows is split by AQE's skew join rather than sorted by one task. The key is one struct: structs
+    with NULL fields compare equal, and `distinct` leaves the right side partitioned for the join.
     """
-    won = labelled.filter(F.col(LABEL) == 1).select(*keys).distinct().withColumn("__won", F.lit(True))
-    joined = join_on_nullable(labelled, won, keys, "left")
-    return joined.filter((F.col(LABEL) == 1) | F.col("__won").isNull()).drop("__won")
+    keyed = labelled.withColumn("__key", F.struct(*keys))
+    won = keyed.filter(F.col(LABEL) == 1).select(F.col("__key").alias("__won")).distinct()
+    joined = keyed.join(won, F.col("__key") == F.col("__won"), "left")
+    return joined.filter((F.col(LABEL) == 1) | F.col("__won").isNull()).drop("__key", "__won")
 
 
-def keep_groups_with_positive(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of key groups that hold at least one positive. The list of groups is the small side."""
-    groups = labelled.filter(F.col(LABEL) == 1).select(*keys).distinct()
-    return join_on_nullable(labelled, groups, keys, "left_semi")
+def keep_groups_with_positive(df: DataFrame, keys: Sequence[str], labelled: DataFrame | None = None) -> DataFrame:
+    """Rows of key groups that hold at least one positive.
+
+    `labelled` names the frame to look for positives in; positives are never lost by
+    `keep_best_outcome`, so the frame before it gives the same groups with less work.
+    """
+    source = df if labelled is None else labelled
+    groups = source.filter(F.col(LABEL) == 1).select(F.struct(*keys).alias("__group")).distinct()
+    keyed = df.withColumn("__key", F.struct(*keys))
+    return keyed.join(groups, F.col("__key") == F.col("__group"), "left_semi").drop("__key")

@@ -27,9 +27,13 @@ SKETCHES = {
 
 
 def scored_rows(ih: DataFrame, spec: MetricSpec) -> DataFrame:
-    """Labelled rows of groups with a positive, best outcome per interaction key."""
+    """Labelled rows of groups with a positive, best outcome per interaction key.
+
+    The group filter drops whole groups without positives, and a key with a positive never loses it,
+    so both filters may look at the labelled rows and commute.
+    """
     labelled = label_outcomes(apply_where(ih, spec.where), spec.positive, spec.negative)
-    return keep_best_outcome(keep_groups_with_positive(labelled, spec.keys))
+    return keep_groups_with_positive(keep_best_outcome(labelled), spec.keys, labelled)
 
 
 # ---- recommender scores -------------------------------------------------------------------
@@ -77,6 +81,39 @@ def novelty(df: DataFrame, keys: Sequence[str], customer: str = SUBJECT_ID, inte
     return sums.select(*keys, ratio(info, F.col("__u") * F.col("__longest")).alias("novelty"))
 
 
+def recommender_scores(df: DataFrame, keys: Sequence[str], customer: str = SUBJECT_ID,
+                       interaction: str = INTERACTION_ID, item: str = NAME) -> DataFrame:
+    """Count, personalization and novelty together: one pass over the rows and no join.
+
+    Each row yields a (customer, item) and an (interaction) cell. Counted cells give item counts,
+    customers, unit vectors and list lengths; formulas as in the two functions above.
+    """
+    pair = F.struct(F.lit("pair").alias("kind"), F.col(customer).cast("string").alias("a"), F.col(item).cast("string").alias("b"))
+    seen = F.struct(F.lit("list").alias("kind"), F.col(interaction).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
+    cells = (df.select(*keys, F.explode(F.array(pair, seen)).alias("__c")).select(*keys, "__c.*")
+             .groupBy(*keys, "kind", "a", "b").agg(F.count("*").alias("__n")))
+    owner = Window.partitionBy(*keys, "kind", "a")
+    n = F.col("__n").cast("double")
+    units = cells.withColumns({
+        "__u": n / F.sqrt(F.sum(n * n).over(owner)),
+        "__first": (F.row_number().over(owner.orderBy(F.col("b").asc_nulls_first())) == 1).cast("long")})
+    items = units.groupBy(*keys, "kind", "b").agg(
+        F.sum("__n").alias("__n"), F.sum("__u").alias("__s"), F.sum("__first").alias("__c"), F.max("__n").alias("__longest"))
+    is_pair = F.col("kind") == "pair"
+
+    def over_items(value: Column) -> Column:
+        return F.sum(F.when(is_pair, value))
+
+    sums = items.groupBy(*keys).agg(
+        over_items(F.col("__n")).alias("Count"), over_items(F.col("__c")).alias("__users"),
+        over_items(F.col("__s") * F.col("__s")).alias("__similar"), over_items(n * F.log2(n)).alias("__nlog"),
+        F.max(F.when(~is_pair, F.col("__longest"))).alias("__longest"))
+    u, rows = F.col("__users").cast("double"), F.col("Count")
+    spread = F.when(u > 1, 1 - ratio(F.col("__similar") - u, u * (u - 1))).otherwise(F.lit(0.0))
+    info = F.log2(u) * rows - F.col("__nlog") - F.lit(EPS) * rows
+    return sums.select(*keys, "Count", spread.alias("personalization"), ratio(info, u * F.col("__longest")).alias("novelty"))
+
+
 # ---- score distributions ------------------------------------------------------------------
 
 
@@ -114,32 +151,23 @@ def compact_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
 def model_scores_sketch(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     """Count, personalization, novelty and four sketches (two scores, split by label)."""
     rows = scored_rows(ih, spec)
-    summary = rows.groupBy(*spec.keys).agg(
-        F.count("*").alias("Count"),
+    built = rows.groupBy(*spec.keys).agg(
         *[sketches.build(F.when(F.col(LABEL) == label, F.col(score))).alias(name)
           for name, (score, label) in SKETCHES.items()])
-    return _with_recommender_scores(summary, rows, spec)
+    return join_on_nullable(recommender_scores(rows, spec.keys), built, spec.keys, "left")
 
 
 def model_scores_exact(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     """Count, personalization, novelty, exact AUC and average precision per group."""
     rows = scored_rows(ih, spec)
-    summary = rows.groupBy(*spec.keys).agg(F.count("*").alias("Count"))
     exact = exact_binary_metrics(rows, spec.keys, cuts=score_cuts(ih))
-    measured = join_on_nullable(summary, exact, spec.keys, "left")
-    return _with_recommender_scores(measured, rows, spec)
+    return join_on_nullable(recommender_scores(rows, spec.keys), exact, spec.keys, "left")
 
 
 def model_scores(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     return model_scores_sketch(ih, spec) if spec.use_sketch else model_scores_exact(ih, spec)
 
 
-def _with_recommender_scores(summary: DataFrame, rows: DataFrame, spec: MetricSpec) -> DataFrame:
-    for part in (personalization(rows, spec.keys), novelty(rows, spec.keys)):
-        summary = join_on_nullable(summary, part, spec.keys, "left")
-    return summary
-
-
 def score_cuts(ih: DataFrame, score: str = PROPENSITY) -> list[float]:
     """Cut points from the raw score column: one pruned scan instead of a second run of the labelling."""
     return cut_points(ih, [score])[score]

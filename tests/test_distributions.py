@@ -217,7 +217,11 @@ def test_personalization_and_novelty(spark):
     longest = max(sum(d[1] == i for d in data) for i in {d[1] for d in data})
     info = sum(n * -(math.log2(n / u) + 1e-10) for n in items)
     assert ml.novelty(df, ["g"]).first().novelty == pytest.approx(info / (u * longest))
+    both = ml.recommender_scores(df, ["g"]).first()
+    assert both["Count"] == 900 and both.novelty == pytest.approx(info / (u * longest))
+    assert both.personalization == pytest.approx(1 - (similar.sum() - u) / (u * (u - 1)))
     one = df.filter("SubjectID = 'hot'")
+    assert ml.recommender_scores(one, ["g"]).first().personalization == 0.0
     assert ml.personalization(one, ["g"]).first().personalization == 0.0
 
 
