@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outcome_engine.functions.columns import join_on_nullable
+from outcome_engine.session import cut_lineage
 
 BUCKET = "__bucket"
 BUCKETS = 256
+LARGE_GROUP = 1_000_000
 
 
 def cut_points(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
@@ -69,12 +71,41 @@ def _prefix_within_buckets(marked: DataFrame, keys: Sequence[str], order: str,
     return added.drop(BUCKET, *[f"__in_{m}" for m in measures], *[f"__off_{m}" for m in measures])
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                    probs: Mapping[str, float], buckets: int = BUCKETS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float],
+                    buckets: int = BUCKETS, large: int = LARGE_GROUP) -> DataFrame:
     """Linear-interpolated exact quantiles: one row per group, columns `{column}_{name}`.
 
-    Values are counted per (group, column, value) before any ordering, so repeats cost nothing.
+    `percentile` keeps the values of a group in one task, which is right for groups of up to `large`
+    rows. Groups above that are told apart by a count and take the spread-out way.
     """
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > large)
+        big = cut_lineage(sizes.select(F.struct(*keys).alias("__big")))
+        if big.isEmpty():
+            return _small_group_quantiles(df, keys, columns, probs)
+        marked = df.withColumn("__key", F.struct(*keys))
+        same = F.col("__key") == F.col("__big")
+        small = marked.join(big, same, "left_anti").drop("__key")
+        rest = marked.join(big, same, "left_semi").drop("__key")
+        return _small_group_quantiles(small, keys, columns, probs).unionByName(
+            _spread_quantiles(rest, keys, columns, probs, buckets))
+    if df.count() <= large:
+        return _small_group_quantiles(df, keys, columns, probs)
+    return _spread_quantiles(df, keys, columns, probs, buckets)
+
+
+def _small_group_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                           probs: Mapping[str, float]) -> DataFrame:
+    shares = ", ".join(f"{float(p)!r}D" for p in probs.values())
+    found = df.groupBy(*keys).agg(*[F.expr(f"percentile(CAST(`{c}` AS DOUBLE), array({shares}))").alias(f"__{i}")
+                                    for i, c in enumerate(columns)])
+    return found.select(*keys, *[F.get(f"__{i}", F.lit(k)).alias(f"{c}_{name}")
+                                 for i, c in enumerate(columns) for k, name in enumerate(probs)])
+
+
+def _spread_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float],
+                      buckets: int) -> DataFrame:
+    """Values are counted per (group, column, value) before any ordering, so repeats cost nothing."""
     cuts = cut_points(df, columns, buckets)
     wide = df.select(*keys, *[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)])
     marker = Bucketizer(splitsArray=[_splits(cuts[c]) for c in columns],

@@ -36,6 +36,7 @@ def test_rfm_features(spark):
 
 
 def test_quartiles_share_equal_values(spark):
+    """70 of 100 frequencies are equal, so the first two breaks coincide."""
     data = [(f"c{i}", 1 if i < 70 else i, float(i), float(i % 10)) for i in range(100)]
     df = spark.createDataFrame(data, "C string, frequency long, monetary_value double, recency double")
     got = clv.rfm_quartiles(df).collect()
