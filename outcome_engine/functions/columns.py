@@ -42,8 +42,8 @@ def safe_sqrt(x: Column) -> Column:
 def join_on_nullable(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys meet each other; the key columns of `left` are kept.
 
-    `<=>` stays an equi-join for Spark, so AQE may broadcast a side it measured to be small
-    or split a skewed partition.
+    `<=>` stays an equi-join for Spark (on the keys with NULL replaced), so both sides are shuffled
+    for the join and AQE may broadcast a side it measured to be small or split a skewed partition.
     """
     if not keys:
         raise ValueError("join needs keys")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outcome_engine.functions.columns import total
+from outcome_engine.functions.columns import join_on_nullable, total
 from outcome_engine.operators.engagement import sum_counts
 from outcome_engine.operators.filters import apply_where
 from outcome_engine.operators.labels import LABEL, keep_best_outcome, label_outcomes
@@ -29,7 +29,8 @@ def conversion(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     labelled = label_outcomes(apply_where(ih, spec.where), spec.positive, spec.negative)
     cells = keep_best_outcome(labelled).groupBy(*unique_in_order(spec.keys, TOUCH_KEYS)).agg(
         F.count("*").alias("Count"), total(REVENUE).alias("Revenue"), total(LABEL).alias("Positives"))
-    joined = cells.join(touchpoints(labelled), TOUCH_KEYS, "left")
+    # A NULL customer or event has no touchpoints: NULL keys do not match each other here.
+    joined = join_on_nullable(cells, touchpoints(labelled).dropna(subset=TOUCH_KEYS), TOUCH_KEYS, "left")
     summed = joined.groupBy(*spec.keys).agg(
         total("Count").alias("Count"),
         total("Revenue").alias("Revenue"),

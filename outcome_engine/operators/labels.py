@@ -30,11 +30,12 @@ def keep_best_outcome(labelled: DataFrame, keys: Sequence[str] = INTERACTION_KEY
     The label is 0 or 1, so these are the positives plus the negatives whose key has no positive.
     That is a left join with the distinct positive keys instead of a window: the right side has one
     row per key, AQE may broadcast it after measuring it, and a key that holds a large share of the
-    rows is split by AQE's skew join rather than sorted by one task. The key is one struct: structs
-    with NULL fields compare equal, and `distinct` leaves the right side partitioned for the join.
+    rows is split by AQE's skew join rather than sorted by one task. The key is one struct, since
+    structs with NULL fields compare equal. It is built after `distinct`: AQE splits a skewed join only
+    where both sides come straight from a shuffle, so the small side is shuffled once more.
     """
     keyed = labelled.withColumn("__key", F.struct(*keys))
-    won = keyed.filter(F.col(LABEL) == 1).select(F.col("__key").alias("__won")).distinct()
+    won = labelled.filter(F.col(LABEL) == 1).select(*keys).distinct().select(F.struct(*keys).alias("__won"))
     joined = keyed.join(won, F.col("__key") == F.col("__won"), "left")
     return joined.filter((F.col(LABEL) == 1) | F.col("__won").isNull()).drop("__key", "__won")
 
@@ -46,6 +47,6 @@ def keep_groups_with_positive(df: DataFrame, keys: Sequence[str], labelled: Data
     `keep_best_outcome`, so the frame before it gives the same groups with less work.
     """
     source = df if labelled is None else labelled
-    groups = source.filter(F.col(LABEL) == 1).select(F.struct(*keys).alias("__group")).distinct()
+    groups = source.filter(F.col(LABEL) == 1).select(*keys).distinct().select(F.struct(*keys).alias("__group"))
     keyed = df.withColumn("__key", F.struct(*keys))
     return keyed.join(groups, F.col("__key") == F.col("__group"), "left_semi").drop("__key")

@@ -10,7 +10,7 @@ from pyspark.storagelevel import StorageLevel
 from outcome_engine.operators import clv as clv_ops
 from outcome_engine.operators.clean import CleaningConfig, clean_holdings, clean_interactions
 from outcome_engine.operators.filters import filter_dimensions
-from outcome_engine.operators.merge import aggregate, merge_loads
+from outcome_engine.operators.merge import aggregate, compact, merge_loads
 from outcome_engine.plans.reports import report_scores
 from outcome_engine.sources.store import AggregateStore
 from outcome_engine.spec import MetricSpec, ReportSpec
@@ -30,6 +30,11 @@ def store_metrics(ih: DataFrame, specs: Sequence[MetricSpec], store: AggregateSt
         ih.unpersist()
 
 
+def compact_table(store: AggregateStore, spec: MetricSpec) -> None:
+    """Merge the batches of a table into its next version (between stream runs, not during one)."""
+    store.replace(spec.name, compact(store.read(spec.name), spec))
+
+
 def load_interactions(raw: DataFrame, config: CleaningConfig, specs: Sequence[MetricSpec],
                       store: AggregateStore) -> None:
     store_metrics(clean_interactions(raw, config), specs, store)

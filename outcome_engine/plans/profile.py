@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outcome_engine.functions import sketches
 from outcome_engine.operators.prefix import exact_quantiles
 
 # Name fragments by which fields are tagged.
@@ -32,12 +33,14 @@ def _is_id(name: str) -> bool:
     return name.lower().endswith("id")
 
 
-def schema_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def schema_profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """Per column: type, number of different values (NULL is one), most frequent text, sample texts,
     and min / max / mean / median of numbers (NULL and NaN left out), min / max of the rest.
 
     Values are counted per (column, value) in one shuffle with map-side combination; sample values
-    are those with the smallest hashes. Of equally frequent texts the smallest is shown.
+    are those with the smallest hashes. Of equally frequent texts the smallest is shown. With
+    `approximate`, only text columns are counted by value; the other distinct counts are HyperLogLog
+    estimates from the one scan that also gives min, max and mean, and medians are sketch quantiles.
     """
     if columns:
         df = df.select(*[c for c in columns if c in df.columns])
@@ -47,7 +50,9 @@ def schema_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     others = [n for n in fields if n not in numbers and n not in texts and not _is_id(n)
               and not isinstance(fields[n], (T.ArrayType, T.MapType, T.StructType))]
 
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in fields])
+    if approximate and not texts:
+        df, texts = df.withColumn("__none", F.lit(None).cast("string")), ["__none"]
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in (texts if approximate else fields)])
     counts = (df.select(F.explode(cells).alias("__c")).select("__c.*")
               .groupBy("column", "value").agg(F.count("*").alias("n")))
     known = F.col("value").isNotNull()
@@ -55,6 +60,13 @@ def schema_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         F.count("*").alias("unique_count"),
         F.min_by("value", F.when(known, F.struct(-F.col("n"), F.col("value")))).alias("__mode"))
 
+    if approximate:
+        estimates = df.agg(F.array(*[
+            F.struct(F.lit(n).alias("column"), (F.approx_count_distinct(F.col(f"`{n}`")) + F.coalesce(
+                F.max(F.col(f"`{n}`").isNull().cast("long")), F.lit(0))).alias("unique_count"), F.lit(None).cast("string").alias("__mode"))
+            for n in fields if n not in texts]).alias("__e")).select(F.explode("__e").alias("__e")).select("__e.*")
+        found = found.unionByName(estimates) if set(fields) - set(texts) else found
+
     by_hash = Window.partitionBy("column").orderBy(F.xxhash64("value"), "value")
     sampled = (counts.filter(F.col("column").isin(texts) & known).withColumn("__r", F.row_number().over(by_hash))
                .filter(F.col("__r") <= SAMPLES)
@@ -87,7 +99,10 @@ def schema_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         clean = df.select(*[F.when(~F.isnan(F.col(f"`{n}`").cast("double")), F.col(f"`{n}`").cast("double"))
                             .alias(f"v{i}") for i, n in enumerate(numbers)])
         names = [f"v{i}" for i in range(len(numbers))]
-        medians = exact_quantiles(clean, [], names, {"m": 0.5}).select(F.explode(F.array(*[
+        middle = (clean.agg(*[sketches.build(v).alias(v) for v in names]).select(
+            *[F.when(sketches.size(v) > 0, sketches.quantile(v, 0.5)).alias(f"{v}_m") for v in names])
+            if approximate else exact_quantiles(clean, [], names, {"m": 0.5}))
+        medians = middle.select(F.explode(F.array(*[
             F.struct(F.lit(n).alias("column"), F.col(f"v{i}_m").alias("median")) for i, n in enumerate(numbers)
         ])).alias("__m")).select("__m.*")
         out = out.drop("median").join(medians, "column", "left")

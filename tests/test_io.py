@@ -169,6 +169,12 @@ def test_profile_and_tags(spark):
     assert got["Channel"]["field_tags"] == "Required, Business dimension" and got["order_id"]["field_tags"] == "Likely ID"
     assert got["Revenue"]["field_tags"] == "Required, Numeric measure" and got["PurchaseDate"]["field_tags"] == "Time"
     assert profile.schema_profile(df, ["Channel", "absent"]).count() == 1
+    near = {r["column"]: r for r in rows(profile.schema_profile(df, approximate=True))}
+    assert set(near) == set(got) and near["Channel"]["most_occurring"] == "x"
+    for name in got:
+        assert near[name]["unique_count"] == pytest.approx(got[name]["unique_count"], abs=1)
+    assert near["Revenue"]["median"] == pytest.approx(5.0, abs=1) and near["Revenue"]["mean"] == 5.0
+    assert profile.schema_profile(df.select("Revenue"), approximate=True).first()["unique_count"] == 10
 
 
 # ---- streams --------------------------------------------------------------------------------------------
@@ -189,7 +195,10 @@ def test_files_one_by_one_equal_one_batch(spark, tmp_path):
         run()
     run()
     whole = engagement.engagement(ih(spark, 0, 100), SPEC)
+    assert len(store.read("engagement").select("Channel").collect()) > 3
     assert rows(incremental.read_merged(store, "engagement", SPEC).select(whole.columns), "Channel") == rows(whole, "Channel")
+    pipeline.compact_table(store, SPEC)
+    assert rows(store.read("engagement").select(whole.columns), "Channel") == rows(whole, "Channel")
 
 
 def test_late_rows_and_repeats(spark, tmp_path):

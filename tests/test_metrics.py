@@ -37,6 +37,31 @@ def test_one_key_with_most_rows(spark):
     assert (got["Count"], got.Positives, got.Negatives) == (10000, 10000, 0)
 
 
+def test_hot_key_is_split_by_the_skew_join(spark):
+    """With small thresholds AQE splits the partition of the hot key; nothing gathers it in one task."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.shuffle.partitions": "16",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 60000, 1, 12).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("InteractionID"), F.lit("a").alias("ActionID"),
+            F.lit(1).alias("Rank"), F.when(F.col("id") % 9 == 0, "Clicked").otherwise("Impression").alias("Outcome"),
+            F.concat(F.lit("c"), (F.col("id") % 50).cast("string")).alias("Channel"), F.lit("Test").alias("ModelControlGroup"))
+        made = engagement.engagement(df, SPEC)
+        whole = sum(r["Count"] for r in made.collect())
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # 20000 hot rows keep their 6667 clicks; the other 40000 keys keep their single row.
+    assert whole == 6667 + 40000
+    assert "skew=true" in plan
+
+
 def counts(spark, data):
     return spark.createDataFrame(data, "Channel string, ModelControlGroup string, Count long, Positives long, Negatives long")
 
