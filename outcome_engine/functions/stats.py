@@ -36,15 +36,15 @@ def _polynomial(coefficients, x: str) -> str:
 
 
 def _erfc_text(x: str) -> str:
-    a = f"abs({x})"
-    square = f"({a} * {a})"
-    inverse = f"try_divide(1.0D, {square})"
-    near = f"1.0D - {a} * {_polynomial(ERF_SMALL_NUM, square)} / {_polynomial(ERF_SMALL_DEN, square)}"
-    mid = f"exp(-{square}) * {_polynomial(ERFC_MID_NUM, a)} / {_polynomial(ERFC_MID_DEN, a)}"
+    """The argument is bound once as a lambda variable; erfc(-a) = 2 - erfc(a) is folded in by its sign."""
+    square, inverse = "(__a * __a)", "try_divide(1.0D, __a * __a)"
+    near = f"1.0D - __a * {_polynomial(ERF_SMALL_NUM, square)} / {_polynomial(ERF_SMALL_DEN, square)}"
+    mid = f"exp(-{square}) * {_polynomial(ERFC_MID_NUM, '__a')} / {_polynomial(ERFC_MID_DEN, '__a')}"
     tail = f"{inverse} * {_polynomial(ERFC_FAR_NUM, inverse)} / {_polynomial(ERFC_FAR_DEN, inverse)}"
-    far = f"exp(-{square}) * try_divide({1.0 / math.sqrt(math.pi)!r}D - {tail}, {a})"
-    positive = f"CASE WHEN {a} <= 0.46875D THEN {near} WHEN {a} <= 4.0D THEN {mid} ELSE {far} END"
-    return f"(CASE WHEN {x} < 0 THEN 2.0D - ({positive}) ELSE {positive} END)"
+    far = f"exp(-{square}) * try_divide({1.0 / math.sqrt(math.pi)!r}D - {tail}, __a)"
+    positive = f"CASE WHEN __a <= 0.46875D THEN {near} WHEN __a <= 4.0D THEN {mid} ELSE {far} END"
+    return (f"element_at(transform(transform(array({x}), __x -> named_struct('s', sign(__x), 'a', abs(__x))), "
+            f"__y -> (1.0D - __y.s) + __y.s * element_at(transform(array(__y.a), __a -> {positive}), 1)), 1)")
 
 
 def erfc(x: str) -> Column:

@@ -639,7 +639,7 @@ UNION ALL SELECT rfm_segment, round(CASE WHEN stddev_pop(rf) * stddev_pop(rm) >
 UNION ALL SELECT rfm_segment, round(balance / nullif(sqrt(untied_x::DOUBLE * untied_y), 0), 7), 'kendall' FROM signs""")
 add("clv_density", f"""{RFM}, span AS (SELECT min(recency) AS rl, max(recency) AS rh, min(frequency)::DOUBLE AS fl, max(frequency)::DOUBLE AS fh FROM rfm)""",
     """SELECT CAST(least(floor((recency - rl) / (rh - rl) * 60), 59) AS INTEGER) AS x_bin,
-  CAST(least(floor((frequency - fl) / (fh - fl) * 60), 59) AS INTEGER) AS y_bin, round(avg(monetary_value), 6) AS value, count(*) AS n
+  CAST(least(floor((frequency - fl) / (fh - fl) * 60), 59) AS INTEGER) AS y_bin, round(sum(lifetime_value), 2) AS value, count(*) AS n
 FROM rfm CROSS JOIN span GROUP BY ALL""")
 
 # ---- profiling --------------------------------------------------------------------------------------------------------
