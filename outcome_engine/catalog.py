@@ -987,18 +987,18 @@ def clv_hist(spark, folder):
     return round_columns(made, 6, "left", "right", "value")
 
 
-def _segments_out(df: DataFrame, digits: int) -> DataFrame:
-    return round_columns(df, digits, "lifetime_value", "monetary_value", "avg_frequency", "avg_rfm_score")
+SEGMENT_AVERAGES = ("avg_frequency", "avg_rfm_score")
 
 
 @query
 def clv_polar(spark, folder):
-    return _segments_out(clv_ops.segments_by(rfm(spark, folder), ["ControlGroup"]), 4)
+    made = clv_ops.segments_by(rfm(spark, folder), ["ControlGroup"])
+    return round_columns(round_columns(round_columns(made, 2, "lifetime_value"), 6, "monetary_value"), 9, *SEGMENT_AVERAGES)
 
 
 @query
 def clv_treemap(spark, folder):
-    return _segments_out(clv_ops.segments_by(rfm(spark, folder), []), 2)
+    return round_columns(clv_ops.segments_by(rfm(spark, folder), []), 2, "lifetime_value", "monetary_value", *SEGMENT_AVERAGES)
 
 
 @query

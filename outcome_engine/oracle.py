@@ -308,8 +308,10 @@ rates AS (SELECT {keys}, CAST(t.point AS INTEGER) AS point, any_value(p) AS p, a
 sharp AS (SELECT *, p * tpr / (p * tpr + n * fpr + 1e-10) AS raw FROM rates),
 curve AS (SELECT *, max(raw) OVER (PARTITION BY {keys} ORDER BY point ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS prec,
   lag(tpr) OVER (PARTITION BY {keys} ORDER BY point) AS tpr0, lag(fpr) OVER (PARTITION BY {keys} ORDER BY point) AS fpr0 FROM sharp),
-area AS (SELECT {keys}, sum((fpr - fpr0) * (tpr + tpr0) / 2) AS roc_auc, sum((tpr - tpr0) * prec) AS average_precision,
-  any_value(p) / (any_value(p) + any_value(n)::DOUBLE) AS pos_fraction FROM curve GROUP BY {keys})"""
+area AS (SELECT {keys}, coalesce(sum((fpr - fpr0) * (tpr + tpr0) / 2), 0) AS roc_auc,
+  CASE WHEN any_value(p) = 0 OR any_value(n) = 0 THEN 0.0 ELSE sum((tpr - tpr0) * prec) END AS average_precision,
+  CASE WHEN any_value(p) = 0 OR any_value(n) = 0 THEN 0.0 ELSE any_value(p) / (any_value(p) + any_value(n)::DOUBLE) END AS pos_fraction
+  FROM curve GROUP BY {keys})"""
 
 
 add("ml_agg_sketch", f"{MODEL}, {bins('Channel, CustomerType')}", "SELECT * REPLACE (round(score_sum, 4) AS score_sum) FROM bins")
@@ -617,14 +619,14 @@ hist AS (SELECT ControlGroup, bin, lo, hi, count(*) AS n FROM placed GROUP BY AL
   round(sum(100.0::DOUBLE * n) OVER (PARTITION BY ControlGroup ORDER BY bin) / sum(n) OVER (PARTITION BY ControlGroup), 6) AS value FROM hist""")
 
 
-def segments(keys: str, digits: int) -> str:
-    return f"""SELECT rfm_segment, {keys} CAST(sum(customers_count) AS BIGINT) AS customers_count, round(sum(lifetime_value), {digits}) AS lifetime_value,
-  CAST(sum(unique_holdings) AS BIGINT) AS unique_holdings, round(avg(monetary_value), {digits}) AS monetary_value,
-  round(avg(frequency), {digits}) AS avg_frequency, round(avg(rfm_score), {digits}) AS avg_rfm_score FROM rfm GROUP BY ALL"""
+def segments(keys: str, money: int, average: int) -> str:
+    return f"""SELECT rfm_segment, {keys} CAST(sum(customers_count) AS BIGINT) AS customers_count, round(sum(lifetime_value), 2) AS lifetime_value,
+  CAST(sum(unique_holdings) AS BIGINT) AS unique_holdings, round(avg(monetary_value), {money}) AS monetary_value,
+  round(avg(frequency), {average}) AS avg_frequency, round(avg(rfm_score), {average}) AS avg_rfm_score FROM rfm GROUP BY ALL"""
 
 
-add("clv_polar", RFM, segments("ControlGroup,", 4))
-add("clv_treemap", RFM, segments("", 2))
+add("clv_polar", RFM, segments("ControlGroup,", 6, 9))
+add("clv_treemap", RFM, segments("", 2, 2))
 add("clv_corr", RFM + """,
 ranked AS (SELECT rfm_segment, frequency, monetary_value,
   rank() OVER (PARTITION BY rfm_segment ORDER BY frequency) + (count(*) OVER (PARTITION BY rfm_segment, frequency) - 1) / 2.0 AS rf,
