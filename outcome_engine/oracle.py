@@ -308,7 +308,8 @@ rates AS (SELECT {keys}, CAST(t.point AS INTEGER) AS point, any_value(p) AS p, a
 sharp AS (SELECT *, p * tpr / (p * tpr + n * fpr + 1e-10) AS raw FROM rates),
 curve AS (SELECT *, max(raw) OVER (PARTITION BY {keys} ORDER BY point ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS prec,
   lag(tpr) OVER (PARTITION BY {keys} ORDER BY point) AS tpr0, lag(fpr) OVER (PARTITION BY {keys} ORDER BY point) AS fpr0 FROM sharp),
-area AS (SELECT {keys}, coalesce(sum((fpr - fpr0) * (tpr + tpr0) / 2), 0) AS roc_auc,
+area AS (SELECT {keys},
+  CASE WHEN any_value(p) = 0 OR any_value(n) = 0 THEN 0.0 ELSE sum((fpr - fpr0) * (tpr + tpr0) / 2) END AS roc_auc,
   CASE WHEN any_value(p) = 0 OR any_value(n) = 0 THEN 0.0 ELSE sum((tpr - tpr0) * prec) END AS average_precision,
   CASE WHEN any_value(p) = 0 OR any_value(n) = 0 THEN 0.0 ELSE any_value(p) / (any_value(p) + any_value(n)::DOUBLE) END AS pos_fraction
   FROM curve GROUP BY {keys})"""
