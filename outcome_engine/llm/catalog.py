@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_folder
-from . import digest_index, fingerprints, language, packing, records, simhash, toxicity
+from . import digest_index, fingerprints, language, packing, records, simhash, token_counts, toxicity
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -52,8 +52,13 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.imatch(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_simhash, op3_language, op4_records, op5_toxicity, op6_exact_dedup, op7_imatch)
+    f.__name__: f for f in (op1_packing, op2_simhash, op3_language, op4_records, op5_toxicity, op6_exact_dedup, op7_imatch,
+                            op8_token_counts)
 }
 
 ORACLE = {
