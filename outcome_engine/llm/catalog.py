@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_folder
-from . import digest_index, fingerprints, language, packing, records, simhash, token_counts, toxicity
+from . import bpe, digest_index, fingerprints, language, packing, records, simhash, token_counts, toxicity
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -56,9 +56,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), limit=1024)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_simhash, op3_language, op4_records, op5_toxicity, op6_exact_dedup, op7_imatch,
-                            op8_token_counts)
+                            op8_token_counts, op9_bpe)
 }
 
 ORACLE = {
