@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_folder
-from . import bpe, digest_index, fingerprints, language, packing, records, simhash, token_counts, toxicity
+from . import bpe, digest_index, fingerprints, html_blocks, language, packing, records, simhash, token_counts, toxicity
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -60,9 +60,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_simhash, op3_language, op4_records, op5_toxicity, op6_exact_dedup, op7_imatch,
-                            op8_token_counts, op9_bpe)
+                            op8_token_counts, op9_bpe, op10_html)
 }
 
 ORACLE = {
