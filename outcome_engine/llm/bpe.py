@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, strings, whole_text
-from .token_counts import SIGNS
-from .tokens import load, pieces_between_spaces
+from .tokens import SIGNS, load, pieces_between_spaces
 
 CACHE = 150_000  # pieces of text remembered by a task before it starts anew
 PAIRS = 2_000_000  # verified pairs remembered

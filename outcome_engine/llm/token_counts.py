@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored, strings, whole_text
-from .tokens import load, pieces_with_spaces
+from .tokens import SIGNS, load, pieces_with_spaces, with_space
 
 BLOCK_CHARS = 8_000_000  # a block ends with the document that exceeds this, so only a single longer document makes a longer block
-SIGNS = ".,;:!?#$%&*"  # fixed: signs that are neither letters, digits, white space nor the start of an English ending
 
 LISTS = "block long, doc_id long, n_bytes long, special long, numbers binary, counts binary, pretokens array<string>"
 
@@ -42,6 +41,8 @@ class Numbers(dict):
 
 def split_stretch(stretch: str, library) -> list[str]:
     """Pre-tokens of a stretch of text. A word, with signs behind it or none, is plain to see; the library splits all else."""
+    if stretch[:1] == "\n" and len(stretch) > 1 and not stretch[1].isspace():
+        return ["\n", *split_stretch(stretch[1:], library)]
     core = stretch.rstrip(SIGNS)
     if core[core[:1] == " ":].isalpha():
         return [core] if len(core) == len(stretch) else [core, stretch[len(core):]]
@@ -54,7 +55,7 @@ class Block:
     def __init__(self, library, special: list[str]):
         self.library, self.special = library, special
         self.chars = 0
-        self.stretches = Numbers()  # a stretch without its leading space; one at the start of a text in a tuple
+        self.stretches = Numbers()  # pieces of text; one at the start of a text in a tuple, as it has no space
         self.rows: list[tuple] = []
         self.held: list[np.ndarray] = []
 
@@ -77,7 +78,7 @@ class Block:
     def finish(self) -> tuple[list[bytes], list[bytes], list[str]]:
         """For each document its pre-tokens' numbers (differences, packed) and their counts; the pre-tokens by number."""
         names = Numbers()
-        split = [[names[p] for p in split_stretch(x[0] if type(x) is tuple else " " + x, self.library)] for x in self.stretches]
+        split = [[names[p] for p in split_stretch(x[0] if type(x) is tuple else with_space(x), self.library)] for x in self.stretches]
         size = np.array([len(x) for x in split], np.int64)
         flat = np.array([p for x in split for p in x], np.int64)
         first = np.cumsum(size) - size

@@ -1,7 +1,8 @@
 """Ids of whole texts through the tokenizers library, each distinct piece of text between spaces encoded once per task.
 
-Both vocabularies split a text before a space that a visible character follows, whatever stands around it, so a text's
-ids are the ids of these pieces one after the other. A piece keeps its leading space where the vocabulary marks it.
+Both vocabularies split a text before a space or line end that a visible character follows, whatever stands around it,
+so a text's ids are the ids of these pieces one after the other. They also split between a letter or digit and the signs
+behind it, so that a word with signs has the ids of the word and those of the signs.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
-CACHE = 200_000  # pieces remembered by a task; beyond it the memory starts anew, which changes no result
+CACHE = 400_000  # pieces remembered by a task; beyond it the memory starts anew, which changes no result
 
 
 def load(path: str):
@@ -30,21 +32,33 @@ def keeps_spaces(path: str) -> bool:
         return json.load(file)["normalizer"] is None
 
 
-BEFORE_VISIBLE = re.compile(r" (?=\S)")
-SPACE_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
+CUT = re.compile(r" (?=\S)|(?=\n\S)")
+UNUSUAL = (re.compile(r" (?:\s|\Z)"), re.compile(r"\n(?:\s|\Z)"))
 PLAIN_SPACE = str.maketrans("\n\t\r", "   ")
+SIGNS = ".,;:!?#$%&*"  # fixed: signs that are neither letters, digits, white space nor the start of an English ending
 
 
 def pieces_with_spaces(text: str) -> list[str]:
-    """Cut before each space that a visible character follows; all but the first lose that space."""
-    if SPACE_BEFORE_SPACE.search(text):
-        return BEFORE_VISIBLE.split(text)
-    return text.split(" ")
+    """Cut before each space or line end that a visible character follows. A piece loses its leading space, but keeps a
+    leading line end; the first is what stands before the first cut."""
+    if any(x.search(text) for x in UNUSUAL):
+        return CUT.split(text)
+    return text.replace("\n", " \n").split(" ")
+
+
+def with_space(piece: str) -> str:
+    """A piece other than the first as it stands in the text."""
+    return piece if piece[:1] == "\n" else " " + piece
+
+
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # fixed: white space to Python, but not to the vocabulary
 
 
 def pieces_between_spaces(text: str) -> list[str]:
-    """Cut at runs of the plain white space characters, which the vocabulary drops."""
-    return [x for x in text.translate(PLAIN_SPACE).split(" ") if x]
+    """Cut at white space, which the vocabulary drops."""
+    if any(x in text for x in SEPARATORS):
+        return [x for x in text.translate(PLAIN_SPACE).split(" ") if x]
+    return text.split()
 
 
 class CachedEncoder:
@@ -53,17 +67,44 @@ class CachedEncoder:
     def __init__(self, path: str, cache: int = CACHE):
         self.tokenizer, self.cache = load(path), cache
         self.spaces = keeps_spaces(path)
+        self.plain = load(path)  # for lower-case ASCII words, which the normalizer leaves as they are
+        if not self.spaces:
+            self.plain.normalizer = None
         self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     def learn(self, wanted: set[str]) -> None:
         if len(self.known) + len(wanted) > self.cache:
             self.known = {x: self.known[x] for x in wanted if x in self.known}
-        new = [x for x in wanted if x not in self.known]
-        for start in range(0, len(new), 4096):
-            part = new[start:start + 4096]
-            found = self.tokenizer.encode_batch_fast([" " + x for x in part] if self.spaces else part, add_special_tokens=False)
-            for piece, encoding in zip(part, found):
-                self.known[piece] = little_endian(encoding.ids)
+        known, new, composed = self.known, {}, []
+        for piece in wanted:
+            if piece not in known:
+                core = piece.rstrip(SIGNS)
+                if len(core) < len(piece) and core[-1:].lower().isalnum():
+                    composed.append((piece, core, piece[len(core):]))
+                    if core not in known:
+                        new[core] = None
+                else:
+                    new[piece] = None
+        if self.spaces:
+            self.look_up(self.tokenizer, [with_space(x) for x in new], list(new), known)
+        else:
+            words = {x: x.lower() for x in new if x.isascii() and x.isalpha()}
+            lower = [x for x in dict.fromkeys(words.values()) if x not in known]
+            self.look_up(self.plain, lower, lower, known)
+            known |= {x: known[low] for x, low in words.items()}
+            other = [x for x in new if x not in words]
+            self.look_up(self.tokenizer, other, other, known)
+        signs = [x for x in {signs for *_, signs in composed} if x not in self.signs]
+        self.look_up(self.tokenizer, signs, signs, self.signs)
+        for piece, core, signs in composed:
+            known[piece] = known[core] + self.signs[signs]
+
+    @staticmethod
+    def look_up(library, texts: list[str], names: list[str], into: dict[str, bytes]) -> None:
+        for start in range(0, len(texts), 4096):
+            found = library.encode_batch_fast(texts[start:start + 4096], add_special_tokens=False)
+            into |= zip(names[start:start + 4096], [little_endian(x.ids) for x in found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.spaces:
@@ -80,4 +121,4 @@ class CachedEncoder:
 
 
 def little_endian(ids: list[int]) -> bytes:
-    return b"".join([x.to_bytes(4, "little") for x in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
