@@ -200,9 +200,9 @@ def exact_binary_metrics(rows: DataFrame, keys: Sequence[str], score: str = PROP
 
 
 def shares_from_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per group: pos_count, neg_count and arrays tpr, fpr over falling thresholds.
+    """Per group: pos_count, neg_count and arrays tpr, fpr over falling thresholds, from (0, 0) to (1, 1).
 
-    A group has at most 102 bins, so its list is of fixed size.
+    A group has at most 102 bins, so its list is of fixed size. The last point takes in the scores of 0 as well.
     """
     per_bin = bins.groupBy(*keys, "bin").agg(total("pos").alias("pos"), total("neg").alias("neg"))
     lists = per_bin.groupBy(*keys).agg(
@@ -213,7 +213,7 @@ def shares_from_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
         return F.aggregate(F.filter("__bins", lambda b: b["bin"] > i), F.lit(0).cast("long"),
                            lambda acc, b: acc + b[name])
 
-    falling = F.sequence(F.lit(100), F.lit(0))
+    falling = F.sequence(F.lit(101), F.lit(-1))
     return lists.select(
         *keys, "pos_count", "neg_count",
         F.transform(falling, lambda i: ratio(above("pos", i), F.col("pos_count"))).alias("tpr"),
@@ -223,7 +223,8 @@ def shares_from_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
 def shares_from_sketches(df: DataFrame, keys: Sequence[str], positives: str, negatives: str) -> DataFrame:
     """The same shape from two label sketches."""
     def falling(sketch: str) -> Column:
-        return F.transform(F.reverse(sketches.ranks(sketch, THRESHOLDS)), lambda r: 1 - r)
+        inner = F.transform(F.reverse(sketches.ranks(sketch, THRESHOLDS)), lambda r: 1 - r)
+        return F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0)))
 
     return df.select(*keys, sketches.size(positives).alias("pos_count"), sketches.size(negatives).alias("neg_count"),
                      falling(positives).alias("tpr"), falling(negatives).alias("fpr"))
@@ -252,11 +253,7 @@ def curve_scores(shares: DataFrame, keep: Sequence[str]) -> DataFrame:
     monotone = F.transform(F.sequence(F.lit(1), F.size("__raw")),
                            lambda i: F.array_max(F.slice("__raw", i, F.size("__raw") - i + 1)))
     points = points.withColumn("__mono", monotone)
-    starts_high = F.get("tpr", F.lit(0)) != 0.0
-    points = points.withColumns({
-        "recall": F.when(starts_high, F.concat(zero, F.col("tpr"))).otherwise(F.col("tpr")),
-        "precision": F.when(starts_high, F.concat(F.array(F.lit(1.0)), F.col("__mono"))).otherwise(F.col("__mono")),
-    })
+    points = points.withColumns({"recall": F.col("tpr"), "precision": F.col("__mono")})
     area_pr = F.aggregate(F.sequence(F.lit(1), F.size("recall") - 1), F.lit(0.0), lambda acc, i: acc + (
         at("recall", i) - at("recall", i - 1)) * at("precision", i))
     points = points.withColumn("average_precision", area_pr)
@@ -269,14 +266,18 @@ def curve_scores(shares: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def calibration(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows (bin 1..26): centre, mean score and positive rate; an empty bin has its centre and rate 0."""
+    """Rows (bin 1..26): centre, mean score and positive rate; an empty bin has its centre and rate 0.
+
+    The first bin is closed on the left, and what lies outside the edges counts in the first or last bin.
+    """
     edges = CALIBRATION_EDGES
     frame = F.array(*[F.struct(F.lit(i + 1).alias("cal_bin"), F.lit((a + b) / 2).alias("calibration_bin"))
                       for i, (a, b) in enumerate(zip(edges, edges[1:]))])
     keys = list(keys)
     groups = bins.select(*keys).distinct() if keys else bins.groupBy().agg(F.lit(1).alias("__one")).drop("__one")
     full = groups.select(*keys, F.explode(frame).alias("__f")).select(*keys, "__f.*")
-    summed = bins.groupBy(*keys, "cal_bin").agg(*[total(m).alias(m) for m in ("pos", "neg", "score_sum")])
+    inside = F.greatest(F.lit(1), F.least(F.lit(len(edges) - 1), F.col("cal_bin")))
+    summed = bins.withColumn("cal_bin", inside).groupBy(*keys, "cal_bin").agg(*[total(m).alias(m) for m in ("pos", "neg", "score_sum")])
     joined = join_on_nullable(full, summed, [*keys, "cal_bin"], "left")
     n = F.col("pos") + F.col("neg")
     return joined.select(
@@ -302,10 +303,13 @@ def calibration_from_sketches(df: DataFrame, keys: Sequence[str], positives: str
     centre = (low + high) / 2
 
     def mass(rank: str, size: str) -> Column:
-        return F.col(size) * (F.get(rank, F.col("__i") + 1) - F.get(rank, F.col("__i")))
+        last = len(edges) - 2
+        below = F.when(F.col("__i") == 0, 0.0).otherwise(F.get(rank, F.col("__i")))
+        return F.col(size) * (F.when(F.col("__i") == last, 1.0).otherwise(F.get(rank, F.col("__i") + 1)) - below)
 
     def mean(grid: str) -> Column:
-        inside = F.filter(grid, lambda v: (v > low) & (v <= high))
+        first, last = F.col("__i") == 0, F.col("__i") == len(edges) - 2
+        inside = F.filter(grid, lambda v: ((v > low) | first) & ((v <= high) | last))
         return F.coalesce(ratio(F.aggregate(inside, F.lit(0.0), lambda acc, v: acc + v), F.size(inside)), centre)
 
     p, n = mass("__rp", "__p"), mass("__rn", "__n")

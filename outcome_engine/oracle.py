@@ -297,22 +297,25 @@ bins AS (SELECT {keys}, bin, cal_bin, CAST(sum(label) AS BIGINT) AS pos, CAST(su
   sum(Propensity) AS score_sum FROM binned GROUP BY ALL)"""
 
 
-def curves(keys: str) -> str:
-    """Rates above each threshold (point 0 = threshold 1), area and precision sums."""
+def curves(keys: str, source: str = "scored") -> str:
+    """From the rows themselves: rates above each threshold with both ends of the curve (points 0 and 102), area by rank sums."""
     return f"""
-totals AS (SELECT {keys}, sum(pos) AS p, sum(neg) AS n FROM bins GROUP BY ALL),
+score_values AS (SELECT {keys}, Propensity AS s, sum(label) AS pos, sum(1 - label) AS neg FROM {source} WHERE Propensity IS NOT NULL GROUP BY ALL),
+totals AS (SELECT {keys}, sum(pos) AS p, sum(neg) AS n FROM score_values GROUP BY ALL),
+ranked AS (SELECT *, sum(neg) OVER (PARTITION BY {keys} ORDER BY s) - neg AS neg_below FROM score_values),
+rank_sums AS (SELECT {keys}, sum(pos * (neg_below + neg / 2.0::DOUBLE)) AS won FROM ranked GROUP BY ALL),
 rates AS (SELECT {keys}, CAST(t.point AS INTEGER) AS point, any_value(p) AS p, any_value(n) AS n,
-  coalesce(sum(pos) FILTER (bin > 100 - t.point), 0) / any_value(p)::DOUBLE AS tpr,
-  coalesce(sum(neg) FILTER (bin > 100 - t.point), 0) / any_value(n)::DOUBLE AS fpr
-  FROM bins JOIN totals USING ({keys}) CROSS JOIN range(0, 101) t(point) GROUP BY {keys}, t.point),
+  coalesce(sum(pos) FILTER (t.point = 102 OR t.point > 0 AND s > (101 - t.point) / 100.0::DOUBLE), 0) / any_value(p)::DOUBLE AS tpr,
+  coalesce(sum(neg) FILTER (t.point = 102 OR t.point > 0 AND s > (101 - t.point) / 100.0::DOUBLE), 0) / any_value(n)::DOUBLE AS fpr
+  FROM score_values JOIN totals USING ({keys}) CROSS JOIN range(0, 103) t(point) GROUP BY {keys}, t.point),
 sharp AS (SELECT *, p * tpr / (p * tpr + n * fpr + 1e-10) AS raw FROM rates),
 curve AS (SELECT *, max(raw) OVER (PARTITION BY {keys} ORDER BY point ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS prec,
-  lag(tpr) OVER (PARTITION BY {keys} ORDER BY point) AS tpr0, lag(fpr) OVER (PARTITION BY {keys} ORDER BY point) AS fpr0 FROM sharp),
+  lag(tpr) OVER (PARTITION BY {keys} ORDER BY point) AS tpr0 FROM sharp),
 area AS (SELECT {keys},
-  CASE WHEN any_value(p) = 0 OR any_value(n) = 0 THEN 0.0 ELSE sum((fpr - fpr0) * (tpr + tpr0) / 2) END AS roc_auc,
+  CASE WHEN any_value(p) = 0 OR any_value(n) = 0 THEN 0.0 ELSE any_value(won) / (any_value(p) * any_value(n)::DOUBLE) END AS roc_auc,
   CASE WHEN any_value(p) = 0 OR any_value(n) = 0 THEN 0.0 ELSE sum((tpr - tpr0) * prec) END AS average_precision,
   CASE WHEN any_value(p) = 0 OR any_value(n) = 0 THEN 0.0 ELSE any_value(p) / (any_value(p) + any_value(n)::DOUBLE) END AS pos_fraction
-  FROM curve GROUP BY {keys})"""
+  FROM curve JOIN rank_sums USING ({keys}) GROUP BY {keys})"""
 
 
 add("ml_agg_sketch", f"{MODEL}, {bins('Channel, CustomerType')}", "SELECT * REPLACE (round(score_sum, 4) AS score_sum) FROM bins")
@@ -463,7 +466,7 @@ add("tab_odds", EXP_TESTS.replace("tests AS (SELECT", "raw_tests AS (SELECT *, e
   CASE WHEN hi < 1 AND lo < 1 THEN 'Control' WHEN hi > 1 AND lo > 1 THEN 'Test' ELSE 'N/A' END AS winner FROM raw_tests""")
 
 RPT_ML_KEYS = 'Channel, "Year"'
-add("rpt_ml", f"{FINE_MODEL}, {bins(RPT_ML_KEYS)}, {curves(RPT_ML_KEYS)}, w AS ({weighted_model(RPT_ML_KEYS)})",
+add("rpt_ml", f"{FINE_MODEL}, {curves(RPT_ML_KEYS)}, w AS ({weighted_model(RPT_ML_KEYS)})",
     f"""SELECT w.*, round(roc_auc, 8) AS roc_auc, round(average_precision, 8) AS average_precision,
   round(pos_fraction, 8) AS pos_fraction FROM w JOIN area USING ({RPT_ML_KEYS})""")
 add("grp_ml", FINE_MODEL, weighted_model('Quarter, Channel, "Year", CustomerType'))
@@ -542,24 +545,26 @@ for _name in ("sk_build", "sk_merge"):
     add(_name, IH, 'SELECT Channel, count("Priority") AS n FROM ih GROUP BY ALL')
 add("rpt_desc_merge", IH, "SELECT Channel, " + ", ".join(f'count("{c}") AS "{c}_n"' for c in NUMBERS) + " FROM ih GROUP BY ALL")
 
-BY_TYPE = f"{MODEL}, {bins('CustomerType')}, {curves('CustomerType')}"
+BY_TYPE = f"{MODEL}, {curves('CustomerType')}"
 add("ml_roc_pr", BY_TYPE, """SELECT CustomerType, round(roc_auc, 8) AS roc_auc, round(average_precision, 8) AS average_precision,
   round(pos_fraction, 8) AS pos_fraction FROM area""")
 
 
 def calibration(keys: str) -> str:
-    select = f"{keys}, " if keys else ""
-    groups = f"SELECT DISTINCT {keys} FROM bins" if keys else "SELECT 1 AS one"
+    """From the rows themselves: the first bin is closed on the left, the last takes all above."""
+    groups = f"SELECT DISTINCT {keys} FROM scored" if keys else "SELECT 1 AS one"
     on = " AND ".join([f"g.{k} = b.{k}" for k in ([keys] if keys else [])] + ["b.cal_bin = e.cal_bin"])
     edges = ", ".join(f"({i + 1}, {(a + b) / 2!r}::DOUBLE)" for i, (a, b) in enumerate(zip(CALIBRATION_EDGES, CALIBRATION_EDGES[1:])))
+    case = "CASE " + " ".join(f"WHEN Propensity <= {e!r}::DOUBLE THEN {i + 1}" for i, e in enumerate(CALIBRATION_EDGES[1:-1])) + f" ELSE {len(CALIBRATION_EDGES) - 1} END"
     return f"""SELECT {f'g.{keys}, ' if keys else ''}CAST(e.cal_bin AS INTEGER) AS cal_bin, round(any_value(e.centre), 8) AS calibration_bin,
-  round(coalesce(sum(score_sum) / nullif(sum(pos + neg), 0), any_value(e.centre)), 8) AS calibration_proba,
-  round(coalesce(sum(pos) / nullif(sum(pos + neg), 0)::DOUBLE, 0), 8) AS calibration_rate, CAST(coalesce(sum(pos + neg), 0) AS BIGINT) AS n
-  FROM ({groups}) g CROSS JOIN (VALUES {edges}) e(cal_bin, centre) LEFT JOIN bins b ON {on} GROUP BY {f'g.{keys}, ' if keys else ''}e.cal_bin"""
+  round(coalesce(avg(Propensity), any_value(e.centre)), 8) AS calibration_proba,
+  round(coalesce(avg(label::DOUBLE), 0), 8) AS calibration_rate, count(Propensity) AS n
+  FROM ({groups}) g CROSS JOIN (VALUES {edges}) e(cal_bin, centre)
+  LEFT JOIN (SELECT *, {case} AS cal_bin FROM scored WHERE Propensity IS NOT NULL) b ON {on} GROUP BY {f'g.{keys}, ' if keys else ''}e.cal_bin"""
 
 
-add("ml_calibration", f"{MODEL}, {bins('CustomerType')}", calibration("CustomerType"))
-add("tab_calibration", f"{MODEL}, {bins('CustomerType')}", calibration("").replace(
+add("ml_calibration", MODEL, calibration("CustomerType"))
+add("tab_calibration", MODEL, calibration("").replace(
     "SELECT CAST(e.cal_bin", "SELECT 'ALL' AS \"ALL\", CAST(e.cal_bin"))
 
 # ---- report tables ------------------------------------------------------------------------------------------------
@@ -584,10 +589,8 @@ add("tab_cards", ENG, """SELECT CustomerType, CAST(sum(Positives) AS BIGINT) AS
   round(sum(Positives) / (sum(Positives) + sum(Negatives))::DOUBLE, 8) AS CTR,
   round(sum(Positives) / (sum(Positives) + sum(Negatives))::DOUBLE
     - (SELECT sum(Positives) / (sum(Positives) + sum(Negatives))::DOUBLE FROM eng), 8) AS delta FROM eng GROUP BY ALL""")
-_all_curves = curves('"Month"')
-_whole = f"""whole_bins AS (SELECT 'ALL' AS "Month", bin, cal_bin, sum(pos) AS pos, sum(neg) AS neg, sum(score_sum) AS score_sum FROM bins0 GROUP BY ALL)"""
-add("kpi_ml", f"""{FINE_MODEL}, {bins('"Month"').replace('bins AS (SELECT', 'bins0 AS (SELECT')}, {_whole},
-bins AS (SELECT * FROM bins0 UNION ALL SELECT * FROM whole_bins), {_all_curves},
+add("kpi_ml", f"""{FINE_MODEL},
+scored_both AS (SELECT "Month", label, Propensity FROM scored UNION ALL SELECT 'ALL', label, Propensity FROM scored), {curves('"Month"', 'scored_both')},
 w AS ({weighted_model('"Month"')} UNION ALL {weighted_model("'ALL'").replace("SELECT 'ALL',", "SELECT 'ALL' AS mm,")})""",
     """SELECT "Month", round(roc_auc, 8) AS roc_auc, round(average_precision, 8) AS average_precision, personalization, novelty
 FROM area JOIN w USING ("Month")""")
@@ -608,7 +611,7 @@ add("tab_curves", BY_TYPE, """SELECT CustomerType, point, round(fpr, 8) AS fpr,
   round(prec, 8) AS precision FROM curve""")
 GAIN = "p / (p + n)::DOUBLE * tpr + (1 - p / (p + n)::DOUBLE) * fpr"
 add("tab_gain", BY_TYPE, f"SELECT CustomerType, point, round({GAIN}, 8) AS sample_fraction, round(tpr, 8) AS gain FROM curve")
-add("tab_lift", f"""{MODEL}, {bins("'ALL' AS every")}, {curves('every')}""", f"""SELECT every AS "ALL", point, round({GAIN}, 8) AS sample_fraction,
+add("tab_lift", f"""{MODEL}, scored_all AS (SELECT 'ALL' AS every, * FROM scored), {curves('every', 'scored_all')}""", f"""SELECT every AS "ALL", point, round({GAIN}, 8) AS sample_fraction,
   round(CASE WHEN {GAIN} > 1e-6 THEN tpr / ({GAIN}) ELSE 0.0 END, 8) AS lift FROM curve""")
 
 # ---- customer value -----------------------------------------------------------------------------------------------

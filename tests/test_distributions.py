@@ -148,8 +148,8 @@ def test_exact_binary_metrics(spark):
 
 def curve_by_hand(score, label):
     thresholds = [round(i / 100, 4) for i in range(101)]
-    tpr = np.array([(score[label == 1] > t).mean() for t in thresholds])[::-1]
-    fpr = np.array([(score[label == 0] > t).mean() for t in thresholds])[::-1]
+    tpr = np.array([0, *[(score[label == 1] > t).mean() for t in thresholds][::-1], 1])
+    fpr = np.array([0, *[(score[label == 0] > t).mean() for t in thresholds][::-1], 1])
     tp, fp = (label == 1).sum() * tpr, (label == 0).sum() * fpr
     precision = np.maximum.accumulate((tp / (tp + fp + 1e-10))[::-1])[::-1]
     return (np.sum(np.diff(fpr) * (tpr[1:] + tpr[:-1]) / 2), np.sum(np.diff(tpr) * precision[1:]), tpr, fpr)
@@ -194,7 +194,7 @@ def test_calibration(spark):
     assert len(got) == 26
     for r in got:
         low, high = ml.CALIBRATION_EDGES[r.cal_bin - 1], ml.CALIBRATION_EDGES[r.cal_bin]
-        inside = [(d[1], d[2]) for d in data if d[0] == "hot" and low < d[1] <= high]
+        inside = [(d[1], d[2]) for d in data if d[0] == "hot" and (low < d[1] or r.cal_bin == 1) and (d[1] <= high or r.cal_bin == 26)]
         assert r.n == len(inside)
         assert r.calibration_proba == pytest.approx(np.mean([i[0] for i in inside]) if inside else (low + high) / 2)
         assert r.calibration_rate == pytest.approx(np.mean([i[1] for i in inside]) if inside else 0.0)
@@ -207,6 +207,19 @@ def test_calibration(spark):
     assert all(near[r.cal_bin].calibration_proba == pytest.approx(r.calibration_proba, abs=0.02) for r in full)
 
 
+def test_scores_of_zero_and_one_are_on_the_curve_and_in_the_calibration(spark):
+    data = [("a", s, y) for s, y, n in ((0.0, 0, 6), (0.0, 1, 2), (0.5, 0, 3), (0.5, 1, 3), (1.0, 1, 5), (1.0, 0, 1), (1.2, 1, 1)) for _ in range(n)]
+    df = spark.createDataFrame(data, "g string, Propensity double, Outcome_Binary int")
+    bins = ml.score_bins(df, ["g"])
+    got = ml.curve_scores(ml.shares_from_bins(bins, ["g"]), ["g"]).first()
+    exact = ml.exact_binary_metrics(df.withColumn("Propensity", F.least(F.lit(1.0), "Propensity")), ["g"]).first()
+    assert (got.tpr[0], got.fpr[0], got.tpr[-1], got.fpr[-1]) == (0, 0, 1, 1)
+    assert got.roc_auc == pytest.approx(ml.exact_binary_metrics(df, ["g"]).first().roc_auc)
+    assert exact.roc_auc <= got.roc_auc + 1e-9
+    made = {r.cal_bin: r.n for r in ml.calibration(bins, ["g"]).collect()}
+    assert sum(made.values()) == len(data) and made[1] == 8 and made[26] == 7
+
+
 def test_personalization_and_novelty(spark):
     rng = np.random.default_rng(5)
     data = [(f"c{rng.integers(0, 40)}" if i % 3 else "hot", f"i{rng.integers(0, 200)}", f"n{rng.integers(0, 6)}") for i in range(900)]
@@ -233,4 +246,4 @@ def test_gain_and_lift_of_a_random_score_is_flat(spark):
     bins = ml.score_bins(df, [])
     for r in tables.gain_and_lift(bins).collect():
         assert r.gain == pytest.approx(r.sample_fraction) and (r.lift == pytest.approx(1.0) or r.sample_fraction < 1e-6)
-    assert tables.roc_curve(bins).count() == 101 and tables.calibration_curve(bins).count() == 26
+    assert tables.roc_curve(bins).count() == 103 and tables.calibration_curve(bins).count() == 26
