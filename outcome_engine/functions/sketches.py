@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -53,15 +54,15 @@ def histogram(df: DataFrame, sketch: str, bins: int = 30,
               value_range: tuple[float, float] | None = None) -> DataFrame:
     """One row per bin: bin, left, right, center, mass. `df` holds one sketch per row.
 
-    With a given range the masses are rank differences at literal edges. Without one the
-    range is each sketch's own [min, max], and the mass comes from an even grid of ranks.
+    With a given range the masses are rank differences at literal edges; the first bin is closed on both sides. Without
+    one the range is each sketch's own [min, max], and the mass comes from an even grid of ranks. Empty bins have mass 0.
     """
     keep = [c for c in df.columns if c != sketch]
     if value_range is not None:
         low, high = map(float, value_range)
         width = (high - low) / bins
         edges = [low + width * i for i in range(bins + 1)]
-        at = df.withColumn("__rank", ranks(sketch, edges))
+        at = df.withColumn("__rank", ranks(sketch, [math.nextafter(low, -math.inf), *edges[1:]]))
         out = at.select(*keep, "__rank", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
         return out.select(
             *keep, "bin",
@@ -73,12 +74,13 @@ def histogram(df: DataFrame, sketch: str, bins: int = 30,
     grid = quantiles(sketch, [i / GRID_STEPS for i in range(GRID_STEPS + 1)])
     one = df.filter(size(sketch) > 0).withColumn("__grid", grid)
     one = one.withColumns({"__low": F.element_at("__grid", 1), "__high": F.element_at("__grid", GRID_STEPS + 1)})
-    position = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("__low"),
-                                               F.col("__high") - F.col("__low")) * bins), F.lit(0))
-    points = one.select(*keep, "__low", "__high", F.explode("__grid").alias("v"))
-    counted = (points.withColumn("bin", F.least(position, F.lit(bins - 1)).cast("int"))
-               .groupBy(*keep, "__low", "__high", "bin")
-               .agg((F.count("*") / F.lit(GRID_STEPS + 1.0)).alias("mass")))
+    def position(v: Column) -> Column:
+        place = F.floor(F.try_divide(v - F.col("__low"), F.col("__high") - F.col("__low")) * bins)
+        return F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int")
+
+    masses = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.size(
+        F.filter(F.transform("__grid", position), lambda p: p == i)) / F.lit(GRID_STEPS + 1.0))
+    counted = one.select(*keep, "__low", "__high", F.posexplode(masses).alias("bin", "mass"))
     width = (F.col("__high") - F.col("__low")) / bins
     return counted.select(
         *keep, "bin",

@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outcome_engine.functions.columns import join_on_nullable
-from outcome_engine.session import cut_lineage
 
 BUCKET = "__bucket"
-BUCKETS = 256
-LARGE_GROUP = 1_000_000
+BUCKETS_PER_PARTITION = 8
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
-    """Approximate quantiles per column: at most `buckets` numbers each reach the driver."""
+def cut_points(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
+    """Approximate quantiles per column: `buckets` numbers each reach the driver, by default a few for each shuffle
+    partition, so that a bucket grows no faster than a partition does."""
+    buckets = buckets or BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / buckets for i in range(1, buckets)]
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     found = doubles.approxQuantile(list(columns), shares, 1.0 / (2 * buckets))
@@ -44,7 +44,7 @@ def with_bucket(df: DataFrame, column: str, cuts: Sequence[float]) -> DataFrame:
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str],
-                cuts: Sequence[float] | None = None, buckets: int = BUCKETS) -> DataFrame:
+                cuts: Sequence[float] | None = None, buckets: int | None = None) -> DataFrame:
     """Add `{m}_before` (sum over strictly smaller order values) and `{m}_total` per group.
 
     `df` holds one row per (keys, order value): aggregate before calling.
@@ -72,40 +72,12 @@ def _prefix_within_buckets(marked: DataFrame, keys: Sequence[str], order: str,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float],
-                    buckets: int = BUCKETS, large: int = LARGE_GROUP) -> DataFrame:
-    """Linear-interpolated exact quantiles: one row per group, columns `{column}_{name}`.
+                    buckets: int | None = None) -> DataFrame:
+    """Linear-interpolated exact quantiles: one row per group, columns `{column}_{name}`, the same plan at every size.
 
-    `percentile` keeps the values of a group in one task, which is right for groups of up to `large`
-    rows. Groups above that are told apart by a count and take the spread-out way.
+    Values are counted per (group, column, value) before any ordering, so repeats cost nothing, and each task orders one
+    bucket of values. Groups without any value have no row.
     """
-    if keys:
-        sizes = df.groupBy(*keys).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > large)
-        big = cut_lineage(sizes.select(F.struct(*keys).alias("__big")))
-        if big.isEmpty():
-            return _small_group_quantiles(df, keys, columns, probs)
-        marked = df.withColumn("__key", F.struct(*keys))
-        same = F.col("__key") == F.col("__big")
-        small = marked.join(big, same, "left_anti").drop("__key")
-        rest = marked.join(big, same, "left_semi").drop("__key")
-        return _small_group_quantiles(small, keys, columns, probs).unionByName(
-            _spread_quantiles(rest, keys, columns, probs, buckets))
-    if df.count() <= large:
-        return _small_group_quantiles(df, keys, columns, probs)
-    return _spread_quantiles(df, keys, columns, probs, buckets)
-
-
-def _small_group_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                           probs: Mapping[str, float]) -> DataFrame:
-    shares = ", ".join(f"{float(p)!r}D" for p in probs.values())
-    found = df.groupBy(*keys).agg(*[F.expr(f"percentile(CAST(`{c}` AS DOUBLE), array({shares}))").alias(f"__{i}")
-                                    for i, c in enumerate(columns)])
-    return found.select(*keys, *[F.get(f"__{i}", F.lit(k)).alias(f"{c}_{name}")
-                                 for i, c in enumerate(columns) for k, name in enumerate(probs)])
-
-
-def _spread_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float],
-                      buckets: int) -> DataFrame:
-    """Values are counted per (group, column, value) before any ordering, so repeats cost nothing."""
     cuts = cut_points(df, columns, buckets)
     wide = df.select(*keys, *[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)])
     marker = Bucketizer(splitsArray=[_splits(cuts[c]) for c in columns],
@@ -132,7 +104,8 @@ def _spread_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str]
         mine = F.col("__c") == i
         for name in probs:
             low, high, part = (F.col(f"__{name}_{s}") for s in ("lo", "hi", "part"))
-            out.append(F.max(F.when(mine, low + (high - low) * part)).alias(f"{c}_{name}"))
+            between = F.when(low == high, low).otherwise(low + (high - low) * part)  # equal infinities have no difference
+            out.append(F.max(F.when(mine, between)).alias(f"{c}_{name}"))
     return found.groupBy(*keys).agg(*out)
 
 

@@ -14,7 +14,6 @@ from outcome_engine.operators.engagement import sum_counts
 from outcome_engine.plans import reports
 from outcome_engine.spec import ALL, MetricSpec, ReportSpec, unique_in_order
 
-CARD_LIMIT = 18
 RATE_OF = {"engagement": "CTR", "conversion": "ConversionRate"}
 
 
@@ -83,14 +82,9 @@ def gauge(scores: DataFrame, group_by: Sequence[str], value: str, reference: Map
 
 
 def cards(stored: DataFrame, family: str, group_by: Sequence[str]) -> DataFrame:
-    """Rate per group and its distance to the overall rate.
-
-    The last two grouping columns are used, or only the last one when there are more than 18 groups.
-    """
+    """Rate per group and its distance to the overall rate. How fine the groups are is the caller's choice alone."""
     rate = RATE_OF[family]
-    keys = list(group_by)[-2:]
-    if len(keys) > 1 and len(stored.select(*keys).distinct().limit(CARD_LIMIT + 1).take(CARD_LIMIT + 1)) > CARD_LIMIT:
-        keys = keys[-1:]
+    keys = list(group_by)
     grouped = sum_counts(stored, keys, ("Negatives", "Positives"))
     overall = stored.agg(ratio(F.sum("Positives"), F.sum("Positives") + F.sum("Negatives"))).scalar()
     rated = grouped.withColumn(rate, ratio("Positives", F.col("Positives") + F.col("Negatives")))
