@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.storagelevel import StorageLevel
 
 from outcome_engine.operators import clv as clv_ops
 from outcome_engine.operators.clean import CleaningConfig, clean_holdings, clean_interactions
 from outcome_engine.operators.filters import filter_dimensions
 from outcome_engine.operators.merge import aggregate, compact, merge_loads
 from outcome_engine.plans.reports import report_scores
+from outcome_engine.session import new_folder
 from outcome_engine.sources.store import AggregateStore
 from outcome_engine.spec import MetricSpec, ReportSpec
 
@@ -19,15 +19,15 @@ from outcome_engine.spec import MetricSpec, ReportSpec
 def store_metrics(ih: DataFrame, specs: Sequence[MetricSpec], store: AggregateStore) -> None:
     """Aggregate a cleaned frame for every metric, merge with what is stored, write the next version.
 
-    Several metrics read the frame, so it is kept once, in memory with spill to disk.
+    Several metrics read the frame, so it is written once to the shared folder; each metric then reads its columns.
     """
-    ih.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for spec in specs:
-            stored = store.read(spec.name) if store.exists(spec.name) else None
-            store.replace(spec.name, merge_loads(stored, aggregate(ih, spec), spec))
-    finally:
-        ih.unpersist()
+    if len(specs) > 1:
+        path = new_folder(ih.sparkSession, "cleaned")
+        ih.write.parquet(path)
+        ih = ih.sparkSession.read.schema(ih.schema).parquet(path)
+    for spec in specs:
+        stored = store.read(spec.name) if store.exists(spec.name) else None
+        store.replace(spec.name, merge_loads(stored, aggregate(ih, spec), spec))
 
 
 def compact_table(store: AggregateStore, spec: MetricSpec) -> None:

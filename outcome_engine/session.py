@@ -26,12 +26,15 @@ def build_session(app: str = "outcome_engine", master: str | None = None, **extr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder; a temporary one only if unset."""
+    """Folder every executor can reach: the cluster's checkpoint folder. A temporary one only where none is set and all
+    tasks run on this machine; on a cluster each executor would write to a disk of its own, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="outcome_engine_")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
