@@ -881,7 +881,7 @@ def tab_gauge(spark, folder):
 
 @query
 def tab_cards(spark, folder):
-    made = tables.cards(stored(spark, _engagement(spark, folder)), "engagement", ["Channel", "CustomerType"])
+    made = tables.cards(stored(spark, _engagement(spark, folder)), "engagement", ["CustomerType"])
     return round_columns(made, 8, "CTR", "delta")
 
 
@@ -1107,6 +1107,6 @@ def inc_windowed_ctr(spark, folder):
     target = new_folder(spark, "inc_ctr")
     stream = fixtures.event_outcomes(_event_stream(spark, folder))
     counted = incremental.windowed_ctr(stream, "ts", "2 days", ["Clicked"], ["Impression"])
-    incremental.load_new_files(counted, target, new_folder(spark, "ledger")).awaitTermination()
-    made = spark.read.parquet(target).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    incremental.write_windows(counted, target, new_folder(spark, "ledger")).awaitTermination()
+    made = incremental.read_windows(spark, target).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
     return round_columns(made, 8, "CTR")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from outcome_engine.functions.columns import join_on_nullable, total
 from outcome_engine.operators.engagement import sum_counts
 from outcome_engine.operators.filters import apply_where
-from outcome_engine.operators.labels import LABEL, keep_best_outcome, label_outcomes
+from outcome_engine.operators.labels import LABEL, best_outcome_cells, label_outcomes
 from outcome_engine.spec import CONVERSION_EVENT_ID, REVENUE, SUBJECT_ID, MetricSpec, unique_in_order
 
 TOUCH_KEYS = [SUBJECT_ID, CONVERSION_EVENT_ID]
@@ -27,8 +27,9 @@ def conversion(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     however many events a customer has; the touchpoints are then weighted by the cell's rows.
     """
     labelled = label_outcomes(apply_where(ih, spec.where), spec.positive, spec.negative)
-    cells = keep_best_outcome(labelled).groupBy(*unique_in_order(spec.keys, TOUCH_KEYS)).agg(
-        F.count("*").alias("Count"), total(REVENUE).alias("Revenue"), total(LABEL).alias("Positives"))
+    dims = unique_in_order(spec.keys, TOUCH_KEYS)
+    cells = best_outcome_cells(labelled, dims, [REVENUE]).groupBy(*dims).agg(
+        total("Count").alias("Count"), total(REVENUE).alias("Revenue"), total("Positives").alias("Positives"))
     # A NULL customer or event has no touchpoints: NULL keys do not match each other here.
     joined = join_on_nullable(cells, touchpoints(labelled).dropna(subset=TOUCH_KEYS), TOUCH_KEYS, "left")
     summed = joined.groupBy(*spec.keys).agg(

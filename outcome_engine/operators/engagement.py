@@ -7,24 +7,20 @@ from pyspark.sql import functions as F
 
 from outcome_engine.functions.columns import total
 from outcome_engine.operators.filters import apply_where
-from outcome_engine.operators.labels import LABEL, keep_best_outcome, label_outcomes
+from outcome_engine.operators.labels import best_outcome_cells, label_outcomes
 from outcome_engine.spec import MetricSpec, unique_in_order
 
 COUNTS = ("Count", "Positives", "Negatives")
 
 
-def outcome_counts(kept: DataFrame, keys) -> DataFrame:
-    counted = kept.groupBy(*keys).agg(F.count("*").alias("Count"), total(LABEL).alias("Positives"))
-    return counted.withColumn("Negatives", F.col("Count") - F.col("Positives"))
-
-
 def sum_counts(df: DataFrame, keys, names=COUNTS) -> DataFrame:
     return df.groupBy(*keys).agg(*[total(n).alias(n) for n in names])
 
 
 def engagement(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     labelled = label_outcomes(apply_where(ih, spec.where), spec.positive, spec.negative)
-    return outcome_counts(keep_best_outcome(labelled), spec.keys)
+    counted = sum_counts(best_outcome_cells(labelled, spec.keys), spec.keys, ("Count", "Positives"))
+    return counted.withColumn("Negatives", F.col("Count") - F.col("Positives"))
 
 
 def compact_engagement(stored: DataFrame, spec: MetricSpec) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outcome_engine.spec import INTERACTION_KEYS, OUTCOME
+from outcome_engine.spec import INTERACTION_KEYS, OUTCOME, unique_in_order
 
 LABEL = "Outcome_Binary"
 
@@ -40,6 +40,24 @@ def keep_best_outcome(labelled: DataFrame, keys: Sequence[str] = INTERACTION_KEY
     return joined.filter((F.col(LABEL) == 1) | F.col("__won").isNull()).drop("__key", "__won")
 
 
+def best_outcome_cells(labelled: DataFrame, dims: Sequence[str], sums: Sequence[str] = (),
+                       keys: Sequence[str] = INTERACTION_KEYS) -> DataFrame:
+    """What `keep_best_outcome` keeps, counted: a row for each (interaction key, dims) with Count, Positives and `sums`.
+
+    One pass: rows are counted per key and dimensions first, combined before the shuffle, so that a key that holds a large
+    share of the rows has shrunk to a few cells when the window looks for its positives.
+    """
+    names = unique_in_order(keys, dims)
+    won = F.col(LABEL) == 1
+    cells = labelled.groupBy(*names).agg(
+        F.count("*").alias("__rows"), F.count(F.when(won, 1)).alias("Positives"),
+        *[F.sum(c).alias(f"__all_{c}") for c in sums], *[F.sum(F.when(won, F.col(c))).alias(f"__won_{c}") for c in sums])
+    any_won = F.max("Positives").over(Window.partitionBy(*keys)) > 0
+    kept = cells.withColumn("__any", any_won).filter(~F.col("__any") | (F.col("Positives") > 0))
+    return kept.select(*names, F.when(F.col("__any"), F.col("Positives")).otherwise(F.col("__rows")).alias("Count"), "Positives",
+                       *[F.when(F.col("__any"), F.col(f"__won_{c}")).otherwise(F.col(f"__all_{c}")).alias(c) for c in sums])
+
+
 def keep_groups_with_positive(df: DataFrame, keys: Sequence[str], labelled: DataFrame | None = None) -> DataFrame:
     """Rows of key groups that hold at least one positive.
 

@@ -686,6 +686,4 @@ add("inc_dedup", "", EVENTS)
 add("inc_windowed_ctr", "", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, count(*) AS "Count",
   count(*) FILTER (event_type = 'click') AS Positives, count(*) FILTER (event_type = 'view') AS Negatives,
   round(count(*) FILTER (event_type = 'click') / count(*)::DOUBLE, 8) AS CTR
-FROM events WHERE event_type IN ('click', 'view')
-  AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY FROM events WHERE event_type IN ('click', 'view'))
-GROUP BY ALL""")
+FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL""")

@@ -62,10 +62,30 @@ def dedup_stream(stream: DataFrame, time: str, keys: Sequence[str], delay: str)
 
 def windowed_ctr(stream: DataFrame, time: str, delay: str, positive: Sequence[str], negative: Sequence[str],
                  dims: Sequence[str] = (), width: str = "1 day") -> DataFrame:
-    """Counts and CTR per tumbling window; rows later than the watermark are dropped."""
+    """Counts and CTR per tumbling window; rows later than the watermark are dropped. Store it with `write_windows`,
+    which takes windows in while they are open."""
     labelled = label_outcomes(stream, positive, negative).withWatermark(time, delay)
     counted = labelled.groupBy(F.window(time, width), *dims).agg(
         F.count("*").alias("Count"), total(LABEL).alias("Positives"))
     return counted.select(F.col("window.start").alias("window_start"), *dims, "Count", "Positives",
                           (F.col("Count") - F.col("Positives")).alias("Negatives"),
                           ratio("Positives", "Count").alias("CTR"))
+
+
+def write_windows(counted: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Write every window that a micro-batch changed, below its batch id; a repeated batch overwrites itself."""
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return (counted.writeStream.outputMode("update").foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_windows(spark: SparkSession, target: str, dims: Sequence[str] = ()) -> DataFrame:
+    """The latest state of every window, open ones included."""
+    changes = spark.read.parquet(target)
+    keys = ["window_start", *dims]
+    values = [c for c in changes.columns if c not in (*keys, "batch")]
+    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("__now"))
+    return latest.select(*keys, "__now.*")

@@ -213,7 +213,7 @@ def test_late_rows_and_repeats(spark, tmp_path):
     def ctr():
         stream = incremental.file_stream(spark, source, schema)
         counted = incremental.windowed_ctr(stream, "ts", "1 hour", ["Clicked"], ["Impression"])
-        incremental.load_new_files(counted, str(tmp_path / "ctr"), str(tmp_path / "ck1")).awaitTermination()
+        incremental.write_windows(counted, str(tmp_path / "ctr"), str(tmp_path / "ck1")).awaitTermination()
 
     def dedup():
         stream = incremental.dedup_stream(incremental.file_stream(spark, source, schema), "ts", ["k"], "10 days")
@@ -223,7 +223,7 @@ def test_late_rows_and_repeats(spark, tmp_path):
     ctr(), dedup()
     put(("2024-01-01 12:00:00", "Clicked", 4), ("2024-01-03 13:00:00", "Clicked", 3), ("2024-01-05 00:00:00", "Impression", 5))
     ctr(), dedup()
-    got = rows(spark.read.parquet(str(tmp_path / "ctr")), "window_start")
+    got = rows(incremental.read_windows(spark, str(tmp_path / "ctr")), "window_start")
     assert [(str(r["window_start"])[:10], r["Count"], r["Positives"], r["CTR"]) for r in got] == [
-        ("2024-01-01", 2, 1, 0.5), ("2024-01-03", 2, 1, 0.5)]
+        ("2024-01-01", 2, 1, 0.5), ("2024-01-03", 2, 1, 0.5), ("2024-01-05", 1, 0, 0.0)]
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "dd")).collect()) == [1, 2, 3, 4, 5]
