@@ -16,19 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings, whole_text
-from .tokens import SIGNS, load, pieces_between_spaces
+from .common import no_collection, slices, strings, whole_text
+from .tokens import SIGNS, latin_word, load, pieces_between_spaces
 
 CACHE = 150_000  # pieces of text remembered by a task before it starts anew
 PAIRS = 2_000_000  # verified pairs remembered
 NEVER = np.iinfo(np.int64).max
 LONG = 48  # symbols from which a word is merged by itself
 
-#: fixed: printable bytes stand for themselves in the vocabulary's alphabet, the others for the characters from 256 on
-PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-ALPHABET = dict(zip([*sorted(PRINTABLE), *sorted(set(range(256)) - PRINTABLE)], map(chr, [*sorted(PRINTABLE), *range(256, 324)])))
-AS_BYTES = {byte: char for byte, char in ALPHABET.items() if chr(byte) != char}
-
 
 class SpeculativeBpe:
     """Merges of a vocabulary file whose words end with a suffix (possibly empty)."""
@@ -202,10 +197,9 @@ class TextCoder:
     def words(self, piece: str) -> list[str | int]:
         """Words of a piece of text in the vocabulary's alphabet, and ids of added tokens in it."""
         core = piece.rstrip(SIGNS)
-        if core.isalpha() and max(core) < "\u0250":  # Latin letters: composed already, and lower case as the library's
-            word = core.lower()
-            if word.isascii() or word.isalpha():
-                word = word if word.isascii() else word.encode().decode("latin-1").translate(AS_BYTES)
+        if core.isascii() or core.isalpha() and max(core) < "\u0250":
+            word = latin_word(core.lower())  # lower case as the library's for these letters
+            if word is not None:
                 return [word, piece[len(core):]] if len(piece) > len(core) else [word]
         for mark, number in self.added.items():
             if mark in piece:
@@ -213,6 +207,7 @@ class TextCoder:
                 return self.words(before) + [number] + self.words(after)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))] if piece else []
 
+    @no_collection()
     def learn(self, wanted: set[str]) -> None:
         if len(self.known) + len(wanted) > CACHE:
             self.known = {x: self.known[x] for x in wanted if x in self.known}

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, strings, whole_text
-from .tokens import SIGNS, load, pieces_with_spaces, with_space
+from .common import no_collection, slices, stored, strings, whole_text
+from .tokens import SIGNS, SPACE, latin_word, load, pieces_with_spaces, with_space
 
 BLOCK_CHARS = 8_000_000  # a block ends with the document that exceeds this, so only a single longer document makes a longer block
 
@@ -75,6 +75,7 @@ class Block:
         self.held.append(np.fromiter(map(self.stretches.__getitem__, keys), np.int64, len(keys)))
         self.rows.append((doc_id, len(text.encode("utf-8", "surrogatepass")), n_special))
 
+    @no_collection()
     def finish(self) -> tuple[list[bytes], list[bytes], list[str]]:
         """For each document its pre-tokens' numbers (differences, packed) and their counts; the pre-tokens by number."""
         names = Numbers()
@@ -158,14 +159,23 @@ def piece_counts(vocabularies: DataFrame, tokenizer: str) -> DataFrame:
 
     def count(batches):
         library = load(tokenizer)
+        encode_word = library.model.tokenize
         known: dict[str, int] = {}  # sorted input: a pre-token that two batches share is the last of the one before
         for batch in batches:
             column = strings(batch, "pretoken")
             distinct, last = dict.fromkeys(column), known
             new = [x for x in distinct if x not in last]
             known = {x: last[x] for x in distinct if x in last}
-            for start in range(0, len(new), 4096):
-                part = new[start:start + 4096]
+            other = []
+            for pretoken in new:
+                spaced = pretoken[:1] == " "
+                word = latin_word(pretoken[spaced:])
+                if word is None:
+                    other.append(pretoken)
+                else:
+                    known[pretoken] = len(encode_word(SPACE + word if spaced else word))
+            for start in range(0, len(other), 4096):
+                part = other[start:start + 4096]
                 known |= zip(part, [len(x.ids) for x in library.encode_batch_fast(part, add_special_tokens=False)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known[x] for x in column], pa.int32())], names=["block", "number", "n"])
 

@@ -12,6 +12,8 @@ import os
 import re
 import struct
 
+from .common import no_collection
+
 CACHE = 400_000  # pieces remembered by a task; beyond it the memory starts anew, which changes no result
 
 
@@ -61,18 +63,35 @@ def pieces_between_spaces(text: str) -> list[str]:
     return text.split()
 
 
+#: fixed: printable bytes stand for themselves in the vocabularies' alphabet, the others for the characters from 256 on
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = dict(zip([*sorted(PRINTABLE), *sorted(set(range(256)) - PRINTABLE)], map(chr, [*sorted(PRINTABLE), *range(256, 324)])))
+AS_BYTES = {byte: char for byte, char in ALPHABET.items() if chr(byte) != char}
+SPACE = ALPHABET[32]
+
+
+def latin_word(text: str) -> str | None:
+    """A run of Latin letters in the vocabularies' alphabet, None for all else. Such letters are composed already, and both
+    vocabularies take a run of them as one word."""
+    if text.isascii():
+        return text if text.isalpha() else None
+    if text.isalpha() and max(text) < "\u0250":
+        return text.encode().decode("latin-1").translate(AS_BYTES)
+    return None
+
+
 class CachedEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, cache: int = CACHE):
         self.tokenizer, self.cache = load(path), cache
         self.spaces = keeps_spaces(path)
-        self.plain = load(path)  # for lower-case ASCII words, which the normalizer leaves as they are
-        if not self.spaces:
-            self.plain.normalizer = None
+        self.word = self.tokenizer.model.tokenize  # the library's encoding of a single word
+        self.line_end = little_endian(self.tokenizer.encode("\n", add_special_tokens=False).ids)
         self.known: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {}
 
+    @no_collection()
     def learn(self, wanted: set[str]) -> None:
         if len(self.known) + len(wanted) > self.cache:
             self.known = {x: self.known[x] for x in wanted if x in self.known}
@@ -86,20 +105,30 @@ class CachedEncoder:
                         new[core] = None
                 else:
                     new[piece] = None
-        if self.spaces:
-            self.look_up(self.tokenizer, [with_space(x) for x in new], list(new), known)
-        else:
-            words = {x: x.lower() for x in new if x.isascii() and x.isalpha()}
-            lower = [x for x in dict.fromkeys(words.values()) if x not in known]
-            self.look_up(self.plain, lower, lower, known)
-            known |= {x: known[low] for x, low in words.items()}
-            other = [x for x in new if x not in words]
-            self.look_up(self.tokenizer, other, other, known)
+        other = []
+        for piece in new:
+            ids = self.word_ids(piece)
+            if ids is None:
+                other.append(piece)
+            else:
+                known[piece] = ids
+        self.look_up(self.tokenizer, [with_space(x) for x in other] if self.spaces else other, other, known)
         signs = [x for x in {signs for *_, signs in composed} if x not in self.signs]
         self.look_up(self.tokenizer, signs, signs, self.signs)
         for piece, core, signs in composed:
             known[piece] = known[core] + self.signs[signs]
 
+    def word_ids(self, piece: str) -> bytes | None:
+        """Ids of a piece that is a plain word, with the space or line end before it."""
+        if self.spaces:
+            if piece[:1] == "\n":
+                word = latin_word(piece[1:])
+                return None if word is None else self.line_end + little_endian([t.id for t in self.word(word)])
+            word = latin_word(piece)
+            return None if word is None else little_endian([t.id for t in self.word(SPACE + word)])
+        word = latin_word(piece.lower()) if piece.isascii() or piece.isalpha() and max(piece) < "\u0250" else None
+        return None if word is None else little_endian([t.id for t in self.word(word)])
+
     @staticmethod
     def look_up(library, texts: list[str], names: list[str], into: dict[str, bytes]) -> None:
         for start in range(0, len(texts), 4096):

@@ -1,22 +1,18 @@
+import os
 import random
+import sys
 
 import pytest
 from pyspark.sql import types as T
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from conftest_text import make_text  # noqa: E402
+
 DOCUMENTS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-WORDS = {
-    "en": "the of and shed thing over under winter morning letter river stone with from they would could about there".split(),
-    "de": "der die und über nicht größe straße winter morgen brief fluss stein mit von sie würde könnte etwa dort schön".split(),
-}
-
-
-def make_text(rng, lang, n):
-    return " ".join(rng.choice(WORDS[lang]) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def hard_rows():
     """Nulls in every column, empty and very long texts, ties, repeated rows, texts without words or letters."""

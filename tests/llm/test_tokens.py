@@ -35,7 +35,7 @@ def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
 
-TEXTS = st.text(alphabet=st.sampled_from(list("ab eE'stldm\n\t  .,!#9é̂ßΣİ日😀\x1c\x85 <|>")), max_size=60)
+TEXTS = st.text(alphabet=st.sampled_from(list("ab eEéÉœŒǅʰ'stldm\n\t  .,!#9é̂ßΣİ日😀\x1c\x85 <|>")), max_size=60)
 
 
 @settings(max_examples=300, deadline=None)
@@ -103,10 +103,6 @@ def test_packing_is_close_to_the_least_number():
     assert halves.sequences == 1015
 
 
-def test_packing_finds_perfect_triples():
-    plan = packing.make_plan({500: 400, 300: 400, 224: 400})
-    assert plan.sequences == 400
-
 
 def test_salted_ranks_have_no_gap(spark, hard):
     pieces = packing.cut_documents(hard, BYTE, 2, 64)
