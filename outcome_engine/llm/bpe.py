@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_collection, slices, strings, whole_text
+from .common import slices, strings, whole_text, without_collection
 from .tokens import SIGNS, latin_word, load, pieces_between_spaces
 
 CACHE = 150_000  # pieces of text remembered by a task before it starts anew
@@ -207,7 +207,7 @@ class TextCoder:
                 return self.words(before) + [number] + self.words(after)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))] if piece else []
 
-    @no_collection()
+    @without_collection
     def learn(self, wanted: set[str]) -> None:
         if len(self.known) + len(wanted) > CACHE:
             self.known = {x: self.known[x] for x in wanted if x in self.known}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_collection, slices, stored, strings, whole_text
+from .common import slices, stored, strings, whole_text, without_collection
 from .tokens import SIGNS, SPACE, latin_word, load, pieces_with_spaces, with_space
 
 BLOCK_CHARS = 8_000_000  # a block ends with the document that exceeds this, so only a single longer document makes a longer block
@@ -75,7 +75,7 @@ class Block:
         self.held.append(np.fromiter(map(self.stretches.__getitem__, keys), np.int64, len(keys)))
         self.rows.append((doc_id, len(text.encode("utf-8", "surrogatepass")), n_special))
 
-    @no_collection()
+    @without_collection
     def finish(self) -> tuple[list[bytes], list[bytes], list[str]]:
         """For each document its pre-tokens' numbers (differences, packed) and their counts; the pre-tokens by number."""
         names = Numbers()

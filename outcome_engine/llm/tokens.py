@@ -12,7 +12,7 @@ import os
 import re
 import struct
 
-from .common import no_collection
+from .common import without_collection
 
 CACHE = 400_000  # pieces remembered by a task; beyond it the memory starts anew, which changes no result
 
@@ -91,7 +91,7 @@ class CachedEncoder:
         self.known: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {}
 
-    @no_collection()
+    @without_collection
     def learn(self, wanted: set[str]) -> None:
         if len(self.known) + len(wanted) > self.cache:
             self.known = {x: self.known[x] for x in wanted if x in self.known}
