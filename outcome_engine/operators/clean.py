@@ -15,12 +15,10 @@ from outcome_engine.spec import ACTION_ID, DECISION_TIME, DEDUP_KEYS, GROUP, ISS
 
 # Technical columns of the raw records that carry no analysis value.
 TECHNICAL_COLUMNS = (
-    "EvaluationCriteria", "IPAddress", "ReferrerUrl", "WorkID",
-    "pxFactID", "pxStreamPartition", "pxStreamPosition", "pxUpdateDateTime",
-    "pyApplication", "pyApplicationVersion", "pyBehaviour", "pyComponent", "pyDivision",
-    "pyFulfilled", "pyISFactID", "pyInteraction", "pyInternalTags", "pyIsPropositionActive",
-    "pyLabel", "pyLatitude", "pyLongitude", "pyOperator", "pyOrganization", "pyPartitionKey",
-    "pyStrategy", "pyUnit", "pyWorkID",
+    "pxFactID", "pyLabel", "pxUpdateDateTime", "pxStreamPartition", "EvaluationCriteria", "pyOrganization",
+    "pyUnit", "pyDivision", "pyComponent", "pyApplicationVersion", "pyStrategy", "pyApplication", "pyFulfilled",
+    "IPAddress", "pyInteraction", "pyLatitude", "pyLongitude", "pyOperator", "pyPartitionKey", "pyWorkID", "WorkID",
+    "pyBehaviour", "pyIsPropositionActive", "pyISFactID", "pyInternalTags", "pxStreamPosition", "ReferrerUrl",
 )
 TIME_PATTERN = "yyyyMMdd'T'HHmmss.SSS z"
 

@@ -17,11 +17,11 @@ from outcome_engine.spec import MetricSpec, unique_in_order
 
 # Fixed values: (recency, frequency, monetary) quartile codes of the default segments.
 DEFAULT_SEGMENTS = {
-    "Premium Customer": ("333", "334", "343", "344", "433", "434", "443", "444"),
-    "Repeat Customer": ("143", "232", "233", "234", "242", "243", "244", "332"),
-    "Top Spender": ("124", "133", "134", "144", "224", "313", "314", "323", "324", "413", "414", "423", "424"),
-    "At Risk Customer": ("122", "123", "132", "212", "214", "222", "223", "312", "322", "412", "422"),
-    "Inactive Customer": ("111", "112", "113", "114", "211", "311", "411"),
+    "Premium Customer": ("334", "443", "444", "344", "434", "433", "343", "333"),
+    "Repeat Customer": ("244", "234", "232", "332", "143", "233", "243", "242"),
+    "Top Spender": ("424", "414", "144", "314", "324", "124", "224", "423", "413", "133", "323", "313", "134"),
+    "At Risk Customer": ("422", "223", "212", "122", "222", "132", "322", "312", "412", "123", "214"),
+    "Inactive Customer": ("411", "111", "113", "114", "112", "211", "311"),
 }
 UNKNOWN_SEGMENT = "Unknown"
 # Segment names of the rule maps, as (champion, loyal, potential, at risk, dormant).

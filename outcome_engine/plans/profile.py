@@ -15,11 +15,11 @@ from outcome_engine.operators.prefix import exact_quantiles
 # Name fragments by which fields are tagged.
 REQUIRED_FIELDS = ("Name", "Issue", "Group", "Rank", "Channel", "SubjectID", "Outcome", "Propensity",
                    "FinalPropensity", "Priority", "InteractionID", "ModelControlGroup", "Revenue")
-BUSINESS_HINTS = ("action", "category", "channel", "control", "customer", "group", "issue", "model", "name",
+BUSINESS_HINTS = ("action", "channel", "category", "control", "customer", "group", "issue", "model", "name",
                   "outcome", "placement", "product", "segment", "source", "status", "treatment", "type", "variant")
 ID_ENDINGS = ("id", "key", "guid", "uuid")
 ID_PARTS = (" id", "_id", "-id")
-MEASURE_HINTS = ("amount", "cost", "count", "duration", "finalpropensity", "lift", "priority", "propensity",
+MEASURE_HINTS = ("amount", "count", "cost", "duration", "finalpropensity", "lift", "priority", "propensity",
                  "rate", "response", "revenue", "score", "value", "weight")
 TECHNICAL_HINTS = ("application", "component", "division", "fact", "internal", "operator", "organization",
                    "partition", "stream", "unit", "version", "work")
