@@ -21,34 +21,46 @@ PARTS = 16  # of each level, disjoint
 DIGITS = 6  # hexadecimal digits of each part's hash
 NOTHING = "-" * DIGITS  # a part without any term of the document
 RANGES_PER_PARTITION = 4  # ranges of doc_id for each shuffle partition
-EVERYWHERE = ""  # pseudo-term of every document, so that one without lexicon terms keeps its row
+EVERYWHERE = ""  # pseudo-term of every text, so that one without lexicon terms keeps its row
+
+
+#: fixed: all ASCII characters but letters and digits, one by one, which the regular expression engine looks up in a table
+BREAKS = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + "]+"
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case runs of letters, marks and digits."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{M}\\p{N}]+")), "")
+    """Lower-case terms of a text, cut at ASCII white space, signs and control characters; repeats included."""
+    return F.split(F.lower(text), BREAKS)
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """(term, parts): the terms in the band and the parts they belong to, as a bit mask. Counts cover all documents."""
+    """(code, parts): hashes of the terms in the band and the parts they belong to, as a bit mask. Counts cover all documents."""
     n = docs.count()
     low, high = n * math.exp(-band[1]), n * math.exp(-band[0])
-    counted = docs.select(F.explode(terms(whole_text())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted = docs.select(F.explode(F.array_distinct(terms(whole_text()))).alias("term")).where("term <> ''").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"))
     bits = [f"CASE WHEN pmod(xxhash64({level}, term), {modulus}) < {PARTS}"
             f" THEN shiftleft(1L, cast(pmod(xxhash64({level}, term), {modulus}) AS int) + {level * PARTS}) ELSE 0L END"
             for modulus, level in LEVELS]
-    return counted.where(F.col("df").between(max(2.0, low), max(2.0, high))).select("term", F.expr(" | ".join(bits)).alias("parts"))
+    return counted.where(F.col("df").between(max(2.0, low), max(2.0, high))).select(F.xxhash64("term").alias("code"), F.expr(" | ".join(bits)).alias("parts"))
 
 
 def part_hash(found: Column, part: int) -> Column:
-    """Hash of the sorted terms of one part. `found` is a sorted array of struct(term hash, parts)."""
+    """Hash of the sorted terms of one part. `found` is a sorted array of struct(code, parts)."""
     mine = F.filter(found, lambda t: F.getbit(t["parts"], F.lit(part)) == 1)
-    digits = F.substring(F.lpad(F.hex(F.xxhash64(F.transform(mine, lambda t: t["term"]))), 16, "0"), 1, DIGITS)
+    digits = F.substring(F.lpad(F.hex(F.xxhash64(F.transform(mine, lambda t: t["code"]))), 16, "0"), 1, DIGITS)
     return F.when(F.size(mine) > 0, F.lower(digits)).otherwise(NOTHING)
 
 
-def fingerprint_of(found: Column) -> Column:
-    return F.concat(*[part_hash(found, p) for p in range(PARTS * len(LEVELS))])
+def with_fingerprint(df: DataFrame, found: str) -> DataFrame:
+    """Adds `print`. The terms of each level are picked first, as fine levels have few of them."""
+    def of_level(level: int) -> Column:
+        mask = ((1 << PARTS) - 1) << (level * PARTS)
+        bits = F.lit(mask - (1 << 64) if mask >> 63 else mask)
+        return F.filter(found, lambda t: t["parts"].bitwiseAND(bits) != 0)
+
+    picked = df.withColumns({f"level_{level}": of_level(level) for _, level in LEVELS})
+    return picked.withColumn("print", F.concat(*[part_hash(F.col(f"level_{level}"), level * PARTS + i) for _, level in LEVELS for i in range(PARTS)]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -122,27 +134,31 @@ def imatch(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
     repeat come back as often as they occur; null doc_ids come first; other columns are ignored.
     """
     words = stored(lexicon(docs, band), "lexicon").unionByName(
-        docs.sparkSession.createDataFrame([(EVERYWHERE, 0)], "term string, parts long"))
+        docs.sparkSession.range(1).select(F.xxhash64(F.lit(EVERYWHERE)).alias("code"), F.lit(0).cast("long").alias("parts")))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = beside_next(docs).select(
         "bucket", "place", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), "last", "next_text",
         F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    row = ["bucket", "place", "doc_id", "n_chars", "last", "edited_sha256"]
-    versions = edited.withColumn("edited_sha256", F.sha2("edited", 256)).select(*row, F.explode(F.array(
+    digested = edited.withColumn("edited_sha256", F.sha2("edited", 256))
+    versions = digested.select("bucket", "place", F.struct("doc_id", "n_chars", "edited_sha256").alias("facts"), "last", F.explode(F.array(
         F.struct(F.lit(OWN).alias("version"), F.col("text").alias("content")),
         F.struct(F.lit(EDITED).alias("version"), F.col("edited").alias("content")),
         F.struct(F.lit(NEXT).alias("version"), F.when(F.col("last"), F.col("next_text")).otherwise("").alias("content")))).alias("v")).where(
             "last or v.version < 2")
-    named = versions.select(*row, F.col("v.version").alias("version"), F.explode(F.concat(F.array(F.lit(EVERYWHERE)), terms(F.col("v.content")))).alias("term"))
+    named = versions.select("bucket", "place", "facts", F.col("v.version").alias("version"), F.posexplode(
+        F.concat(F.array(F.lit(EVERYWHERE)), terms(F.col("v.content")))).alias("at", "term")).where("at = 0 or term <> ''").select(
+            "bucket", "place", "version", F.xxhash64("term").alias("code"), "at", F.when((F.col("at") == 0) & (F.col("version") == OWN), F.col("facts")).alias("facts"))
     # the lexicon's size is bounded by the band, see above
-    known = named.join(F.broadcast(words), "term").select(
-        *row, "version", F.when(F.col("term") != EVERYWHERE, F.struct(F.xxhash64("term").alias("term"), "parts")).alias("found"))
-    printed = known.groupBy(*row, "version").agg(F.array_sort(F.collect_set("found")).alias("found")).select(
-        *row, "version", fingerprint_of(F.col("found")).alias("print"))
+    known = named.join(F.broadcast(words), "code").select(
+        "bucket", "place", "version", "facts", F.when(F.col("at") > 0, F.struct("code", "parts")).alias("found"))
+    row = ["bucket", "place"]
+    printed = with_fingerprint(known.groupBy(*row, "version").agg(
+        F.array_sort(F.collect_set("found")).alias("found"), F.max("facts").alias("facts")), "found").select(*row, "version", "facts", "print")
     of = {v: F.max(F.when(F.col("version") == v, F.col("print"))) for v in (OWN, EDITED, NEXT)}
-    flat = printed.groupBy(*row).agg(of[OWN].alias("fingerprint"), of[EDITED].alias("edited_fingerprint"), of[NEXT].alias("wrapped"))
+    flat = printed.groupBy(*row).agg(of[OWN].alias("fingerprint"), of[EDITED].alias("edited_fingerprint"), of[NEXT].alias("wrapped"),
+                                     F.max("facts").alias("facts"))
     following = F.coalesce(F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place")), F.col("wrapped"))
     return flat.withColumn("following", following).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.col("facts")["doc_id"].alias("doc_id"), F.col("facts")["n_chars"].alias("n_chars"), F.col("facts")["edited_sha256"].alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("following")).alias("near_next"))
