@@ -567,6 +567,8 @@ add("ml_calibration", MODEL, calibration("CustomerType"))
 add("tab_calibration", MODEL, calibration("").replace(
     "SELECT CAST(e.cal_bin", "SELECT 'ALL' AS \"ALL\", CAST(e.cal_bin"))
 
+add("src_sample", "", "SELECT * FROM customer ORDER BY md5('42|' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 1000")
+
 # ---- report tables ------------------------------------------------------------------------------------------------
 
 add("tab_treemap", ENG, """SELECT concat_ws('/', 'ALL', CASE WHEN grouping(Channel) = 0 THEN Channel END,
@@ -687,3 +689,4 @@ add("inc_windowed_ctr", "", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d'
   count(*) FILTER (event_type = 'click') AS Positives, count(*) FILTER (event_type = 'view') AS Negatives,
   round(count(*) FILTER (event_type = 'click') / count(*)::DOUBLE, 8) AS CTR
 FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL""")
+add("clv_exposure", RFM, "SELECT CustomerID, recency, tenure FROM rfm ORDER BY md5('42|' || CustomerID), CustomerID LIMIT 100")

@@ -61,7 +61,7 @@ def density(rfm: DataFrame, metric: str, func: str = "avg", bins_x: int = 60, bi
 
 def exposure_sample(rfm: DataFrame, customer: str, n: int = 100, seed: int = 42) -> DataFrame:
     """A repeatable sample of n customers in the order of recency and tenure (the sampling is the feature)."""
-    return rfm.orderBy(F.xxhash64(F.lit(seed), F.col(customer)), customer).limit(n).orderBy("recency", "tenure")
+    return rfm.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(customer))), customer).limit(n).orderBy("recency", "tenure")
 
 
 # ---- correlation --------------------------------------------------------------------------------
