@@ -8,6 +8,7 @@ counts go back to their blocks and are summed over the documents' frequencies.
 from __future__ import annotations
 
 import json
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 from .common import slices, stored, strings, whole_text, without_collection
 from .tokens import SIGNS, SPACE, latin_word, load, pieces_with_spaces, with_space
 
-BLOCK_CHARS = 8_000_000  # a block ends with the document that exceeds this, so only a single longer document makes a longer block
+PARTS_PER_PARTITION = 4  # parts of the vocabulary for each shuffle partition
+BLOCK_CHARS = 10_000_000  # a block ends with the document that exceeds this, so only a single longer document makes a longer block
 
-LISTS = "block long, doc_id long, n_bytes long, special long, numbers binary, counts binary, pretokens array<string>"
+LISTS = ("block long, doc_id long, n_bytes long, special long, numbers binary, counts binary, "
+         "part int, first int, pretokens array<string>")
 
 
 def special_strings(path: str) -> list[str]:
@@ -76,12 +79,19 @@ class Block:
         self.rows.append((doc_id, len(text.encode("utf-8", "surrogatepass")), n_special))
 
     @without_collection
-    def finish(self) -> tuple[list[bytes], list[bytes], list[str]]:
-        """For each document its pre-tokens' numbers (differences, packed) and their counts; the pre-tokens by number."""
+    def finish(self, parts: int) -> tuple[list[bytes], list[bytes], list[tuple[int, int, list[str]]]]:
+        """For each document its pre-tokens' numbers (differences, packed) and their counts; for each part its number, its
+        first pre-token's number and its pre-tokens. They are numbered by part, which a hash decides, and alphabet."""
         names = Numbers()
         split = [[names[p] for p in split_stretch(x[0] if type(x) is tuple else with_space(x), self.library)] for x in self.stretches]
         size = np.array([len(x) for x in split], np.int64)
-        flat = np.array([p for x in split for p in x], np.int64)
+        ordered = sorted(names)
+        part = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % parts for x in ordered], np.int64)
+        order = np.argsort(part, kind="stable")
+        ordered, part = [ordered[i] for i in order.tolist()], part[order]
+        place = np.zeros(len(names), np.int64)
+        place[[names[x] for x in ordered]] = np.arange(len(names))
+        flat = place[np.array([p for x in split for p in x], np.int64)]
         first = np.cumsum(size) - size
         every = np.concatenate([np.zeros(0, np.int64), *self.held])
         document = np.repeat(np.arange(len(self.held)), [len(x) for x in self.held])
@@ -93,7 +103,9 @@ class Block:
         starts = np.searchsorted(owner, np.arange(len(self.held)))
         step = np.diff(number, prepend=0)
         step[starts[starts < len(number)]] = number[starts[starts < len(number)]]
-        return packed(step, starts), packed(count, starts), list(names)
+        firsts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        lists = [(int(part[a]), a, ordered[a:b]) for a, b in zip(firsts, [*firsts[1:], len(ordered)])]
+        return packed(step, starts), packed(count, starts), lists
 
 
 def packed(numbers: np.ndarray, starts: np.ndarray) -> list[bytes]:
@@ -121,10 +133,11 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), starts)
 
 
-def block_lists(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """A row for each document (doc_id, n_bytes, special, numbers, counts) and one for each block (its pre-tokens)."""
-    names = ["block", "doc_id", "n_bytes", "special", "numbers", "counts", "pretokens"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+def block_lists(docs: DataFrame, tokenizer: str, parts: int) -> DataFrame:
+    """A row for each document (doc_id, n_bytes, special, numbers, counts) and one for each part of each block's
+    pre-tokens (part, first, pretokens)."""
+    names = ["block", "doc_id", "n_bytes", "special", "numbers", "counts", "part", "first", "pretokens"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.string())]
 
     def read(batches):
         import random
@@ -134,11 +147,10 @@ def block_lists(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         def written(block: Block):
             name = draw.getrandbits(63)
-            numbers, counts, pretokens = block.finish()
-            n = len(block.rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip([[name] * n, *zip(*block.rows), numbers, counts, [None] * n], kinds)], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([name, *[None] * 5, pretokens], kinds)], names=names)
+            numbers, counts, lists = block.finish(parts)
+            for columns in ([*zip(*block.rows), numbers, counts, *[[None] * len(block.rows)] * 3],
+                            [*[[None] * len(lists)] * 5, *(zip(*lists) if lists else [[]] * 3)]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[name] * len(columns[0]), *columns], kinds)], names=names)
 
         block = Block(library, special)
         for batch in slices(batches):
@@ -154,33 +166,33 @@ def block_lists(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def piece_counts(vocabularies: DataFrame, tokenizer: str) -> DataFrame:
-    """(block, number, n): tokens of every pre-token of every block (block, number, pretoken). Equal pre-tokens meet in
-    one task, which counts each once."""
+    """(block, first, sizes): tokens of every pre-token of every block, packed in order. Equal pre-tokens are in the same
+    part, which one task reads as a whole, so each is counted once."""
 
     def count(batches):
         library = load(tokenizer)
         encode_word = library.model.tokenize
-        known: dict[str, int] = {}  # sorted input: a pre-token that two batches share is the last of the one before
+        part, known = None, {}
         for batch in batches:
-            column = strings(batch, "pretoken")
-            distinct, last = dict.fromkeys(column), known
-            new = [x for x in distinct if x not in last]
-            known = {x: last[x] for x in distinct if x in last}
-            other = []
-            for pretoken in new:
-                spaced = pretoken[:1] == " "
-                word = latin_word(pretoken[spaced:])
-                if word is None:
-                    other.append(pretoken)
-                else:
-                    known[pretoken] = len(encode_word(SPACE + word if spaced else word))
-            for start in range(0, len(other), 4096):
-                part = other[start:start + 4096]
-                known |= zip(part, [len(x.ids) for x in library.encode_batch_fast(part, add_special_tokens=False)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known[x] for x in column], pa.int32())], names=["block", "number", "n"])
-
-    return vocabularies.repartition("pretoken").sortWithinPartitions("pretoken").select("block", "number", "pretoken").mapInArrow(
-        count, "block long, number int, n int")
+            out = []
+            for now, column in zip(strings(batch, "part"), strings(batch, "pretokens")):
+                if now != part:
+                    part, known = now, {}
+                other = []
+                for pretoken in column:
+                    if pretoken not in known:
+                        spaced = pretoken[:1] == " "
+                        word = latin_word(pretoken[spaced:])
+                        if word is None:
+                            other.append(pretoken)
+                        else:
+                            known[pretoken] = len(encode_word(SPACE + word if spaced else word))
+                known |= zip(other, [len(x.ids) for x in library.encode_batch_fast(other, add_special_tokens=False)] if other else [])
+                out += packed(np.array([known[x] for x in column], np.int64), np.zeros(1, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["block", "first", "sizes"])
+
+    return vocabularies.select("block", "part", "first", "pretokens").repartition("part").sortWithinPartitions("part").mapInArrow(
+        count, "block long, first int, sizes binary")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
@@ -190,15 +202,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     Null texts count as empty: 0 bytes, 0 tokens. Rows that repeat, and null doc_ids, come back as they are. Other
     columns are ignored.
     """
-    lists = stored(block_lists(docs, tokenizer), "block_lists")
-    vocabularies = lists.where("pretokens is not null").select("block", F.posexplode("pretokens").alias("number", "pretoken"))
+    parts = PARTS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = stored(block_lists(docs, tokenizer, parts), "block_lists")
+    vocabularies = lists.where("pretokens is not null")
     counted = piece_counts(vocabularies, tokenizer)
     rows = lists.where("pretokens is null").select("block", "doc_id", "n_bytes", "special", "numbers", "counts")
 
     def total(documents: pa.Table, pieces: pa.Table) -> pa.Table:
         """One block: its texts are bounded, and so are both sides."""
-        sizes = np.zeros(len(pieces), np.int64)
-        sizes[pieces.column("number").to_numpy()] = pieces.column("n").to_numpy()
+        ordered = sorted(zip(pieces.column("first").to_pylist(), pieces.column("sizes").to_pylist()))
+        sizes = np.concatenate([np.zeros(0, np.int64), *[unpacked(x) for _, x in ordered]])
         sums = [int(sizes[np.cumsum(unpacked(numbers))] @ unpacked(counts)) + special for numbers, counts, special in zip(
             *(documents.column(x).to_pylist() for x in ("numbers", "counts", "special")))]
         return pa.table({"doc_id": documents.column("doc_id"), "n_bytes": documents.column("n_bytes"), "n_tokens": pa.array(sums, pa.int64())})

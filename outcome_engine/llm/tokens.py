@@ -96,15 +96,14 @@ class CachedEncoder:
         if len(self.known) + len(wanted) > self.cache:
             self.known = {x: self.known[x] for x in wanted if x in self.known}
         known, new, composed = self.known, {}, []
-        for piece in wanted:
-            if piece not in known:
-                core = piece.rstrip(SIGNS)
-                if len(core) < len(piece) and core[-1:].lower().isalnum():
-                    composed.append((piece, core, piece[len(core):]))
-                    if core not in known:
-                        new[core] = None
-                else:
-                    new[piece] = None
+        for piece in wanted.difference(known):
+            core = piece.rstrip(SIGNS)
+            if len(core) < len(piece) and core[-1:].lower().isalnum():
+                composed.append((piece, core, piece[len(core):]))
+                if core not in known:
+                    new[core] = None
+            else:
+                new[piece] = None
         other = []
         for piece in new:
             ids = self.word_ids(piece)
