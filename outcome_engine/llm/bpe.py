@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import slices, strings, whole_text, without_collection
 from .tokens import SIGNS, latin_word, load, pieces_between_spaces
 
-CACHE = 150_000  # pieces of text remembered by a task before it starts anew
+CACHE = 300_000  # pieces of text remembered by a task before it starts anew
 PAIRS = 2_000_000  # verified pairs remembered
 NEVER = np.iinfo(np.int64).max
 LONG = 48  # symbols from which a word is merged by itself
