@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from conftest_text import make_text  # noqa: E402
+from made_up import make_text  # noqa: E402
 
 DOCUMENTS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),

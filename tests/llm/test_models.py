@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from outcome_engine.llm import html_blocks, language, packing, toxicity
-from conftest_text import WORDS, make_text
+from made_up import WORDS, make_text
 
 
 # ------------------------------------------------------------------ language
