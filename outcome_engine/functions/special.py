@@ -26,7 +26,7 @@ def lgamma(x) -> np.ndarray:
 
 
 def hyp2f1(a, b, c, z, terms: int = 20000, tol: float = 1e-15) -> np.ndarray:
-    """Gauss series for 0 <= z < 1; elements leave the loop once their term no longer counts."""
+    """Gauss series for 0 <= z < 1; elements leave the loop once their term no longer counts. Raises if one is left."""
     a, b, c, z = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, c, z)))
     out, term = np.ones(a.shape), np.ones(a.shape)
     flat = [v.ravel() for v in (a, b, c, z)]
@@ -39,5 +39,7 @@ def hyp2f1(a, b, c, z, terms: int = 20000, tol: float = 1e-15) -> np.ndarray:
         if k > 3:
             live = live[np.abs(last[live]) > tol * np.abs(total[live])]
             if live.size == 0:
-                break
+                return total.reshape(a.shape)
+    if live.size:
+        raise ArithmeticError(f"the series needs over {terms} terms for z up to {flat[3][live].max()}")
     return total.reshape(a.shape)

@@ -101,9 +101,15 @@ def batch_loglik(cells: DataFrame, loglik: Callable, columns: Sequence[str]) ->
     return evaluate
 
 
+FLAT = 1e-4  # slope below which a point that no step improves counts as the optimum
+
+
 def minimise(objective: Callable, start: np.ndarray, rounds: int = 40, step: float = 1e-3,
              tol: float = 1e-10) -> tuple[np.ndarray, float]:
-    """Damped Newton on log-parameters; all difference points of a round are one batch."""
+    """Damped Newton on log-parameters; all difference points of a round are one batch.
+
+    Returns only a point where the last step gained less than `tol` or the slope is flat; otherwise it raises.
+    """
     point, size = np.asarray(start, dtype=float), len(start)
     eye = np.eye(size) * step
     pairs = [(i, j) for i in range(size) for j in range(i)]
@@ -120,8 +126,10 @@ def minimise(objective: Callable, start: np.ndarray, rounds: int = 40, step: flo
             both, neither = f[1 + 2 * size + 2 * n], f[2 + 2 * size + 2 * n]
             mixed = (both - up[i] - up[j] + 2 * f[0] - down[i] - down[j] + neither) / (2 * step**2)
             hessian[i, j] = hessian[j, i] = mixed
-        if not np.all(np.isfinite(hessian)) or np.max(np.abs(gradient)) < 1e-8:
-            break
+        if not np.all(np.isfinite(hessian)):
+            raise ArithmeticError(f"the likelihood is not finite around {point}")
+        if np.max(np.abs(gradient)) < 1e-8:
+            return point, float(best)
         values, vectors = np.linalg.eigh(hessian)
         floor = max(1e-8, 1e-6 * np.max(np.abs(values)))
         newton = -vectors @ ((vectors.T @ gradient) / np.maximum(np.abs(values), floor))
@@ -131,11 +139,13 @@ def minimise(objective: Callable, start: np.ndarray, rounds: int = 40, step: flo
         tried = objective(np.array([point + m for m in moves]))
         pick = int(np.argmin(tried))
         if not tried[pick] < best:
-            break
+            if np.max(np.abs(gradient)) < FLAT:
+                return point, float(best)
+            raise ArithmeticError(f"no step improves the fit at {point}, slope {gradient}")
         gain, point, best = best - tried[pick], point + moves[pick], tried[pick]
         if gain < tol:
-            break
-    return point, float(best)
+            return point, float(best)
+    raise ArithmeticError(f"no fit after {rounds} rounds; at {point}")
 
 
 def _fit(kind: str, cells: DataFrame, loglik: Callable, columns: Sequence[str], start: Sequence[float],
