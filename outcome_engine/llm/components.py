@@ -32,9 +32,9 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 current.select("b", "b").distinct())
         seen = state
-        both = stored(current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+        both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _toward_smallest(both, "large").where("b > a").select(
-            F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+            F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = stored(large, "stars")
         small = _toward_smallest(large, "small")
         current = stored(

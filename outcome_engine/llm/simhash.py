@@ -178,9 +178,11 @@ def link_fingerprints(fps: DataFrame, distance: int = DISTANCE, group_rows: int
             codes = np.concatenate(rows).view(np.uint64)
             index = GrayIndex(codes)
             roots = index.connect(distance)
-            order = np.argsort(roots, kind="stable")
-            same = roots[order[1:]] == roots[order[:-1]]
-            return index.codes[order[:-1][same]].view(np.int64), index.codes[order[1:][same]].view(np.int64)
+            signed = index.codes.view(np.int64)
+            order = np.lexsort((signed, roots))  # the smallest member of each component is its centre
+            first = np.diff(roots[order], prepend=-1) != 0
+            centre = signed[order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]]
+            return centre[~first], signed[order[~first]]
 
         held, key = [], None
         for batch in batches:
