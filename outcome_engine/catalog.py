@@ -846,8 +846,8 @@ def tab_line(spark, folder):
 @query
 def tab_heatmap(spark, folder):
     scored = reports.conversion_scores(_conversion(spark, folder), ["Channel", "CustomerType"])
-    kinds = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    return round_columns(tables.heatmap(scored, "Channel", "CustomerType", "ConversionRate", kinds), 8, *kinds)
+    made = tables.heatmap(scored, "Channel", "CustomerType", "ConversionRate")
+    return round_columns(made, 8, *made.columns[1:])
 
 
 @query

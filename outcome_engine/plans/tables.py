@@ -135,15 +135,12 @@ def boxplot(scores: DataFrame, column: str, group_by: Sequence[str]) -> DataFram
 
 def funnel(stored: DataFrame, column: str, stages: Sequence[str], group_by: Sequence[str]) -> DataFrame:
     """Count per group and stage, 0 for a missing cell; stages absent everywhere are dropped."""
-    present = {r[0] for r in stored.filter(F.col(column).isin(list(stages))).select(column).distinct()
-               .limit(len(stages)).collect()}
-    shown = [s for s in stages if s in present]
-    if not shown:
-        return (stored.select(*group_by, F.lit(None).cast("string").alias("Stage"),
-                              F.lit(0).cast("long").alias("Count")).filter(F.lit(False)))
-    pivoted = (stored.filter(F.col(column).isin(shown)).groupBy(*group_by)
-               .pivot(column, shown).agg(F.sum(f"{column}_Count")).fillna(0))
-    return pivoted.unpivot(list(group_by), shown, "Stage", "Count")
+    shown = list(stages)
+    counted = stored.filter(F.col(column).isin(shown))
+    pivoted = counted.groupBy(*group_by).pivot(column, shown).agg(F.sum(f"{column}_Count")).fillna(0)
+    present = counted.select(F.col(column).alias("Stage")).distinct()  # no more rows than stages
+    return pivoted.unpivot(list(group_by), shown, "Stage", "Count").join(F.broadcast(present), "Stage", "left_semi").select(
+        *group_by, "Stage", "Count")
 
 
 # ---- model curves -----------------------------------------------------------------------------
