@@ -38,7 +38,7 @@ def test_one_key_with_most_rows(spark):
 
 
 def test_hot_key_is_split_by_the_skew_join(spark):
-    """With small thresholds AQE splits the partition of the hot key; nothing gathers it in one task."""
+    """The form that keeps rows (for the model metrics) joins: with small thresholds AQE splits the partition of the hot key."""
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
                 "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.shuffle.partitions": "16",
                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40KB",
@@ -51,15 +51,21 @@ def test_hot_key_is_split_by_the_skew_join(spark):
             F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("InteractionID"), F.lit("a").alias("ActionID"),
             F.lit(1).alias("Rank"), F.when(F.col("id") % 9 == 0, "Clicked").otherwise("Impression").alias("Outcome"),
             F.concat(F.lit("c"), (F.col("id") % 50).cast("string")).alias("Channel"), F.lit("Test").alias("ModelControlGroup"))
-        made = engagement.engagement(df, SPEC)
-        whole = sum(r["Count"] for r in made.collect())
+        kept = labels.keep_best_outcome(labels.label_outcomes(df, SPEC.positive, SPEC.negative))
+        made = kept.groupBy("Channel").count()
+        whole = sum(r["count"] for r in made.collect())
         plan = made._jdf.queryExecution().executedPlan().toString()
+        counted = engagement.engagement(df, SPEC)
+        assert sum(r["Count"] for r in counted.collect()) == whole
+        cells = counted._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # 20000 hot rows keep their 6667 clicks; the other 40000 keys keep their single row.
     assert whole == 6667 + 40000
     assert "skew=true" in plan
+    # the form that counts has no join and one scan: the hot key has shrunk to 50 cells a task before its shuffle
+    assert "Join" not in cells and cells.count("Range (") == 1 and "partial_count" in cells
 
 
 def counts(spark, data):
