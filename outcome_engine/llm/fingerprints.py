@@ -9,6 +9,7 @@ terms, so the lexicon does not grow with the number of documents and may be broa
 from __future__ import annotations
 
 import math
+from string import ascii_lowercase, digits
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,12 +25,12 @@ RANGES_PER_PARTITION = 4  # ranges of doc_id for each shuffle partition
 EVERYWHERE = ""  # pseudo-term of every text, so that one without lexicon terms keeps its row
 
 
-#: fixed: all ASCII characters but letters and digits, one by one, which the regular expression engine looks up in a table
-BREAKS = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + "]+"
+#: fixed: every character but letters, marks and digits; ASCII ones stand apart, as the regular expression engine looks them up in a table
+BREAKS = f"[^{ascii_lowercase}{digits}\\p{{L}}\\p{{M}}\\p{{N}}]+"
 
 
 def terms(text: Column) -> Column:
-    """Lower-case terms of a text, cut at ASCII white space, signs and control characters; repeats included."""
+    """Lower-case runs of letters, marks and digits of any script; repeats included, empty where a text begins or ends with a sign."""
     return F.split(F.lower(text), BREAKS)
 
 

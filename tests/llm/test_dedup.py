@@ -192,6 +192,13 @@ def test_likeness_falls_with_the_share_of_common_terms(spark):
     assert edited > following + 0.1
 
 
+def test_terms_end_at_signs_of_every_script(spark):
+    rows = [("«Mot» “word”—next…last\u00a0one。二\u3000三", ["mot", "word", "next", "last", "one", "二", "三"]),
+            ("d'été: naïve-1 e\u0301 ٣", ["d", "été", "naïve", "1", "e\u0301", "٣"]), ("»…«", [])]
+    found = spark.createDataFrame(rows, "text string, wanted array<string>").select(fingerprints.terms(F.col("text")).alias("found"), "wanted").collect()
+    assert all([t for t in r.found if t] == r.wanted for r in found)
+
+
 def test_a_single_document_follows_itself(spark):
     r = fingerprints.imatch(spark.createDataFrame([(4, "abcd")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and r.near_next == 1.0
