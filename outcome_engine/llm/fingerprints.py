@@ -1,9 +1,10 @@
 """I-Match document fingerprints: DataFrame and SQL operations only.
 
-Terms whose inverse document frequency lies in a chosen band form the lexicon. A fingerprint holds, for each of several
-random parts of the lexicon, a hash of the document's distinct terms in that part, sorted. The upper end of the band
-bounds the lexicon: a term in it occurs in a fixed share of the documents at least, and documents share out only so many
-terms, so the lexicon does not grow with the number of documents and may be broadcast.
+The lexicon is the band of all terms that at most a third of the documents have; it has no lower end, so that rare
+languages, sources and single documents keep their own terms. A fingerprint holds a hash of all the document's distinct
+terms in the lexicon, and hashes of its terms in several random parts of the lexicon. Only the terms beyond the band are
+ever gathered: each is in over a third of the documents, so there are at most three times as many as a document has
+distinct terms on average, however many documents there are.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 
 from .common import stored, whole_text
 
-IDF_BAND = (math.log(3), math.log(1_000))  # terms in at most a third and at least one in 1000 of the documents
+LEAST_IDF = math.log(3)  # of the terms in the lexicon: at most a third of the documents have them
 LEVELS = ((16, 0), (64, 1), (256, 2), (1024, 3))  # a part holds one term in 16, 64, 256 or 1024
 PARTS = 16  # of each level, disjoint
 DIGITS = 6  # hexadecimal digits of each part's hash
 NOTHING = "-" * DIGITS  # a part without any term of the document
+WHOLE = 16  # hexadecimal digits of the hash of all terms, in front of the parts
 RANGES_PER_PARTITION = 4  # ranges of doc_id for each shuffle partition
-EVERYWHERE = ""  # pseudo-term of every text, so that one without lexicon terms keeps its row
 
 
 #: fixed: every character but letters, marks and digits; ASCII ones stand apart, as the regular expression engine looks them up in a table
@@ -34,55 +35,68 @@ def terms(text: Column) -> Column:
     return F.split(F.lower(text), BREAKS)
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """(code, parts): hashes of the terms in the band and the parts they belong to, as a bit mask. Counts cover all documents."""
-    n = docs.count()
-    low, high = n * math.exp(-band[1]), n * math.exp(-band[0])
-    counted = docs.select(F.explode(F.array_distinct(terms(whole_text()))).alias("term")).where("term <> ''").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))
-    bits = [f"CASE WHEN pmod(xxhash64({level}, term), {modulus}) < {PARTS}"
-            f" THEN shiftleft(1L, cast(pmod(xxhash64({level}, term), {modulus}) AS int) + {level * PARTS}) ELSE 0L END"
-            for modulus, level in LEVELS]
-    return counted.where(F.col("df").between(max(2.0, low), max(2.0, high))).select(F.xxhash64("term").alias("code"), F.expr(" | ".join(bits)).alias("parts"))
+def codes(text: Column) -> Column:
+    """Hashes of a text's distinct terms."""
+    return F.array_distinct(F.transform(F.filter(terms(text), lambda t: t != ""), lambda t: F.xxhash64(t)))
 
 
-def part_hash(found: Column, part: int) -> Column:
-    """Hash of the sorted terms of one part. `found` is a sorted array of struct(code, parts)."""
-    mine = F.filter(found, lambda t: F.getbit(t["parts"], F.lit(part)) == 1)
-    digits = F.substring(F.lpad(F.hex(F.xxhash64(F.transform(mine, lambda t: t["code"]))), 16, "0"), 1, DIGITS)
-    return F.when(F.size(mine) > 0, F.lower(digits)).otherwise(NOTHING)
+def counts(docs: DataFrame, least_idf: float = LEAST_IDF) -> DataFrame:
+    """(code, df, known): documents that have a term, and whether it is in the lexicon. Counts cover all documents."""
+    high = max(2.0, docs.count() * math.exp(-least_idf))
+    return docs.select(F.explode(codes(whole_text())).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("df")).withColumn(
+        "known", F.col("df") <= high)
 
 
-def with_fingerprint(df: DataFrame, found: str) -> DataFrame:
-    """Adds `print`. The terms of each level are picked first, as fine levels have few of them."""
-    def of_level(level: int) -> Column:
-        mask = ((1 << PARTS) - 1) << (level * PARTS)
-        bits = F.lit(mask - (1 << 64) if mask >> 63 else mask)
-        return F.filter(found, lambda t: t["parts"].bitwiseAND(bits) != 0)
+def lexicon(docs: DataFrame, least_idf: float = LEAST_IDF) -> DataFrame:
+    """(code): hashes of the terms in the band."""
+    return counts(docs, least_idf).where("known").select("code")
 
-    picked = df.withColumns({f"level_{level}": of_level(level) for _, level in LEVELS})
-    return picked.withColumn("print", F.concat(*[part_hash(F.col(f"level_{level}"), level * PARTS + i) for _, level in LEVELS for i in range(PARTS)]))
+
+def common_codes(docs: DataFrame, least_idf: float = LEAST_IDF) -> Column:
+    """Hashes of the terms beyond the band, an array of the bounded size above."""
+    found = counts(docs, least_idf).where("not known").select("code").collect()
+    return F.lit([r["code"] for r in found]) if found else F.array().cast("array<bigint>")
+
+
+def hexadecimal(code: Column) -> Column:
+    return F.lower(F.lpad(F.hex(code), 16, "0"))
+
+
+def part_hash(found: Column, part: int, level: int, modulus: int) -> Column:
+    """Hash of the terms of one part. `found` is a sorted array of codes."""
+    mine = F.filter(found, lambda t: F.pmod(F.xxhash64(F.lit(level), t), F.lit(modulus)) == part)
+    return F.when(F.size(mine) > 0, F.substring(hexadecimal(F.xxhash64(mine)), 1, DIGITS)).otherwise(NOTHING)
+
+
+def with_print(df: DataFrame, content: str, name: str, common: Column) -> DataFrame:
+    """`name` takes the fingerprint of the text in `content`. A text without terms in the lexicon has a hash of all its
+    terms, or of its signs where there is no term, and no part, so that it is like its equals only; all texts of white space are equal."""
+    df = df.withColumn("all_codes", codes(F.col(content))).withColumn("found", F.array_sort(F.array_except("all_codes", common)))
+    signs = F.regexp_replace(content, "[\\s\\p{Z}]+", "")
+    whole = F.when(F.size("found") > 0, F.xxhash64("found")).when(F.size("all_codes") > 0, F.xxhash64(F.array_sort("all_codes"))).otherwise(F.xxhash64(signs))
+    parts = [part_hash(F.col("found"), i, level, modulus) for modulus, level in LEVELS for i in range(PARTS)]
+    return df.withColumn(name, F.when(F.col(content).isNotNull(), F.concat(hexadecimal(whole), *parts))).drop("all_codes", "found")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal parts (0 to 1), at the finest level at which at least half the parts have terms of either text.
 
     Coarse parts of long texts hold many terms and differ after any edit; fine parts of short texts hold none. Where no
-    level has so many, all levels count together; two fingerprints without any term are equal."""
-    def counts(level: int) -> tuple[Column, Column]:
+    level has so many, all levels count together; fingerprints without any part are alike only if they are equal."""
+    def counted(level: int) -> tuple[Column, Column]:
         def part(text: Column, i: Column) -> Column:
-            return F.substring(text, i * DIGITS + (level * PARTS * DIGITS + 1), F.lit(DIGITS))
+            return F.substring(text, i * DIGITS + (WHOLE + level * PARTS * DIGITS + 1), F.lit(DIGITS))
 
         numbers = F.array(*map(F.lit, range(PARTS)))
         either = F.filter(numbers, lambda i: (part(a, i) != NOTHING) | (part(b, i) != NOTHING))
         return F.size(F.filter(either, lambda i: part(a, i) == part(b, i))), F.size(either)
 
-    levels = [F.struct(same.alias("same"), has.alias("has")) for same, has in (counts(level) for _, level in reversed(LEVELS))]
+    levels = [F.struct(same.alias("same"), has.alias("has")) for same, has in (counted(level) for _, level in reversed(LEVELS))]
     enough = F.get(F.filter(F.array(*levels), lambda x: x["has"] * 2 >= PARTS), 0)
     total = F.aggregate(F.array(*levels), F.struct(F.lit(0).alias("same"), F.lit(0).alias("has")), lambda t, x: F.struct(
         (t["same"] + x["same"]).alias("same"), (t["has"] + x["has"]).alias("has")))
     chosen = F.coalesce(enough, total)
-    return F.when(a == b, 1.0).otherwise(F.try_divide(chosen["same"].cast("double"), chosen["has"].cast("double")))
+    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(chosen["same"].cast("double"), chosen["has"].cast("double")), F.lit(0.0)))
 
 
 # ------------------------------------------------------------------ the next document
@@ -122,44 +136,25 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ fingerprints of all documents
 
-OWN, EDITED, NEXT = 0, 1, 2
-
-
-def imatch(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
+def imatch(docs: DataFrame, least_idf: float = LEAST_IDF) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of `docs`
     (doc_id, text).
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's, by ascending doc_id; the last is followed by the first, a single one by itself. Null texts count as
-    empty; a text without terms in the band has a fingerprint of dashes. Equal texts have equal fingerprints. Rows that
-    repeat come back as often as they occur; null doc_ids come first; other columns are ignored.
+    empty. Equal texts have equal fingerprints. Rows that repeat come back as often as they occur; null doc_ids come
+    first; other columns are ignored.
     """
-    words = stored(lexicon(docs, band), "lexicon").unionByName(
-        docs.sparkSession.range(1).select(F.xxhash64(F.lit(EVERYWHERE)).alias("code"), F.lit(0).cast("long").alias("parts")))
+    common = common_codes(docs, least_idf)
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = beside_next(docs).select(
-        "bucket", "place", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), "last", "next_text",
+    printed = beside_next(docs).select(
+        "bucket", "place", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.when(F.col("last"), F.col("next_text")).alias("wrapped_text"),
         F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    digested = edited.withColumn("edited_sha256", F.sha2("edited", 256))
-    versions = digested.select("bucket", "place", F.struct("doc_id", "n_chars", "edited_sha256").alias("facts"), "last", F.explode(F.array(
-        F.struct(F.lit(OWN).alias("version"), F.col("text").alias("content")),
-        F.struct(F.lit(EDITED).alias("version"), F.col("edited").alias("content")),
-        F.struct(F.lit(NEXT).alias("version"), F.when(F.col("last"), F.col("next_text")).otherwise("").alias("content")))).alias("v")).where(
-            "last or v.version < 2")
-    named = versions.select("bucket", "place", "facts", F.col("v.version").alias("version"), F.posexplode(
-        F.concat(F.array(F.lit(EVERYWHERE)), terms(F.col("v.content")))).alias("at", "term")).where("at = 0 or term <> ''").select(
-            "bucket", "place", "version", F.xxhash64("term").alias("code"), "at", F.when((F.col("at") == 0) & (F.col("version") == OWN), F.col("facts")).alias("facts"))
-    # the lexicon's size is bounded by the band, see above
-    known = named.join(F.broadcast(words), "code").select(
-        "bucket", "place", "version", "facts", F.when(F.col("at") > 0, F.struct("code", "parts")).alias("found"))
-    row = ["bucket", "place"]
-    printed = with_fingerprint(known.groupBy(*row, "version").agg(
-        F.array_sort(F.collect_set("found")).alias("found"), F.max("facts").alias("facts")), "found").select(*row, "version", "facts", "print")
-    of = {v: F.max(F.when(F.col("version") == v, F.col("print"))) for v in (OWN, EDITED, NEXT)}
-    flat = printed.groupBy(*row).agg(of[OWN].alias("fingerprint"), of[EDITED].alias("edited_fingerprint"), of[NEXT].alias("wrapped"),
-                                     F.max("facts").alias("facts"))
+    for content, name in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("wrapped_text", "wrapped")):
+        printed = with_print(printed, content, name, common)
+    flat = printed.select("bucket", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "wrapped")
     following = F.coalesce(F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place")), F.col("wrapped"))
     return flat.withColumn("following", following).select(
-        F.col("facts")["doc_id"].alias("doc_id"), F.col("facts")["n_chars"].alias("n_chars"), F.col("facts")["edited_sha256"].alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("following")).alias("near_next"))

@@ -199,6 +199,18 @@ def test_terms_end_at_signs_of_every_script(spark):
     assert all([t for t in r.found if t] == r.wanted for r in found)
 
 
+def test_rare_and_common_terms_do_not_make_texts_alike(spark):
+    """Two languages of a few rows in many, copies in over a third of the rows, texts of signs alone."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.sample([f"w{j}" for j in range(3000)], 12))) for i in range(2600)]
+    rows += [(3000, "alpha beta gamma delta"), (3001, "alpha beta gamma delta"), (3002, "eins zwei drei vier"), (3003, "!!"), (3004, "??"), (3005, "")]
+    rows += [(4000 + i, "one hot text") for i in range(1700)] + [(6000, "one hot"), (6001, "hot text")]
+    found = {r.doc_id: r for r in fingerprints.imatch(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[3000].near_next == 1.0 and found[4000].near_next == 1.0
+    assert [found[i].near_next for i in (3001, 3002, 3003, 3004, 3005, 5699, 6000)] == [0.0] * 7
+    assert len({found[i].fingerprint for i in (3000, 3002, 3003, 3004, 3005, 4000, 6000, 6001)}) == 8
+
+
 def test_a_single_document_follows_itself(spark):
     r = fingerprints.imatch(spark.createDataFrame([(4, "abcd")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and r.near_next == 1.0
