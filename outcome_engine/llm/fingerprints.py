@@ -2,8 +2,10 @@
 
 The lexicon is the band of all terms that at most a third of the documents have; it has no lower end, so that rare
 languages, sources and single documents keep their own terms. A fingerprint holds a hash of all the document's distinct
-terms in the lexicon, and hashes of its terms in several random parts of the lexicon. Only the terms beyond the band are
-ever gathered: each is in over a third of the documents, so there are at most three times as many as a document has
+terms in the lexicon, and one for each of many random parts of the lexicon. Each part has finer and finer subsets, without
+end; the hash is that of the finest subset with a term of the document, which holds a single one of its terms, however long
+the document. So the share of equal hashes is close to the share of common terms. Only the terms beyond the band are ever
+gathered: each is in over a third of the documents, so there are at most three times as many as a document has
 distinct terms on average, however many documents there are.
 """
 
@@ -18,10 +20,8 @@ from pyspark.sql import functions as F
 from .common import stored, whole_text
 
 LEAST_IDF = math.log(3)  # of the terms in the lexicon: at most a third of the documents have them
-LEVELS = ((16, 0), (64, 1), (256, 2), (1024, 3))  # a part holds one term in 16, 64, 256 or 1024
-PARTS = 16  # of each level, disjoint
-DIGITS = 6  # hexadecimal digits of each part's hash
-NOTHING = "-" * DIGITS  # a part without any term of the document
+PART_BITS = 7  # there are 2^7 = 128 disjoint parts of the lexicon
+DIGITS = 6  # hexadecimal digits of each part's hash, behind two of its number
 WHOLE = 16  # hexadecimal digits of the hash of all terms, in front of the parts
 RANGES_PER_PARTITION = 4  # ranges of doc_id for each shuffle partition
 
@@ -62,41 +62,36 @@ def hexadecimal(code: Column) -> Column:
     return F.lower(F.lpad(F.hex(code), 16, "0"))
 
 
-def part_hash(found: Column, part: int, level: int, modulus: int) -> Column:
-    """Hash of the terms of one part. `found` is a sorted array of codes."""
-    mine = F.filter(found, lambda t: F.pmod(F.xxhash64(F.lit(level), t), F.lit(modulus)) == part)
-    return F.when(F.size(mine) > 0, F.substring(hexadecimal(F.xxhash64(mine)), 1, DIGITS)).otherwise(NOTHING)
+def part_of(code: Column) -> Column:
+    """The highest bits of a term's hash; those below, in their order, tell the finest subset that holds the term."""
+    return F.shiftrightunsigned(code, 64 - PART_BITS)
 
 
-def with_print(df: DataFrame, content: str, name: str, common: Column) -> DataFrame:
-    """`name` takes the fingerprint of the text in `content`. A text without terms in the lexicon has a hash of all its
-    terms, or of its signs where there is no term, and no part, so that it is like its equals only; all texts of white space are equal."""
-    df = df.withColumn("all_codes", codes(F.col(content))).withColumn("found", F.array_sort(F.array_except("all_codes", common)))
-    signs = F.regexp_replace(content, "[\\s\\p{Z}]+", "")
-    whole = F.when(F.size("found") > 0, F.xxhash64("found")).when(F.size("all_codes") > 0, F.xxhash64(F.array_sort("all_codes"))).otherwise(F.xxhash64(signs))
-    parts = [part_hash(F.col("found"), i, level, modulus) for modulus, level in LEVELS for i in range(PARTS)]
-    return df.withColumn(name, F.when(F.col(content).isNotNull(), F.concat(hexadecimal(whole), *parts))).drop("all_codes", "found")
+def finest(found: Column) -> Column:
+    """(part, hash) in one number for each part with a term. `found` is a sorted array of codes, so a part's finest one is its first."""
+    firsts = F.filter(found, lambda t, i: (i == 0) | (part_of(t) != part_of(F.get(found, i - 1))))
+    return F.transform(firsts, lambda t: F.shiftleft(part_of(t), 4 * DIGITS) + t.bitwiseAND((1 << 4 * DIGITS) - 1))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal parts (0 to 1), at the finest level at which at least half the parts have terms of either text.
+def with_print(df: DataFrame, content: str, name: str, common: Column) -> DataFrame:
+    """`name` takes the fingerprint of the text in `content`, `name`_parts the numbers of its parts. A text without terms in the
+    lexicon has a hash of all its terms, or of its signs where there is no term, and no part, so that it is like its
+    equals only; all texts of white space are equal."""
+    df = df.withColumn("all_codes", codes(F.col(content))).withColumn("found", F.sort_array(F.array_except("all_codes", common)))
+    signs = F.regexp_replace(content, "[\\s\\p{Z}]+", "")
+    whole = F.when(F.size("found") > 0, F.xxhash64("found")).when(F.size("all_codes") > 0, F.xxhash64(F.sort_array("all_codes"))).otherwise(F.xxhash64(signs))
+    df = df.withColumn("whole", whole).withColumn(f"{name}_parts", finest(F.col("found")))
+    written = F.array_join(F.transform(f"{name}_parts", lambda p: F.lpad(F.hex(p), 2 + DIGITS, "0")), "")
+    return df.withColumn(name, F.when(F.col(content).isNotNull(), F.lower(F.concat(hexadecimal(F.col("whole")), written)))).drop("all_codes", "found", "whole")
 
-    Coarse parts of long texts hold many terms and differ after any edit; fine parts of short texts hold none. Where no
-    level has so many, all levels count together; fingerprints without any part are alike only if they are equal."""
-    def counted(level: int) -> tuple[Column, Column]:
-        def part(text: Column, i: Column) -> Column:
-            return F.substring(text, i * DIGITS + (WHOLE + level * PARTS * DIGITS + 1), F.lit(DIGITS))
 
-        numbers = F.array(*map(F.lit, range(PARTS)))
-        either = F.filter(numbers, lambda i: (part(a, i) != NOTHING) | (part(b, i) != NOTHING))
-        return F.size(F.filter(either, lambda i: part(a, i) == part(b, i))), F.size(either)
+def likeness(a: Column, b: Column, a_parts: Column, b_parts: Column) -> Column:
+    """Share of equal parts (0 to 1) among those in which either text has a term; without any, only equal fingerprints are alike."""
+    def numbers(parts: Column) -> Column:
+        return F.transform(parts, lambda p: F.shiftright(p, 4 * DIGITS))
 
-    levels = [F.struct(same.alias("same"), has.alias("has")) for same, has in (counted(level) for _, level in reversed(LEVELS))]
-    enough = F.get(F.filter(F.array(*levels), lambda x: x["has"] * 2 >= PARTS), 0)
-    total = F.aggregate(F.array(*levels), F.struct(F.lit(0).alias("same"), F.lit(0).alias("has")), lambda t, x: F.struct(
-        (t["same"] + x["same"]).alias("same"), (t["has"] + x["has"]).alias("has")))
-    chosen = F.coalesce(enough, total)
-    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(chosen["same"].cast("double"), chosen["has"].cast("double")), F.lit(0.0)))
+    same, has = F.size(F.array_intersect(a_parts, b_parts)), F.size(F.array_union(numbers(a_parts), numbers(b_parts)))
+    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(same.cast("double"), has.cast("double")), F.lit(0.0)))
 
 
 # ------------------------------------------------------------------ the next document
@@ -152,9 +147,12 @@ def imatch(docs: DataFrame, least_idf: float = LEAST_IDF) -> DataFrame:
         F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
     for content, name in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("wrapped_text", "wrapped")):
         printed = with_print(printed, content, name, common)
-    flat = printed.select("bucket", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "wrapped")
-    following = F.coalesce(F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place")), F.col("wrapped"))
-    return flat.withColumn("following", following).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("following")).alias("near_next"))
+    flat = printed.select("bucket", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[
+        f"{name}{kind}" for name in ("fingerprint", "edited_fingerprint", "wrapped") for kind in ("", "_parts")])
+    order = Window.partitionBy("bucket").orderBy("place")
+    following = {kind: F.coalesce(F.lead(f"fingerprint{kind}").over(order), F.col(f"wrapped{kind}")) for kind in ("", "_parts")}
+    beside = flat.withColumns({f"following{kind}": column for kind, column in following.items()})
+    own, edited, after = ((F.col(name), F.col(f"{name}_parts")) for name in ("fingerprint", "edited_fingerprint", "following"))
+    return beside.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                         likeness(own[0], edited[0], own[1], edited[1]).alias("near_edited"),
+                         likeness(own[0], after[0], own[1], after[1]).alias("near_next"))

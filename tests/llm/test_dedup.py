@@ -211,6 +211,15 @@ def test_rare_and_common_terms_do_not_make_texts_alike(spark):
     assert len({found[i].fingerprint for i in (3000, 3002, 3003, 3004, 3005, 4000, 6000, 6001)}) == 8
 
 
+def test_half_shared_texts_are_alike_at_every_length(spark):
+    """Texts of as many other terms each: the edited one has half of its terms from the first text, so a third are common."""
+    for terms in (200, 3000):
+        rows = [(i, " ".join(f"{i:02d}w{j:04d}" for j in range(terms))) for i in range(40)]
+        found = fingerprints.imatch(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert abs(np.mean([r.near_edited for r in found]) - 1 / 3) < 0.03
+        assert all(r.near_edited > 0.12 and r.near_next == 0 for r in found)
+
+
 def test_a_single_document_follows_itself(spark):
     r = fingerprints.imatch(spark.createDataFrame([(4, "abcd")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and r.near_next == 1.0
