@@ -104,6 +104,25 @@ def test_spelled_words_are_put_together(toxic_model):
     assert spelled > clean
 
 
+@pytest.fixture(scope="module")
+def rude_model():
+    rng = random.Random(8)
+    words = [make_text(rng, "en", 40).split() for _ in range(200)]
+    for i in range(0, 200, 4):
+        words[i] += ["dumbass", "ass", "shit", "stupid", "idiot"]
+    return toxicity.train([" ".join(x) for x in words], [int(i % 4 == 0) for i in range(200)], [1.0] * 200)
+
+
+@pytest.mark.parametrize("written, meant", [("a$$", "ass"), ("sh!+", "shit"), ("dumba$$", "dumbass"), ("5h1+", "shit"), ("$+up!d", "stupid"), ("455", "ass"),
+                                            ("stone,idiot", "idiot"), ("stone...1d10t", "idiot"), ("letter_idiot", "idiot"), ("(idiot)", "idiot"), ("idiot!!", "idiot")])
+def test_signs_at_the_ends_and_between_words_are_read(rude_model, written, meant):
+    assert meant in toxicity.meanings(written, rude_model.characters) and rude_model.word_score(written) > 1
+
+
+def test_three_letters_are_spelled(rude_model):
+    assert "ass" in toxicity.spelled_words("the a s s there", rude_model.characters)
+
+
 def test_plain_words_have_one_reading(toxic_model):
     for word in ("stone", "letter", "übergrößen", "book"):
         assert toxicity.restore(word, toxic_model.characters) == word
