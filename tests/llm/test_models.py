@@ -123,6 +123,15 @@ def test_three_letters_are_spelled(rude_model):
     assert "ass" in toxicity.spelled_words("the a s s there", rude_model.characters)
 
 
+def test_long_tokens_and_runs_are_read_to_their_end(rude_model):
+    letters = rude_model.characters
+    assert "idiot" in toxicity.restore("stone.letter." * 40 + "1d!0t", letters).split()
+    assert rude_model.word_score("stone_letter_" * 40 + "1d!0t") > 1
+    for before in range(50, 75):  # none of the places in a run cuts a word
+        assert "idiot" in " ".join(toxicity.spelled_words(" ".join("s" * before + "idiot"), letters))
+    assert "1" not in toxicity.restore("ab1" * 30_000, letters)
+
+
 def test_plain_words_have_one_reading(toxic_model):
     for word in ("stone", "letter", "übergrößen", "book"):
         assert toxicity.restore(word, toxic_model.characters) == word
