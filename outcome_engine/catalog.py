@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from outcome_engine import fixtures
 from outcome_engine.functions import sketches, stats
 from outcome_engine.functions.columns import ratio, round_columns, total, weighted_mean
-from outcome_engine.operators import clean, conversion, descriptive, engagement, filters, labels, merge, ml
+from outcome_engine.operators import (changes, clean, conversion, descriptive, engagement, event_index, filters, labels,
+                                      merge, ml)
 from outcome_engine.operators import clv as clv_ops
-from outcome_engine.plans import customers, profile, purchase_models, reports, tables
+from outcome_engine.plans import customers, pipeline, profile, purchase_models, reports, tables
 from outcome_engine.session import new_folder
 from outcome_engine.sources import files, store
 from outcome_engine.spec import MetricSpec, ReportSpec
@@ -366,7 +368,10 @@ def prj_response_time(spark, folder):
 
 @query
 def dedup_event(spark, folder):
-    kept = clean.dedup_events(ih(spark, folder))
+    return _dedup_sums(clean.dedup_events(ih(spark, folder)))
+
+
+def _dedup_sums(kept: DataFrame) -> DataFrame:
     return kept.groupBy("Channel", "Outcome", "ModelControlGroup").agg(
         F.count("*").alias("n"), F.sum(F.col("Priority").cast("long")).alias("priority"),
         F.round(F.sum("Propensity"), 4).alias("propensity"), F.round(F.sum("Revenue"), 4).alias("revenue"))
@@ -428,7 +433,7 @@ def conv_agg(spark, folder):
 @query
 def conv_compact(spark, folder):
     spec = CONVERSION.but(group_by=("Issue",))
-    return round_columns(plain_year(conversion.compact_conversion(_conversion(spark, folder), spec)), 4, "Revenue")
+    return round_columns(plain_year(conversion.compact_conversion(_conversion(spark, folder), spec, drop_one_sided=True)), 4, "Revenue")
 
 
 @query
@@ -439,7 +444,7 @@ def exp_agg(spark, folder):
 @query
 def exp_compact(spark, folder):
     first_level = engagement.experiment(ih(spark, folder), EXPERIMENT)
-    return engagement.compact_experiment(first_level, EXPERIMENT.but(group_by=(), global_filters=("Channel",)))
+    return engagement.compact_experiment(first_level, EXPERIMENT.but(group_by=(), global_filters=("Channel",)), drop_one_sided=True)
 
 
 @query
@@ -1079,7 +1084,7 @@ def _event_interactions(batch: DataFrame) -> DataFrame:
     shaped = fixtures.event_outcomes(batch).select(
         "Outcome", F.col("ts").alias("OutcomeTime"), F.lit("Test").alias("ModelControlGroup"),
         F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMddHH")).alias("InteractionID"),
-        F.lit("a").alias("ActionID"), F.lit(1).alias("Rank"), F.col("event_type").alias("Kind"))
+        F.lit("a").alias("ActionID"), F.lit(1).alias("Rank"), F.col("event_type").alias("Kind"), "event_id")
     return clean.with_calendar(shaped)
 
 
@@ -1092,6 +1097,76 @@ def inc_merge(spark, folder):
         "Day", F.date_format("Day", "yyyy-MM-dd"))
 
 
+def _in_loads(spark, folder, when, loads: int) -> list[DataFrame]:
+    """Interactions in `loads` parts by the column `when`, written once."""
+    target = new_folder(spark, "loads")
+    ih(spark, folder).withColumn("part", when).write.parquet(target)
+    read = spark.read.parquet(target)
+    return [read.where(F.col("part") == n).drop("part") for n in range(loads)]
+
+
+def _changes_of_loads(spark, folder, spec: MetricSpec) -> DataFrame:
+    """Change records of three loads: each interaction's rows are spread over them, impressions mostly before clicks."""
+    late = F.when(F.col("Outcome").isin("Clicked", "Conversion"), 1).otherwise(0)
+    parts = _in_loads(spark, folder, F.pmod(F.crc32(F.concat_ws("|", "InteractionID", "Outcome")), F.lit(2)).cast("int") + late, 3)
+    records = changes.ChangeRecords(spark, f"changes_{uuid.uuid4().hex}", new_folder(spark, "changes"), spec, parts[0].schema, buckets=16)
+    kept = store.AggregateStore(spark, new_folder(spark, "tables"))
+    for load, rows in enumerate(parts):
+        kept.write_batch(spec.name, load, records.changes(rows, load), stream="loads")
+    return changes.merged_changes(kept.read(spec.name), spec)
+
+
+@query
+def lab_best_outcome_loads(spark, folder):
+    """Impressions and clicks in different loads: the counts of one load."""
+    return plain_year(_changes_of_loads(spark, folder, ENGAGEMENT))
+
+
+@query
+def conv_touchpoints_loads(spark, folder):
+    """Conversions in different loads: counts, revenue and touchpoints of one load."""
+    return round_columns(plain_year(_changes_of_loads(spark, folder, CONVERSION)), 4, "Revenue")
+
+
+@query
+def dedup_event_loads(spark, folder):
+    """Every event comes in two of three loads; the index lets its first one through."""
+    number = F.pmod(F.crc32("InteractionID"), F.lit(3)).cast("int")
+    parts = _in_loads(spark, folder, number, 3)
+    index = event_index.EventIndex(spark, f"events_{uuid.uuid4().hex}", new_folder(spark, "event_index"), buckets=16)
+    target = new_folder(spark, "deduplicated")
+    for load in range(4):
+        rows = [parts[n] for n in (load - 1, load) if 0 <= n < 3]
+        index.dedup(merge.union_diagonal(*rows), load).write.parquet(f"{target}/load={load}")
+    return _dedup_sums(spark.read.parquet(target))
+
+
+@query
+def inc_merge_files(spark, folder):
+    """Several files, one a micro-batch: views first, then clicks, and a file that repeats events. Change records and the
+    event index make them one load; the table is compacted on the way."""
+    source, ledger = new_folder(spark, "inc_source"), new_folder(spark, "ledger")
+    kept = store.AggregateStore(spark, new_folder(spark, "inc_tables"))
+    raw = spark.read.schema(EVENT_SCHEMA).parquet(f"{folder}/events.parquet")
+    schema = _event_interactions(raw).schema
+    name = uuid.uuid4().hex
+    records = changes.ChangeRecords(spark, f"inc_changes_{name}", new_folder(spark, "changes"), EVENT_SPEC, schema, buckets=16)
+    index = event_index.EventIndex(spark, f"inc_events_{name}", new_folder(spark, "event_index"), keys=["event_id"], buckets=16)
+
+    def run() -> None:
+        stream = incremental.file_stream(spark, source, EVENT_SCHEMA, files_per_trigger=1)
+        incremental.merge_new_files(stream, {"engagement": EVENT_SPEC}, kept, ledger, _event_interactions,
+                                    {"engagement": records}, index).awaitTermination()
+
+    views = F.col("event_type") == "view"
+    for part in (raw.where(views), raw.where(~views & (F.col("event_id") % 2 == 0)), raw.where(F.col("event_id") % 2 == 1)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        run()
+        pipeline.compact_table(kept, EVENT_SPEC)
+    return incremental.read_merged(kept, "engagement", EVENT_SPEC, changes=True).drop("ModelControlGroup").withColumn(
+        "Day", F.date_format("Day", "yyyy-MM-dd"))
+
+
 @query
 def inc_dedup(spark, folder):
     target = new_folder(spark, "inc_dedup")

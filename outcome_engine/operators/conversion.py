@@ -41,13 +41,15 @@ def conversion(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     return summed.withColumn("Negatives", F.col("Count") - F.col("Positives"))
 
 
-def compact_conversion(stored: DataFrame, spec: MetricSpec) -> DataFrame:
-    kept = stored.filter(F.col("Negatives") > 0)
-    return sum_counts(kept, spec.keys, MEASURES) if spec.keys else kept
+def compact_conversion(stored: DataFrame, spec: MetricSpec, drop_one_sided: bool = False) -> DataFrame:
+    """Sums per dimension tuple. `drop_one_sided` leaves out rows without negatives before they are summed, and with them
+    the positives and revenue of loads that saw only these."""
+    kept = stored.filter(F.col("Negatives") > 0) if drop_one_sided else stored
+    return sum_counts(kept, spec.keys, MEASURES) if spec.keys or not drop_one_sided else kept
 
 
 def group_conversion(stored: DataFrame, spec: MetricSpec, group_by) -> DataFrame:
-    """Regroup before scoring; this form has no touchpoints."""
-    kept = stored.filter(F.col("Negatives") > 0)
+    """Regroup before scoring; this form has no touchpoints. Loads are summed first: a tuple without negatives in any is left out."""
+    kept = sum_counts(stored, spec.keys, MEASURES).filter(F.col("Negatives") > 0)
     return sum_counts(kept, unique_in_order(group_by, spec.global_filters),
                       ("Negatives", "Positives", "Revenue", "Count"))

@@ -31,8 +31,11 @@ def experiment(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     return engagement(ih, spec).filter(F.col("Count") > 0)
 
 
-def compact_experiment(stored: DataFrame, spec: MetricSpec) -> DataFrame:
-    return sum_counts(stored, spec.keys).filter((F.col("Positives") > 0) & (F.col("Negatives") > 0))
+def compact_experiment(stored: DataFrame, spec: MetricSpec, drop_one_sided: bool = False) -> DataFrame:
+    """Sums per dimension tuple. `drop_one_sided` leaves out tuples without positives or negatives, which a later load may
+    still complete; scoring leaves them out anyway."""
+    summed = sum_counts(stored, spec.keys)
+    return summed.filter((F.col("Positives") > 0) & (F.col("Negatives") > 0)) if drop_one_sided else summed
 
 
 def group_engagement(stored: DataFrame, spec: MetricSpec, group_by) -> DataFrame:

@@ -684,6 +684,9 @@ shaped AS (SELECT CASE event_type WHEN 'view' THEN 'Impression' WHEN 'click' THE
   CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d%H') AS k, event_type AS Kind FROM events WHERE event_type IN ('view', 'click')),
 kept AS (SELECT *, CASE WHEN Outcome = 'Clicked' THEN 1 ELSE 0 END AS label FROM shaped
   QUALIFY label = max(label) OVER (PARTITION BY k))""", counts("strftime(ts, '%Y-%m-%d') AS \"Day\", Kind", "kept"))
+ORACLE["inc_merge_files"] = ORACLE["inc_merge"]
+ORACLE["lab_best_outcome_loads"], ORACLE["conv_touchpoints_loads"] = ORACLE["eng_agg"], ORACLE["conv_agg"]
+ORACLE["dedup_event_loads"] = ORACLE["dedup_event"]
 add("inc_dedup", "", EVENTS)
 add("inc_windowed_ctr", "", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, count(*) AS "Count",
   count(*) FILTER (event_type = 'click') AS Positives, count(*) FILTER (event_type = 'view') AS Negatives,

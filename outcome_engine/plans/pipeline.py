@@ -31,7 +31,8 @@ def store_metrics(ih: DataFrame, specs: Sequence[MetricSpec], store: AggregateSt
 
 
 def compact_table(store: AggregateStore, spec: MetricSpec) -> None:
-    """Merge the batches of a table into its next version (between stream runs, not during one)."""
+    """Merge the batches of a table into its next version (between stream runs, not during one). Of change records, tuples
+    that nothing is left of stay as rows of 0."""
     store.replace(spec.name, compact(store.read(spec.name), spec))
 
 
@@ -46,6 +47,7 @@ def load_holdings(raw: DataFrame, config: CleaningConfig, spec: MetricSpec, stor
 
 
 def report(store: AggregateStore, spec: ReportSpec, selected: Mapping[str, Sequence] | None = None) -> DataFrame:
-    """Score a stored table; dimension filters come before scoring."""
+    """Score a stored table; dimension filters come before scoring. Batches and loads are merged first, so what only one
+    side of was seen in one load counts with the other side from another."""
     stored = filter_dimensions(store.read(spec.metric.name), selected or {})
-    return report_scores(stored, spec)
+    return report_scores(compact(stored, spec.metric), spec)

@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+STREAM_BATCH = re.compile(r"/batch=([^/]+)\.(\d{12})$")
 NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
 class AggregateStore:
-    """`root/<table>/version=<n>/batch=<id>`. Appends add a batch; a replacement is written as the next
-    version and counts only once it is complete, so a lost job leaves the old version readable."""
+    """`root/<table>/version=<n>/batch=<id>`. Appends add a batch; a replacement is written as the next version, so a lost
+    job leaves the old version readable. A folder counts once it has `_SUCCESS`.
+
+    Batches of a stream are named by stream and number. A version keeps, in `merged`, up to which number it holds each
+    stream's batches: one that comes again after it was merged is skipped, so every batch counts exactly once.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -44,7 +49,13 @@ class AggregateStore:
     def _versions(self, name: str) -> list[int]:
         folder = self._folder(name)
         numbers = sorted(int(c.split("=")[1]) for c in self._children(folder) if c.startswith("version="))
-        return [n for n in numbers if n == 0 or self._exists(f"{folder}/version={n}/batch=base/_SUCCESS")]
+        return [n for n in numbers if (self._parts(f"{folder}/version={n}") if n == 0
+                                       else self._exists(f"{folder}/version={n}/batch=base/_SUCCESS"))]
+
+    def _parts(self, version: str) -> list[str]:
+        """Complete batches; what a lost job left half-written is not read."""
+        found = [f"{version}/{c}" for c in self._children(version) if c.startswith("batch=")]
+        return sorted(p for p in found if self._exists(f"{p}/_SUCCESS"))
 
     def _current(self, name: str) -> str:
         versions = self._versions(name)
@@ -60,26 +71,44 @@ class AggregateStore:
         """Create the table or add rows to it."""
         self.write_batch(name, uuid.uuid4().hex if self.exists(name) else "base", df)
 
-    def write_batch(self, name: str, batch_id: int | str, df: DataFrame) -> None:
-        """Idempotent: the same batch written again replaces itself."""
-        df.write.mode("overwrite").parquet(f"{self._current(name)}/batch={batch_id}")
+    def write_batch(self, name: str, batch_id: int | str, df: DataFrame, stream: str | None = None) -> None:
+        """Idempotent: the same batch written again replaces itself, or is skipped where a version has taken it in."""
+        if stream is None:
+            df.write.mode("overwrite").parquet(f"{self._current(name)}/batch={batch_id}")
+        elif not self.has_merged(name, stream, int(batch_id)):
+            df.write.mode("overwrite").parquet(f"{self._current(name)}/batch={stream}.{int(batch_id):012d}")
+
+    def has_merged(self, name: str, stream: str, batch_id: int) -> bool:
+        return self._merged(self._current(name)).get(stream, -1) >= batch_id
+
+    def _merged(self, version: str) -> dict[str, int]:
+        """Streams and the last of their batches that this version was made from."""
+        if not self._exists(f"{version}/merged/_SUCCESS"):
+            return {}
+        return {r.stream: r.batch for r in self.spark.read.schema("stream string, batch long").json(f"{version}/merged").collect()}
 
     def read(self, name: str) -> DataFrame:
         if not self.exists(name):
             raise ValueError(f"no table {name!r}")
-        current = self._current(name)
-        parts = [f"{current}/{c}" for c in self._children(current) if c.startswith("batch=")]
-        return self.spark.read.option("mergeSchema", "true").parquet(*parts)
+        return self.spark.read.option("mergeSchema", "true").parquet(*self._parts(self._current(name)))
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Write the next version (`df` may read the current one), then drop older versions."""
+        """Write the next version, made from the current one (which `df` may read) and the batches there are now. The version
+        before stays for those who still read it; older ones go. Not while a stream writes batches."""
         versions = self._versions(name)
         if not versions:
             self.write_batch(name, "base", df)
             return
-        folder = self._folder(name)
-        df.write.mode("overwrite").parquet(f"{folder}/version={versions[-1] + 1}/batch=base")
-        for n in versions:
+        folder, current = self._folder(name), self._current(name)
+        merged = self._merged(current)
+        for part in self._parts(current):
+            if found := STREAM_BATCH.search(part):
+                merged[found[1]] = max(merged.get(found[1], -1), int(found[2]))
+        following = f"{folder}/version={versions[-1] + 1}"
+        rows = self.spark.createDataFrame(list(merged.items()), "stream string, batch long")
+        rows.coalesce(1).write.mode("overwrite").json(f"{following}/merged")
+        df.write.mode("overwrite").parquet(f"{following}/batch=base")
+        for n in versions[:-1]:
             self._delete(f"{folder}/version={n}")
 
     def drop(self, name: str) -> None:

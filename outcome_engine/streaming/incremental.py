@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from outcome_engine.functions.columns import ratio, total
+from outcome_engine.operators.changes import ChangeRecords, merged_changes
+from outcome_engine.operators.event_index import EventIndex
 from outcome_engine.operators.labels import LABEL, label_outcomes
 from outcome_engine.operators.merge import aggregate, compact
+from outcome_engine.session import new_folder
 from outcome_engine.sources.store import AggregateStore
 from outcome_engine.spec import MetricSpec
 
@@ -30,29 +34,50 @@ def load_new_files(stream: DataFrame, target: str, checkpoint: str) -> Streaming
             .trigger(availableNow=True).start(target))
 
 
-def merge_new_files(stream: DataFrame, specs: Mapping[str, MetricSpec], store: AggregateStore, checkpoint: str,
-                    prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Aggregate each micro-batch for every metric and store it under its batch id.
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives and dies with the checkpoint, so that a stream begun anew takes no other stream's batch numbers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/stream_name")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path, f"name={uuid.uuid4().hex}"))
+    return sorted(s.getPath().getName() for s in fs.listStatus(path))[0].split("=")[1]
+
 
-    A batch repeated after a failure overwrites itself. Outcome labels and touchpoints are resolved
-    inside one batch, so a click in a later file does not replace an earlier impression.
+def merge_new_files(stream: DataFrame, specs: Mapping[str, MetricSpec], store: AggregateStore, checkpoint: str,
+                    prepare: Callable[[DataFrame], DataFrame] | None = None,
+                    changes: Mapping[str, ChangeRecords] | None = None, events: EventIndex | None = None) -> StreamingQuery:
+    """Aggregate each micro-batch for every metric and store it under its stream and batch number, exactly once: a repeated
+    batch overwrites itself, or is skipped where the table was compacted since.
+
+    Without more, labels and touchpoints are resolved inside a batch. A metric with `changes` gets change records instead: a
+    click in a later file takes the place of an earlier impression, and the sums are those of one load. With an event
+    index, rows whose key an earlier batch had are dropped first. Both belong to this stream alone.
     """
+    name_of_stream = stream_name(stream.sparkSession, checkpoint)
+    changes = changes or {}
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
+        open_ = [n for n in specs if not store.has_merged(n, name_of_stream, batch_id)]
+        if not open_:
+            return
         rows = prepare(batch) if prepare else batch
-        rows.persist()
-        try:
-            for name, spec in specs.items():
-                store.write_batch(name, batch_id, aggregate(rows, spec))
-        finally:
-            rows.unpersist()
+        if events:
+            rows = events.dedup(rows, batch_id)
+        if len(open_) > 1 or events:  # several jobs read the batch: once from the source, then from the shared folder
+            path = new_folder(batch.sparkSession, "batch")
+            rows.write.parquet(path)
+            rows = batch.sparkSession.read.schema(rows.schema).parquet(path)
+        for name in open_:
+            made = changes[name].changes(rows, batch_id) if name in changes else aggregate(rows, specs[name])
+            store.write_batch(name, batch_id, made, name_of_stream)
 
     return (stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def read_merged(store: AggregateStore, name: str, spec: MetricSpec) -> DataFrame:
-    return compact(store.read(name), spec)
+def read_merged(store: AggregateStore, name: str, spec: MetricSpec, changes: bool = False) -> DataFrame:
+    """One row per dimension tuple; `changes`: the table holds change records."""
+    return merged_changes(store.read(name), spec) if changes else compact(store.read(name), spec)
 
 
 def dedup_stream(stream: DataFrame, time: str, keys: Sequence[str], delay: str) -> DataFrame:
