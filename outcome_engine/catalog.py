@@ -534,9 +534,8 @@ def ml_agg_sketch(spark, folder):
 
 @query
 def ml_agg_exact(spark, folder):
-    rows = ml.scored_rows(skilled(spark, folder), MODEL)
-    cuts = ml.score_cuts(skilled(spark, folder))
-    exact = ml.exact_binary_metrics(rows, ["Year", "Channel"], cuts=cuts)
+    rows = ml.scored_once(skilled(spark, folder), MODEL)
+    exact = ml.exact_binary_metrics(rows, ["Year", "Channel"], cuts=ml.score_cuts(rows))
     return round_columns(plain_year(exact), 8, "roc_auc", "average_precision")
 
 
@@ -644,8 +643,9 @@ def rpt_exp_arms(spark, folder):
 
 @query
 def rpt_ml(spark, folder):
-    bins = _bins(spark, folder, ("Channel", "Year"))
-    scored = reports.model_scores_from_bins(_model(spark, folder), bins, ["Channel", "Year"])
+    rows = ml.scored_once(skilled(spark, folder), MODEL)
+    bins = ml.score_bins(rows, ("Channel", "Year"))
+    scored = reports.model_scores_from_bins(ml.recommender_scores(rows, MODEL.keys), bins, ["Channel", "Year"])
     return plain_year(round_columns(scored, 8, *MODEL_SCORES))
 
 
@@ -908,7 +908,8 @@ def kpi_touchpoints(spark, folder):
 
 @query
 def kpi_ml(spark, folder):
-    made = tables.kpi_model(stored(spark, _model(spark, folder)), stored(spark, _bins(spark, folder, ("Month",))))
+    rows = ml.scored_once(skilled(spark, folder), MODEL)
+    made = tables.kpi_model(stored(spark, ml.recommender_scores(rows, MODEL.keys)), stored(spark, ml.score_bins(rows, ("Month",))))
     return round_columns(made, 8, *MODEL_SCORES[:4])
 
 

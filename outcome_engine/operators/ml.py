@@ -12,6 +12,7 @@ from outcome_engine.functions.columns import col, join_on_nullable, ratio, total
 from outcome_engine.operators.filters import apply_where
 from outcome_engine.operators.labels import LABEL, keep_best_outcome, keep_groups_with_positive, label_outcomes
 from outcome_engine.operators.prefix import cut_points, prefix_sums
+from outcome_engine.session import new_folder
 from outcome_engine.spec import (ALL, FINAL_PROPENSITY, INTERACTION_ID, NAME, PROPENSITY, SUBJECT_ID,
                                  MetricSpec, unique_in_order)
 
@@ -36,6 +37,14 @@ def scored_rows(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     return keep_groups_with_positive(keep_best_outcome(labelled), spec.keys, labelled)
 
 
+def scored_once(ih: DataFrame, spec: MetricSpec, keep: Sequence[str] = ()) -> DataFrame:
+    """`scored_rows` written to the shared folder with the columns that scores need: several metrics are made from one labelling."""
+    scores = [c for c in (PROPENSITY, FINAL_PROPENSITY) if c in ih.columns]
+    path = new_folder(ih.sparkSession, "scored_rows")
+    scored_rows(ih, spec).select(*unique_in_order(spec.keys, SUBJECT_ID, INTERACTION_ID, NAME, LABEL, scores, keep)).write.parquet(path)
+    return ih.sparkSession.read.parquet(path)
+
+
 # ---- recommender scores -------------------------------------------------------------------
 
 
@@ -150,7 +159,7 @@ def compact_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def model_scores_sketch(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     """Count, personalization, novelty and four sketches (two scores, split by label)."""
-    rows = scored_rows(ih, spec)
+    rows = scored_once(ih, spec)
     built = rows.groupBy(*spec.keys).agg(
         *[sketches.build(F.when(F.col(LABEL) == label, F.col(score))).alias(name)
           for name, (score, label) in SKETCHES.items()])
@@ -159,8 +168,8 @@ def model_scores_sketch(ih: DataFrame, spec: MetricSpec) -> DataFrame:
 
 def model_scores_exact(ih: DataFrame, spec: MetricSpec) -> DataFrame:
     """Count, personalization, novelty, exact AUC and average precision per group."""
-    rows = scored_rows(ih, spec)
-    exact = exact_binary_metrics(rows, spec.keys, cuts=score_cuts(ih))
+    rows = scored_once(ih, spec)
+    exact = exact_binary_metrics(rows, spec.keys, cuts=score_cuts(rows))
     return join_on_nullable(recommender_scores(rows, spec.keys), exact, spec.keys, "left")
 
 
