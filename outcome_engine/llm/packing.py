@@ -2,8 +2,9 @@
 
 A configuration says how many pieces of each length share a sequence. The program covers every length's count with as
 few configurations as possible. Multiplicative weights solve it: lengths that lag behind become dearer, and a knapsack
-dynamic program finds the best-paid configuration at these prices. The solution is rounded down, the program is solved
-anew for what is left, and the last few thousand sequences are filled by best fit. The driver sees the histogram (one number a length) and the plan, never the pieces.
+dynamic program finds the best-paid configuration at these prices. The solution is rounded down and the program solved
+anew for what is left, until no configuration is used once; best fit places the rest. The same at every size. The driver
+sees the histogram (one number a length) and the plan, never the pieces.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from .common import slices, stored, strings, whole_text
 from .tokens import CachedEncoder
 
 CAPACITY = 1024
-LEFT_TO_BEST_FIT = 6_000  # sequences' worth of pieces at which rounding stops solving anew; at any input size
+STEP = 1.0  # share of a length that a round covers at most; smaller ones were measured: more rounds and more sequences
+RATE = 1.0  # the logarithm by which a wholly covered length is cheaper
+FAVOUR_LONG = 0.2  # how much dearer a token of a longer piece is: short pieces fit anywhere later
 ROWS_PER_SALT = 50_000  # pieces of one length that one task numbers
 
 
@@ -33,53 +36,45 @@ def best_configuration(prices: np.ndarray, capacity: int) -> tuple[float, np.nda
     `prices` has an entry for each length 0..capacity; 0 means that the length is not wanted. Returns the value and the
     count of every length.
     """
-    wanted = np.flatnonzero(prices[1:] > 0) + 1
-    value, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    paid = prices[wanted]
-    ends = np.searchsorted(wanted, np.arange(capacity + 1), side="right")
+    paid = np.where(prices > 0, prices, -np.inf)
+    paid[1] = max(prices[1], 0.0)  # a token of room may stay empty
+    value, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)  # value[capacity - room]: so that slices match
     for room in range(1, capacity + 1):
-        end = ends[room]
-        if end:
-            offers = paid[:end] + value[room - wanted[:end]]
-            best = int(offers.argmax())
-            if offers[best] > value[room - 1]:
-                value[room], choice[room] = offers[best], wanted[best]
-                continue
-        value[room] = value[room - 1]
+        offers = paid[1:room + 1] + value[capacity - room + 1:]
+        best = offers.argmax()
+        value[capacity - room], choice[room] = offers[best], best + 1
     counts, room = np.zeros(capacity + 1, np.int64), capacity
     while room > 0:
-        if choice[room]:
-            counts[choice[room]] += 1
-            room -= int(choice[room])
-        else:
-            room -= 1
-    return float(value[capacity]), counts
+        counts[choice[room]] += 1
+        room -= int(choice[room])
+    if prices[1] <= 0:
+        counts[1] = 0
+    return float(value[0]), counts
 
 
-def solve_covering(need: np.ndarray, capacity: int, rate: float = 2.0, cover: float = 0.5, favour_long: float = 0.2, rounds: int = 400) -> dict[bytes, float]:
-    """Fractional numbers of configurations that cover a share `cover` of `need`, by multiplicative weights.
+def solve_covering(need: np.ndarray, capacity: int, step: float = STEP, rate: float = RATE, favour_long: float = FAVOUR_LONG) -> tuple[dict[bytes, float], float]:
+    """Fractional numbers of configurations that cover all of `need`, by multiplicative weights, and a lower bound.
 
     Every round prices a token of length l by exp(-rate * covered share of l), so what lags behind pays more, and takes
-    the best-paid configuration as often as its scarcest length allows. Of equally paid ones, `favour_long` prefers
-    long pieces, as short ones fit anywhere later. What is not covered, or not after `rounds`, is left to the next pass.
+    the best-paid configuration until one of its lengths has gained the share `step`, but once at least. Prices divided by the best
+    configuration's are a solution of the dual program, so what they pay for `need` bounds the sequences from below.
     """
     lengths, total = np.arange(capacity + 1), need.astype(float)
-    left, tokens = total.copy(), float((need * np.arange(capacity + 1)).sum())
+    left = total.copy()
+    bound = float((total * lengths).sum() / capacity)
     taken: dict[bytes, float] = {}
-    for _ in range(rounds):
-        open_ = left > 1e-9
-        if (left * lengths).sum() <= (1 - cover) * tokens or not open_.any():
-            break
+    while (open_ := left > 0).any():
         share = np.where(open_, 1 - left / np.maximum(total, 1), 1.0)
-        prices = np.where(open_, (lengths / capacity) ** (1 + favour_long) * np.exp(-rate * share), 0.0)
-        _, counts = best_configuration(prices, capacity)
+        prices = np.where(open_, (lengths / capacity) ** (1 + favour_long) * np.exp(-rate * (share - share[open_].min())), 0.0)
+        value, counts = best_configuration(prices, capacity)
+        bound = max(bound, float((total * prices).sum() / value))
         used = np.flatnonzero(counts)
-        often = float((left[used] / counts[used]).min())
+        often = float(min((left[used] / counts[used]).min(), max(1.0, (step * total[used] / counts[used]).min())))
         left[used] -= often * counts[used]
         left[left < 1e-6] = 0
         key = counts.astype(np.int32).tobytes()
         taken[key] = taken.get(key, 0.0) + often
-    return taken
+    return taken, bound
 
 
 def best_fit(need: np.ndarray, capacity: int) -> list[np.ndarray]:
@@ -112,6 +107,7 @@ class Plan:
     sequence: np.ndarray  # number of the configuration's first sequence
     offset: np.ndarray  # place of the first such piece in its sequence
     sequences: int
+    bound: float  # no plan has fewer sequences
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wanted = (length.astype(np.int64) << 40) | rank.astype(np.int64)
@@ -132,10 +128,12 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         use.append((full, int(need[capacity])))  # a full piece shares its sequence with nothing
     rest = need.copy()
     rest[capacity] = 0
-    lengths, before = np.arange(capacity + 1), -1
-    while before < 0 or (rest * lengths).sum() > LEFT_TO_BEST_FIT * capacity and rest.sum() != before:
+    before, bound = -1, 0.0
+    while rest.sum() != before:
         before = rest.sum()
-        for key, often in solve_covering(rest, capacity).items():
+        taken, least = solve_covering(rest, capacity)
+        bound = bound or least + need[capacity]
+        for key, often in taken.items():
             counts = np.frombuffer(key, np.int32).astype(np.int64)
             used = np.flatnonzero(counts)
             copies = min(int(often + 1e-6), int((rest[used] // counts[used]).min()))
@@ -154,7 +152,7 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         sequence += copies
     rows.sort()
     columns = np.array(rows, np.int64).reshape(-1, 4).T
-    return Plan(*[np.ascontiguousarray(x) for x in columns], sequences=sequence)
+    return Plan(*[np.ascontiguousarray(x) for x in columns], sequences=sequence, bound=bound)
 
 
 # ------------------------------------------------------------------ pieces and their places
