@@ -85,6 +85,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def keep_distinct(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of `docs` that deduplicate() keeps, with all their columns. Rows that go are named by (doc_id, digest) and
-    removed by an anti-join, which leaves every row of a document that stays."""
-    gone = deduplicate(docs, index).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone"))
-    return docs.join(stored(gone.distinct(), "gone"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (text_digest() == F.col("_gone")), "left_anti")
+    removed by an anti-join, which leaves every row of a document that stays. Null texts are empty ones, and rows without
+    doc_id go where a row with the same text has one. The texts are shuffled once, unsorted, at every size; columns may
+    have any names."""
+    gone = deduplicate(docs, index).where(~F.col("kept")).select("doc_id", "text_sha256").distinct()
+    gone = stored(gone, "gone").hint("shuffle_hash")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == gone["text_sha256"]), "left_anti")

@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of their component, with all their columns. Rows without a doc_id
-    can't be named, so they stay."""
+    can't be named, so they stay; so do all rows of a doc_id that stays. The texts are shuffled once, unsorted, at every
+    size; columns may have any names."""
     found = near_duplicates(docs, distance)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stored(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone").hint("shuffle_hash")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

@@ -64,6 +64,14 @@ def test_keep_distinct_keeps_all_columns(spark, hard, hard_rows, tmp_path):
     assert sorted({r.text or "" for r in kept.collect()}) == sorted({r[1] or "" for r in hard_rows})
 
 
+def test_removing_copies_moves_texts_once_and_takes_any_names(spark, hard, tmp_path):
+    named = hard.withColumns({n: F.lit("clash") for n in ("_gone", "_gone_id", "text_sha256", "component_id", "kept")})
+    for kept in (digest_index.keep_distinct(named, index_at(spark, tmp_path, "clash_index")), simhash.keep_one(named)):
+        assert kept.columns == named.columns and kept.count() > 50
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
 # ------------------------------------------------------------------ near
 
 def slow_fingerprint(text):
