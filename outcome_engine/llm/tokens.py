@@ -34,6 +34,19 @@ def keeps_spaces(path: str) -> bool:
         return json.load(file)["normalizer"] is None
 
 
+def special_strings(tokenizer) -> dict[str, int]:
+    """Added tokens by their text; they match as written, wherever they stand."""
+    added = tokenizer.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+        raise ValueError("only vocabularies with added tokens that match as written")
+    return {t.content: number for number, t in added.items()}
+
+
+def splitter(marks) -> re.Pattern:
+    """split() gives plain text and special strings in turn, the longest mark first where several begin."""
+    return re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")") if marks else re.compile("((?!))")
+
+
 CUT = re.compile(r" (?=\S)|(?=\n\S)")
 UNUSUAL = (re.compile(r" (?:\s|\Z)"), re.compile(r"\n(?:\s|\Z)"))
 PLAIN_SPACE = str.maketrans("\n\t\r", "   ")
@@ -85,7 +98,9 @@ class CachedEncoder:
 
     def __init__(self, path: str, cache: int = CACHE):
         self.tokenizer, self.cache = load(path), cache
-        self.spaces = keeps_spaces(path)
+        self.spaces, self.special = keeps_spaces(path), special_strings(self.tokenizer)
+        self.ids_of = {text: struct.pack("<I", number) for text, number in self.special.items()}
+        self.cut = splitter(self.special)
         self.word = self.tokenizer.model.tokenize  # the library's encoding of a single word
         self.line_end = little_endian(self.tokenizer.encode("\n", add_special_tokens=False).ids)
         self.known: dict[str, bytes] = {}
@@ -95,17 +110,23 @@ class CachedEncoder:
     def learn(self, wanted: set[str]) -> None:
         if len(self.known) + len(wanted) > self.cache:
             self.known = {x: self.known[x] for x in wanted if x in self.known}
-        known, new, composed = self.known, {}, []
+        known, new, composed = self.known, set(), []
         for piece in wanted.difference(known):
+            if piece.isalpha():
+                new.add(piece)
+                continue
             core = piece.rstrip(SIGNS)
             if len(core) < len(piece) and core[-1:].lower().isalnum():
                 composed.append((piece, core, piece[len(core):]))
                 if core not in known:
-                    new[core] = None
+                    new.add(core)
             else:
-                new[piece] = None
-        other = []
+                new.add(piece)
+        other, word, lead = [], self.word, SPACE if self.spaces else ""
         for piece in new:
+            if piece.isascii() and piece.isalpha():
+                known[piece] = little_endian([t.id for t in word(lead + (piece if lead else piece.lower()))])
+                continue
             ids = self.word_ids(piece)
             if ids is None:
                 other.append(piece)
@@ -135,6 +156,14 @@ class CachedEncoder:
             into |= zip(names[start:start + 4096], [little_endian(x.ids) for x in found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Special strings are taken out first, as the library does; what stands between two is a text of its own."""
+        if not any(mark in text for mark in self.special for text in texts):
+            return self.encode_plain(texts)
+        parts = [self.cut.split(x) for x in texts]
+        plain = iter(self.encode_plain([p for x in parts for p in x[::2]]))
+        return [b"".join(self.ids_of[p] if i % 2 else next(plain) for i, p in enumerate(x)) for x in parts]
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
         if not self.spaces:
             cut = [pieces_between_spaces(x) for x in texts]
             self.learn(set().union(*cut))
@@ -148,5 +177,8 @@ class CachedEncoder:
         return [head + b"".join(map(get, x)) for head, x in zip(heads, cut)]
 
 
+FORMATS = [f"<{n}I" for n in range(64)]
+
+
 def little_endian(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return struct.pack(FORMATS[len(ids)] if len(ids) < 64 else f"<{len(ids)}I", *ids)
