@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, strings, whole_text, without_collection
-from .tokens import SIGNS, latin_word, load, pieces_between_spaces
+from .tokens import SIGNS, latin_word, load, pieces_between_spaces, splitter
 
 CACHE = 300_000  # pieces of text remembered by a task before it starts anew
-PAIRS = 2_000_000  # verified pairs remembered
+STEM, SHORT = 4, (3, 2, 1)  # characters that look up the lengths of longer tokens; the lengths below
 NEVER = np.iinfo(np.int64).max
 LONG = 48  # symbols from which a word is merged by itself
 
@@ -56,7 +57,12 @@ class SpeculativeBpe:
         sound[made] = self.undisturbed(left, right, np.arange(len(made)), np.arange(len(made)))
         self.candidates = {t: i for t, i in self.ids.items() if sound[i]}
         self.longest = max(map(len, self.candidates))
-        self.checked: dict[int, bool] = {}
+        # lengths of the candidates that begin with each three characters, the longest first
+        lengths: dict[str, set[int]] = {}
+        for token in self.candidates:
+            if len(token) >= STEM:
+                lengths.setdefault(token[:STEM], set()).add(len(token))
+        self.lengths = {stem: (*sorted(found, reverse=True), *SHORT) for stem, found in lengths.items()}
 
     def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a << 20) | b
@@ -85,18 +91,21 @@ class SpeculativeBpe:
 
     def greedy(self, word: str) -> list[int] | None:
         """Longest tokens from the left; None where none fits."""
-        find, out, at, word = self.candidates.get, [], 0, word + self.suffix
+        find, lengths, longest, out, at, word = self.candidates.get, self.lengths.get, self.longest, [], 0, word + self.suffix
         end, whole = len(word) - len(self.suffix), len(word)
+        last = end - bool(self.suffix)
         while at < whole:
             # a token either ends within the word or takes in its whole suffix
-            token = find(word[at:]) if whole - at <= self.longest else None
+            token = find(word[at:]) if whole - at <= longest else None
             if token is not None:
                 out.append(token)
                 return out
-            for stop in range(min(at + self.longest, end - bool(self.suffix)), at, -1):
-                token = find(word[at:stop])
-                if token is not None:
-                    break
+            for size in lengths(word[at:at + STEM], SHORT):
+                stop = at + size
+                if stop <= last:
+                    token = find(word[at:stop])
+                    if token is not None:
+                        break
             else:
                 return None
             out.append(token)
@@ -160,16 +169,15 @@ class SpeculativeBpe:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each non-empty word (in the vocabulary's alphabet)."""
-        proposed = [self.greedy(w) for w in words]
-        pairs = {(a << 20) | b for x in proposed if x for a, b in zip(x, x[1:])}
-        if len(self.checked) + len(pairs) > PAIRS:
-            self.checked = {}
-        new = np.array([p for p in pairs if p not in self.checked], np.int64)
-        if len(new):
-            never = np.full(len(new), NEVER)
-            self.checked |= zip(new.tolist(), self.undisturbed(new >> 20, new & 0xFFFFF, never, never).tolist())
-        sound = self.checked
-        failed = [i for i, x in enumerate(proposed) if not x or not all([sound[(a << 20) | b] for a, b in zip(x, x[1:])])]
+        proposed = [self.greedy(w) or [] for w in words]
+        sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
+        flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        inside = owner[1:] == owner[:-1]
+        pair, where = np.unique(((flat[:-1] << 20) | flat[1:])[inside], return_inverse=True)
+        never = np.full(len(pair), NEVER)
+        sound = self.undisturbed(pair >> 20, pair & 0xFFFFF, never, never)[where]
+        failed = np.union1d(owner[1:][inside][~sound], np.flatnonzero(sizes == 0)).tolist()
         short = sorted((i for i in failed if len(words[i]) <= LONG), key=lambda i: len(words[i]))
         for start in range(0, len(short), 2048):
             part = short[start:start + 2048]
@@ -192,6 +200,8 @@ class TextCoder:
             raise ValueError("only vocabularies without decoder, with added tokens that match as written")
         self.added = {x["content"]: x["id"] for x in content["added_tokens"]}
         self.names = {i: t for i, t in enumerate(self.bpe.tokens)} | {i: t for t, i in self.added.items()}
+        self.numbers = list(map(str, range(max(self.names) + 1)))
+        self.cut = splitter(self.added)
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def words(self, piece: str) -> list[str | int]:
@@ -201,10 +211,9 @@ class TextCoder:
             word = latin_word(core.lower())  # lower case as the library's for these letters
             if word is not None:
                 return [word, piece[len(core):]] if len(piece) > len(core) else [word]
-        for mark, number in self.added.items():
-            if mark in piece:
-                before, _, after = piece.partition(mark)
-                return self.words(before) + [number] + self.words(after)
+        if any(mark in piece for mark in self.added):
+            parts = self.cut.split(piece)
+            return [w for i, part in enumerate(parts) for w in ([self.added[part]] if i % 2 else self.words(part))]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))] if piece else []
 
     @without_collection
@@ -215,16 +224,17 @@ class TextCoder:
         cut = [self.words(x) for x in new]
         distinct = list(dict.fromkeys(w for x in cut for w in x if type(w) is str))
         ids_of = dict(zip(distinct, self.bpe.encode_words(distinct)))
+        known, numbers, names = self.known, self.numbers, self.names
         for piece, words in zip(new, cut):
-            ids = [i for w in words for i in (ids_of[w] if type(w) is str else (w,))]
-            self.known[piece] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-
-    def decode(self, ids: list[int]) -> str:
-        """As the library without a decoder: the tokens with spaces between them."""
-        return " ".join([self.names[i] for i in ids])
+            if len(words) == 1 and type(words[0]) is str:
+                ids = ids_of[words[0]]
+            else:
+                ids = [i for w in words for i in (ids_of[w] if type(w) is str else (w,))]
+            known[piece] = (len(ids), " ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids]))
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text its number of ids, the ids in decimal with spaces between, and the decoded text."""
+        """For each text its number of ids, the ids in decimal with spaces between, and the decoded text: as the library
+        without a decoder, the tokens with spaces between them."""
         cut = [pieces_between_spaces(x) for x in texts]
         self.learn(set().union(*cut))
         out = []

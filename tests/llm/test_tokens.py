@@ -49,6 +49,26 @@ def test_cached_ids_are_the_librarys(libraries, coders, text):
     assert decoded == libraries[WORD].decode(ids, skip_special_tokens=False)
 
 
+MARKED = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endof", "\n", "\n\n", " ", "  ", "\t", "x", "don't", "a!", "É", "\x1c", "9"]),
+                  max_size=14).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(MARKED)
+def test_special_strings_among_white_space(libraries, coders, text):
+    for path in (BYTE, WORD):
+        assert coders[path].encode([text, "b"])[0] == tokens.little_endian(ids_of(libraries[path], text))
+    ids = ids_of(libraries[WORD], text)
+    assert coders["bpe"].encode([text])[0] == (len(ids), " ".join(map(str, ids)), libraries[WORD].decode(ids, skip_special_tokens=False))
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>" * 5000, "a\n\n<|startoftext|>" * 5000])
+def test_many_special_strings(libraries, coders, text):
+    for path in (BYTE, WORD):
+        assert coders[path].encode([text])[0] == tokens.little_endian(ids_of(libraries[path], text))
+    assert coders["bpe"].encode([text])[0][0] == len(ids_of(libraries[WORD], text))
+
+
 @settings(max_examples=200, deadline=None)
 @given(TEXTS)
 def test_block_counts_are_the_librarys(libraries, text):
@@ -104,6 +124,40 @@ def test_packing_is_close_to_the_least_number():
     assert halves.sequences == 1015
 
 
+@pytest.mark.parametrize("times", [100, 700, 5000])
+def test_packing_solves_the_program_at_every_size(times):
+    plan = packing.make_plan({522: 6 * times, 276: 6 * times, 266: 6 * times, 236: 12 * times})
+    assert plan.sequences == 9 * times == round(plan.bound, 6)
+
+
+def test_packing_of_exact_triples():
+    rng = np.random.default_rng(1)
+    need = Counter()
+    for _ in range(300):
+        a, b = sorted(rng.choice(np.arange(100, 924), 2, replace=False).tolist())
+        need.update([a, b - a, 1024 - b])
+    plan = packing.make_plan(need)
+    assert 300 - 1e-6 <= plan.bound <= plan.sequences <= 303
+
+
+def test_the_bound_is_below_every_plan():
+    assert packing.make_plan({700: 10, 1024: 2}).bound == 12  # two pieces of 700 never share a sequence
+    assert packing.make_plan({}).sequences == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 24), st.floats(0.1, 5)), min_size=1, max_size=6, unique_by=lambda x: x[0]))
+def test_knapsack_against_all_configurations(items):
+    prices = np.zeros(25)
+    for length, price in items:
+        prices[length] = price
+    best = [0.0] * 25
+    for room in range(1, 25):
+        best[room] = max([best[room - 1]] + [best[room - n] + p for n, p in items if n <= room])
+    value, counts = packing.best_configuration(prices, 24)
+    assert value == pytest.approx(best[24]) and (counts * np.arange(25)).sum() <= 24
+    assert (counts * prices).sum() == pytest.approx(value) and not counts[prices == 0].any()
+
 
 def test_salted_ranks_have_no_gap(spark, hard):
     pieces = packing.cut_documents(hard, BYTE, 2, 64)
