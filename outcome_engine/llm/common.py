@@ -7,7 +7,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
@@ -45,6 +45,30 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def below(draw: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among the least `share` of its range."""
+    return F.lit(True) if share >= 1 else draw <= int(-2 ** 63 + share * 2 ** 64)
+
+
+def share_of(wanted: int, rows: int) -> float:
+    """The share of the hashes that leaves about twice as many rows as are wanted."""
+    return (2 * wanted + 64) / max(rows, 1)
+
+
+def smallest_hashes(rows: DataFrame, draw: str, bound: int, total: int) -> list[Row]:
+    """The `bound` rows of least hash, then of the other columns in their order; `total` says about how many there are.
+
+    A threshold on the hash comes first, and is raised where it leaves too few, so what reaches the driver does not
+    grow with the number of partitions, each of which would otherwise send as many rows as are wanted.
+    """
+    share = share_of(bound, total)
+    while True:
+        found = rows.where(below(F.col(draw), share)).orderBy(draw, *[c for c in rows.columns if c != draw]).limit(bound).collect()
+        if len(found) == bound or share >= 1:
+            return found
+        share *= 4
+
+
 def without_collection(function: Callable) -> Callable:
     """Holds back Python's cycle search while a function makes very many small objects without cycles; the search would
     take a fifth of its time."""

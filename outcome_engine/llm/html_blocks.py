@@ -11,29 +11,32 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings
+from .common import slices, smallest_hashes, strings
 
 SAMPLE_PAGES, SAMPLE_CHARS = 300, 100_000  # pages learned from, at most, and their length
 MADE_UP = 700
 PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN, SLOTS = 48, 12, 6, 16, 1 << 14
 
-# fixed values: elements that end a block, that have no end tag, and whose content is no text of the page
+# fixed values: elements that end a block, that have no end tag, whose content is no text of the page if they are closed
 BLOCK_TAGS = set("""html body main article section aside nav header footer div p ul ol li dl dt dd table caption thead tbody
 tfoot tr td th h1 h2 h3 h4 h5 h6 blockquote pre form fieldset legend figure figcaption address hr details summary dialog
 menu center button label option""".split())
 CLOSES_ITS_LIKE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 NO_END = {"hr"}
+HIDDEN_TAGS = set("template noscript svg iframe object canvas select".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|math|iframe|object|canvas|select|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
+    r"|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -47,14 +50,20 @@ pager toolbar topbar masthead copyright legal disclaimer button label option leg
 KEPT = set("article main content post entry story body text articlebody maincontent".split())
 
 
-@dataclass
-class TextBlock:
-    names: tuple[str, ...]  # tags, classes, ids and roles around it
-    text: str
-    link_chars: int
+def random_vectors(seed: int, size: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(0, 1, (SLOTS, size)).astype(np.float32)
+
+
+PATHS, WORDS = random_vectors(1, PATH_SIZE), random_vectors(2, WORD_SIZE)
+
+
+def slots(tokens) -> list[int]:
+    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) % SLOTS for t in tokens]
 
 
+@lru_cache(20_000)
 def names_of(tag: str, attributes: str) -> tuple[str, ...]:
+    """The tag, and the classes, ids and roles of its attributes."""
     found = [tag]
     if attributes and "=" in attributes:
         for groups in NAMES.findall(attributes):
@@ -63,11 +72,69 @@ def names_of(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+@lru_cache(20_000)
+def names_vector(names: tuple[str, ...]) -> np.ndarray:
+    return PATHS[slots(names)].sum(0)
+
+
+class Around:
+    """An open element: the sum of the vectors of the different names on the way to it, and what these names say.
+
+    Each element adds to the one around it, so that deep nesting takes memory in proportion to the page.
+    """
+
+    __slots__ = ("vector", "kept", "article", "dropped")
+
+    def __init__(self, outer: Around | None = None, names: tuple[str, ...] = (), fresh: tuple[str, ...] = ()):
+        self.vector = np.zeros(PATH_SIZE, np.float32) if outer is None else outer.vector
+        self.kept, self.article, self.dropped = (False, False, False) if outer is None else (outer.kept, outer.article, outer.dropped)
+        if fresh:
+            self.vector = self.vector + names_vector(fresh)
+        for name in names:
+            if name in DROPPED:  # the header of an article is part of it
+                self.dropped = not (name == "header" and self.article)
+            self.kept |= name in KEPT
+            self.article |= name == "article"
+
+
+NOWHERE = Around()
+
+
+def around(names: tuple[str, ...]) -> Around:
+    return Around(NOWHERE, names, tuple(dict.fromkeys(names)))
+
+
+@dataclass
+class TextBlock:
+    around: Around
+    text: str
+    link_chars: int
+
+
+def closed_elements(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a kind that is closed starts and ends."""
+    out, open_ = {}, []
+    for mark in re.finditer(rf"<(/?){tag}\b[^>]*+(?:>|\Z)", page, re.I):
+        if not mark[1]:
+            if not mark[0].endswith("/>"):
+                open_.append(mark.start())
+        elif open_:
+            out[open_.pop()] = mark.end()
+    return out
+
+
 def blocks_of(page: str) -> list[TextBlock]:
     """The non-empty blocks of a page in order: references decoded, white space inside turned into one space, trimmed.
-    Broken markup is read as far as it goes: an end tag closes all that is open inside, one without a start is ignored."""
+
+    Broken markup is read as far as it goes: an end tag closes all that is open inside, one without a start is ignored.
+    Scripts, styles, titles and text areas reach to their end tag or to the end of the page. Drawings, embedded objects and
+    the like are left out where they are closed; where not, only the tag is. Formulas are text.
+    """
     out: list[TextBlock] = []
-    open_: list[tuple[str, tuple[str, ...]]] = []
+    open_: list[tuple[str, Around, tuple[str, ...]]] = []
+    seen: set[str] = set()  # the names of all open elements
+    tags: Counter = Counter()  # how many of them have a tag
+    closed: dict[str, dict[int, int]] = {}
     held: list[str] = []
     links = in_link = at = 0
 
@@ -75,7 +142,7 @@ def blocks_of(page: str) -> list[TextBlock]:
         nonlocal links
         text = " ".join("".join(held).split())
         if text:
-            out.append(TextBlock(tuple(n for _, names in open_ for n in names), text, min(links, len(text))))
+            out.append(TextBlock(open_[-1][1] if open_ else NOWHERE, text, min(links, len(text))))
         held.clear()
         links = 0
 
@@ -86,7 +153,13 @@ def blocks_of(page: str) -> list[TextBlock]:
         if in_link:
             links += len(piece)
 
-    for mark in TOKEN.finditer(page):
+    def close(place: int) -> None:
+        for tag_, _, fresh in open_[place:]:
+            tags[tag_] -= 1
+            seen.difference_update(fresh)
+        del open_[place:]
+
+    while mark := TOKEN.search(page, at):
         if mark.start() > at:
             take(page[at:mark.start()])
         at = mark.end()
@@ -98,17 +171,26 @@ def blocks_of(page: str) -> list[TextBlock]:
             in_link = 0 if closing else 1
         elif tag == "br":
             held.append(" ")
+        elif tag in HIDDEN_TAGS:
+            if not closing:
+                if tag not in closed:
+                    closed[tag] = closed_elements(page, tag)
+                at = max(at, closed[tag].get(mark.start(), at))
         elif tag in BLOCK_TAGS:
             flush()
             in_link = 0 if closing else in_link
             if closing:
-                place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
+                place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None) if tags[tag] else None
                 if place is not None:
-                    del open_[place:]
+                    close(place)
             elif tag not in NO_END:
                 if open_ and (open_[-1][0] == "p" or open_[-1][0] == tag and tag in CLOSES_ITS_LIKE):
-                    open_.pop()
-                open_.append((tag, names_of(tag, mark[4] or mark[7])))
+                    close(len(open_) - 1)
+                names = names_of(tag, mark[4] or mark[7])
+                fresh = tuple(n for n in dict.fromkeys(names) if n not in seen)
+                seen.update(fresh)
+                tags[tag] += 1
+                open_.append((tag, Around(open_[-1][1] if open_ else NOWHERE, names, fresh), fresh))
     if at < len(page):
         take(page[at:])
     flush()
@@ -117,50 +199,25 @@ def blocks_of(page: str) -> list[TextBlock]:
 
 # ------------------------------------------------------------------ description of blocks
 
-def random_vectors(seed: int, size: int) -> np.ndarray:
-    return np.random.default_rng(seed).normal(0, 1, (SLOTS, size)).astype(np.float32)
-
-
-PATHS, WORDS = random_vectors(1, PATH_SIZE), random_vectors(2, WORD_SIZE)
-
-
-def slots(tokens) -> list[int]:
-    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) % SLOTS for t in tokens]
-
-
-class Describer:
-    """Vectors of blocks; the vectors of surroundings that were seen before are remembered."""
-
-    def __init__(self, limit: int = 20_000):
-        self.limit, self.paths = limit, {}
-
-    def path(self, names: tuple[str, ...]) -> np.ndarray:
-        found = self.paths.get(names)
-        if found is None:
-            if len(self.paths) >= self.limit:
-                self.paths.clear()
-            found = self.paths[names] = np.tanh(PATHS[slots(dict.fromkeys(names))].sum(0) / 2) if names else np.zeros(PATH_SIZE, np.float32)
-        return found
-
-    def __call__(self, blocks: list[TextBlock]) -> np.ndarray:
-        out = np.zeros((len(blocks), PATH_SIZE + WORD_SIZE + MEASURES), np.float32)
-        if not blocks:
-            return out
-        words = [b.text.lower().split() for b in blocks]
-        counts = np.array([len(w) for w in words])
-        flat = np.array(slots([x for w in words for x in w]))
-        starts = np.cumsum(counts) - counts
-        for i, block in enumerate(blocks):
-            out[i, :PATH_SIZE] = self.path(block.names)
-        out[:, PATH_SIZE:PATH_SIZE + WORD_SIZE] = np.add.reduceat(WORDS[flat], starts) / np.sqrt(counts)[:, None] / 2
-        length = np.array([len(b.text) for b in blocks])
-        out[:, -6] = np.log1p(length) / 5
-        out[:, -5] = np.array([b.link_chars for b in blocks]) / length
-        out[:, -4] = [b.text[-1] in ".!?…\"»" for b in blocks]
-        out[:, -3] = np.minimum(counts, 50) / 50
-        out[:, -2] = np.arange(len(blocks)) / len(blocks)
-        out[:, -1] = length / max(1, length.max())
+def describe(blocks: list[TextBlock]) -> np.ndarray:
+    """One row a block: its surroundings, its words, its measures."""
+    out = np.zeros((len(blocks), PATH_SIZE + WORD_SIZE + MEASURES), np.float32)
+    if not blocks:
         return out
+    words = [b.text.lower().split() for b in blocks]
+    counts = np.array([len(w) for w in words])
+    flat = np.array(slots([x for w in words for x in w]))
+    starts = np.cumsum(counts) - counts
+    out[:, :PATH_SIZE] = np.tanh(np.stack([b.around.vector for b in blocks]) / 2)
+    out[:, PATH_SIZE:PATH_SIZE + WORD_SIZE] = np.add.reduceat(WORDS[flat], starts) / np.sqrt(counts)[:, None] / 2
+    length = np.array([len(b.text) for b in blocks])
+    out[:, -6] = np.log1p(length) / 5
+    out[:, -5] = np.array([b.link_chars for b in blocks]) / length
+    out[:, -4] = [b.text[-1] in ".!?…\"»" for b in blocks]
+    out[:, -3] = np.minimum(counts, 50) / 50
+    out[:, -2] = np.arange(len(blocks)) / len(blocks)
+    out[:, -1] = length / max(1, length.max())
+    return out
 
 
 # ------------------------------------------------------------------ the network
@@ -264,13 +321,7 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, ba
 
 def weak_label(block: TextBlock) -> bool | None:
     """What a block's surroundings say; None where they say nothing."""
-    kept = dropped = -1
-    for i, name in enumerate(block.names):
-        kept = i if name in KEPT else kept
-        dropped = i if name in DROPPED else dropped
-    if dropped >= 0 and not ("article" in block.names[:dropped] and block.names[dropped] == "header"):
-        return False
-    return True if kept >= 0 else None
+    return False if block.around.dropped else True if block.around.kept else None
 
 
 def label_page(blocks: list[TextBlock]) -> np.ndarray:
@@ -303,7 +354,7 @@ def made_up_page(rng: np.random.Generator, words: list[str]) -> tuple[list[TextB
         items = int(rng.integers(2, 9)) if "li" in where or "comment" in where else 1
         for _ in range(items):
             wordy = text(6, 60) if rng.random() < (0.7 if "comment" in where or "comments" in where else 0.3) else text(1, 12)
-            out.append((TextBlock((*outer, *within, *where), wordy, len(wordy) if "li" in where and rng.random() < 0.8 else 0), 0))
+            out.append((TextBlock(around((*outer, *within, *where)), wordy, len(wordy) if "li" in where and rng.random() < 0.8 else 0), 0))
 
     for _ in range(int(rng.integers(0, 4))):
         clutter(top)
@@ -311,11 +362,11 @@ def made_up_page(rng: np.random.Generator, words: list[str]) -> tuple[list[TextB
         clutter(side)
     if rng.random() < 0.85:
         title = text(3, 12)
-        out.append((TextBlock((*outer, *core, pick(["h1", "h2"])), title, 0), 1))
+        out.append((TextBlock(around((*outer, *core, pick(["h1", "h2"]))), title, 0), 1))
     for _ in range(int(rng.integers(1, 16))):
         kind = pick([("p",)] * 8 + [("h2",), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("figure", "figcaption"), ()])
         body = text(1, 110) if kind in (("p",), ()) else text(1, 25)
-        out.append((TextBlock((*outer, *core, *kind), body, int(len(body) * 0.2) if rng.random() < 0.2 else 0), 1))
+        out.append((TextBlock(around((*outer, *core, *kind)), body, int(len(body) * 0.2) if rng.random() < 0.2 else 0), 1))
         if rng.random() < 0.2:
             clutter(side, core)
     if rng.random() < 0.3:
@@ -326,17 +377,19 @@ def made_up_page(rng: np.random.Generator, words: list[str]) -> tuple[list[TextB
 
 
 def fit(pages: DataFrame, bound: int = SAMPLE_PAGES, made_up: int = MADE_UP) -> BlockLabeller:
-    """Learn from at most `bound` pages, picked by a hash of their html, and from `made_up` sequences of their words."""
-    rows = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("html").orderBy(F.xxhash64("html"), "html").limit(bound).collect()
+    """Learn from at most `bound` different pages, picked by a hash of their html, and from `made_up` sequences of their words."""
+    drawn = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select(F.xxhash64("html").alias("draw"), "html")
+    total = drawn.agg(F.approx_count_distinct("draw")).first()[0]
+    rows = smallest_hashes(drawn.groupBy("draw").agg(F.min("html").alias("html")), "draw", bound, total)
     read = [b for b in (blocks_of(r["html"]) for r in rows) if b]
     words = sorted({w for b in read for x in b for w in x.text.split()[:50]})[:20_000] or ["word", "text", "line", "page"]
-    rng, describe = np.random.default_rng(5), Describer()
+    rng = np.random.default_rng(5)
     made = [made_up_page(rng, words) for _ in range(made_up)]
     sample = [(b, label_page(b)) for b in read] + made
     return train([describe(b) for b, _ in sample], [y for _, y in sample])
 
 
-def main_texts(net: BlockLabeller, pages: list[str], describe: Describer) -> list[str]:
+def main_texts(net: BlockLabeller, pages: list[str]) -> list[str]:
     """Kept blocks of each page, joined by line ends. Pages of like length go through the network together."""
     read = [blocks_of(p) for p in pages]
     out = [""] * len(pages)
@@ -362,9 +415,8 @@ def extract(pages: DataFrame) -> DataFrame:
     net = fit(pages)
 
     def run(batches):
-        describe = Describer()
         for batch in slices(batches):
-            found = main_texts(net, strings(batch, "html"), describe)
+            found = main_texts(net, strings(batch, "html"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])

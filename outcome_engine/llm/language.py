@@ -8,12 +8,15 @@ multiplication at run time. A document's windows cover all of its text; their lo
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import below, share_of
+
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
@@ -133,20 +136,30 @@ def fold(modulus: int) -> Column:
 def fit(docs: DataFrame, held_out: int = 2, folds: int = 4, bound: int = TRAIN_WINDOWS) -> ByteNetwork:
     """Learn from text and lang of at most `bound` windows of documents outside the held-out fold.
 
-    The sample is spread evenly over the languages and picked by a hash of doc_id; each document lends one window of its
-    text, at a place picked by the same hash. Documents with null lang, doc_id or text, or without a letter, teach nothing.
+    The sample is spread evenly over the languages, of which the `bound` // 20 most frequent ones are learned, and picked
+    by a hash of doc_id; each document lends one window of its text, at a place picked by the same hash. Documents with
+    null lang, doc_id or text, or without a letter, teach nothing. All languages are drawn in one scan: a threshold on the
+    hash for each, from its number of documents, leaves about twice the sample before it is ranked.
     """
     labelled = docs.where(F.col("lang").isNotNull() & (fold(folds) != held_out)).select(
         F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("draw"))
     lettered = labelled.where(F.col("text").rlike("\\p{L}"))
-    languages = [r["lang"] for r in lettered.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bound // 20).collect()]
-    texts, labels = [], []
-    for name in languages:  # a top-k by hash for each language: no more than the sample reaches the driver
-        place = F.pmod(F.shiftright("draw", 8), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
-        rows = lettered.where(F.col("lang") == name).select("draw", F.substring("text", place, F.lit(WINDOW)).alias("window")).orderBy(
-            "draw", "window").limit(bound // len(languages)).collect()
-        texts += [r["window"] for r in rows]
-        labels += [name] * len(rows)
+    sizes = {r["lang"]: r["count"] for r in lettered.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bound // 20).collect()}
+    if not sizes:
+        return train([], [])
+    each = bound // len(sizes)
+    place = F.pmod(F.shiftright("draw", 8), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
+    ranked = Window.partitionBy("lang").orderBy("draw", "window")
+    shares, windows = {name: share_of(each, size) for name, size in sizes.items()}, {}
+    while shares:
+        drawn = reduce(lambda a, b: a | b, [(F.col("lang") == name) & below(F.col("draw"), share) for name, share in shares.items()])
+        rows = lettered.where(drawn).select("lang", "draw", F.substring("text", place, F.lit(WINDOW)).alias("window")).withColumn(
+            "rank", F.row_number().over(ranked)).where(F.col("rank") <= each).collect()
+        for name in shares:
+            windows[name] = [r["window"] for r in sorted((r for r in rows if r["lang"] == name), key=lambda r: r["rank"])]
+        shares = {name: share * 4 for name, share in shares.items() if share < 1 and len(windows[name]) < each}
+    texts = [w for name in sizes for w in windows[name]]
+    labels = [name for name in sizes for _ in windows[name]]
     return train(texts, labels)
 
 

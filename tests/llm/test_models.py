@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from outcome_engine.llm import html_blocks, language, packing, toxicity
+from outcome_engine.llm import common, html_blocks, language, packing, toxicity
 from made_up import WORDS, make_text
 
 
@@ -170,13 +170,60 @@ def test_blocks_of_a_page():
     assert html_blocks.blocks_of("<div>" * 3000 + "deep")[0].text == "deep"
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<p>a<svg/>b</p><p>c", ["ab", "c"]),
+    ("<p>a<svg viewBox='0 0'><svg></svg><text>x</text></svg>b</p>", ["ab"]),
+    ("<p>a<object data=x>b<p>c<object>no</object>d", ["ab", "cd"]),
+    ("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here", ["Energy is E=m here"]),
+    ("<p>a<noscript>no</noscript></svg>b<select><option>no</select>", ["ab"]),
+    ("<p>a<script>no<p>no", ["a"]),
+    ("<p>a<!-- no --><! no >b<! no", ["ab"]),
+])
+def test_elements_that_are_no_text(page, texts):
+    assert [b.text for b in html_blocks.blocks_of(page)] == texts
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    """50,000 open elements with text and a class of their own each, and starts that never end."""
+    deep = html_blocks.blocks_of("".join(f"<div class=c{i}>x" for i in range(50_000)))
+    assert len(deep) == 50_000 and html_blocks.describe(deep[:100] + deep[-100:]).shape[0] == 200
+    assert html_blocks.blocks_of("<! " * 50_000) == [] and len(html_blocks.blocks_of("<svg>x" * 20_000 + "</svg>")) == 1
+    assert html_blocks.blocks_of("<div class=p>" * 20_000 + "</p>" * 20_000 + "y")[0].text == "y"
+
+
+def test_surroundings_are_those_of_the_whole_path():
+    block, = html_blocks.blocks_of("<main class=story><nav></nav><article><header class='story x'><p>t")
+    whole = html_blocks.around(("main", "story", "article", "header", "story x", "story", "x", "p"))
+    assert np.allclose(block.around.vector, whole.vector, atol=1e-5) and html_blocks.weak_label(block) is True
+    assert html_blocks.weak_label(html_blocks.TextBlock(html_blocks.around(("article", "nav", "p")), "t", 0)) is False
+
+
+@pytest.mark.parametrize("partitions", [4, 60])
+def test_samples_do_not_depend_on_partitions(spark, partitions):
+    """The least hashes of a table with a hot group, though every partition could send as many; too low a total is mended."""
+    rows = spark.range(3000).selectExpr("xxhash64(if(id % 3 = 0, 0, id)) AS draw", "id").repartition(partitions)
+    want = sorted((r["draw"], r["id"]) for r in rows.collect())
+    for bound, total in ((50, 3000), (50, 10 ** 9), (1200, 3000), (5000, 3000)):
+        assert [tuple(r) for r in common.smallest_hashes(rows, "draw", bound, total)] == want[:bound]
+
+
+def test_language_sample_is_that_of_all_rows(spark, hard, monkeypatch):
+    """All languages in one scan give the rows of a ranking of the whole table."""
+    monkeypatch.setattr(language, "train", lambda texts, labels: (texts, labels))
+    docs = spark.range(2000).selectExpr("id AS doc_id", "if(id % 50 = 0, 'b', 'a') AS lang", "concat('text ', id) AS text")
+    texts, labels = language.fit(docs, bound=60)
+    rows = docs.where(language.fold(4) != 2).selectExpr("lang", "text", "xxhash64(doc_id) AS draw").toPandas().sort_values("draw")
+    want = [t for name in "ab" for t in rows[rows.lang == name].text.head(30)]
+    assert texts == want and labels == ["a"] * 30 + ["b"] * (len(want) - 30)
+
+
 def test_main_text(labeller):
-    kept = html_blocks.main_texts(labeller, [PAGE, "", "<nav>menu</nav>"], html_blocks.Describer())
+    kept = html_blocks.main_texts(labeller, [PAGE, "", "<nav>menu</nav>"])
     assert kept[0].split("\n") == [b.text for b in html_blocks.blocks_of(PAGE)][3:8] and kept[1:] == ["", ""]
 
 
 def test_made_up_pages_are_labelled_well(labeller):
-    rng, describe = np.random.default_rng(99), html_blocks.Describer()
+    rng, describe = np.random.default_rng(99), html_blocks.describe
     right = total = 0
     for _ in range(60):
         blocks, y = html_blocks.made_up_page(rng, WORDS["en"])
