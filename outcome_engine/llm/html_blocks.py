@@ -3,7 +3,8 @@
 A page is cut into blocks of text between block-level tags. A block is described by the tags, classes and ids around it
 and by its words, hashed into fixed random vectors, and by a few measures. A bidirectional LSTM in numpy sees the whole
 sequence. It learns from weak labels: where the surroundings of a block say what it is (an article, a menu, a comment),
-on a bounded sample of the pages and on made-up block sequences that mix such surroundings in many ways.
+on a bounded sample of the pages and on made-up block sequences that mix such surroundings in many ways, both also with
+names that mean nothing, so that it need not know the names of a page.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import slices, smallest_hashes, strings
 
 SAMPLE_PAGES, SAMPLE_CHARS = 300, 100_000  # pages learned from, at most, and their length
-MADE_UP = 700
+MADE_UP, DISGUISES = 700, 2
 PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN, SLOTS = 48, 12, 6, 16, 1 << 14
 
 # fixed values: elements that end a block, that have no end tag, whose content is no text of the page if they are closed
@@ -33,6 +34,7 @@ menu center button label option""".split())
 CLOSES_ITS_LIKE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 NO_END = {"hr"}
 HIDDEN_TAGS = set("template noscript svg iframe object canvas select".split())
+TELLING_TAGS = set("main article section aside nav header footer form menu".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -123,7 +125,24 @@ def closed_elements(page: str, tag: str) -> dict[int, int]:
     return out
 
 
-def blocks_of(page: str) -> list[TextBlock]:
+class Disguise:
+    """Takes the meaning out of the names of one page: strange words for classes and ids, the same one for the same, and
+    `div` for the tags that tell what is inside."""
+
+    def __init__(self, rng: np.random.Generator):
+        self.rng, self.strange = rng, {}
+
+    def __call__(self, name: str) -> str:
+        if name in TELLING_TAGS:
+            return "div"
+        if name in BLOCK_TAGS:
+            return name
+        if name not in self.strange:
+            self.strange[name] = f"name{self.rng.integers(1 << 30)}"
+        return self.strange[name]
+
+
+def blocks_of(page: str, disguise: Disguise | None = None) -> list[TextBlock]:
     """The non-empty blocks of a page in order: references decoded, white space inside turned into one space, trimmed.
 
     Broken markup is read as far as it goes: an end tag closes all that is open inside, one without a start is ignored.
@@ -187,6 +206,7 @@ def blocks_of(page: str) -> list[TextBlock]:
                 if open_ and (open_[-1][0] == "p" or open_[-1][0] == tag and tag in CLOSES_ITS_LIKE):
                     close(len(open_) - 1)
                 names = names_of(tag, mark[4] or mark[7])
+                names = tuple(map(disguise, names)) if disguise else names
                 fresh = tuple(n for n in dict.fromkeys(names) if n not in seen)
                 seen.update(fresh)
                 tags[tag] += 1
@@ -330,8 +350,11 @@ def label_page(blocks: list[TextBlock]) -> np.ndarray:
     return np.array([len(b.text) >= 80 and b.link_chars < len(b.text) / 3 if s is None else s for b, s in zip(blocks, said)], np.float32)
 
 
-def made_up_page(rng: np.random.Generator, words: list[str]) -> tuple[list[TextBlock], np.ndarray]:
+def made_up_page(rng: np.random.Generator, words: list[str], disguise: Disguise | None = None) -> tuple[list[TextBlock], np.ndarray]:
     """A sequence of blocks in random surroundings, with their labels."""
+    def place(*names):
+        return around(tuple(map(disguise, names)) if disguise else names)
+
     def pick(options):
         return options[int(rng.integers(len(options)))]
 
@@ -354,7 +377,7 @@ def made_up_page(rng: np.random.Generator, words: list[str]) -> tuple[list[TextB
         items = int(rng.integers(2, 9)) if "li" in where or "comment" in where else 1
         for _ in range(items):
             wordy = text(6, 60) if rng.random() < (0.7 if "comment" in where or "comments" in where else 0.3) else text(1, 12)
-            out.append((TextBlock(around((*outer, *within, *where)), wordy, len(wordy) if "li" in where and rng.random() < 0.8 else 0), 0))
+            out.append((TextBlock(place(*outer, *within, *where), wordy, len(wordy) if "li" in where and rng.random() < 0.8 else 0), 0))
 
     for _ in range(int(rng.integers(0, 4))):
         clutter(top)
@@ -362,11 +385,11 @@ def made_up_page(rng: np.random.Generator, words: list[str]) -> tuple[list[TextB
         clutter(side)
     if rng.random() < 0.85:
         title = text(3, 12)
-        out.append((TextBlock(around((*outer, *core, pick(["h1", "h2"]))), title, 0), 1))
+        out.append((TextBlock(place(*outer, *core, pick(["h1", "h2"])), title, 0), 1))
     for _ in range(int(rng.integers(1, 16))):
         kind = pick([("p",)] * 8 + [("h2",), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("figure", "figcaption"), ()])
         body = text(1, 110) if kind in (("p",), ()) else text(1, 25)
-        out.append((TextBlock(around((*outer, *core, *kind)), body, int(len(body) * 0.2) if rng.random() < 0.2 else 0), 1))
+        out.append((TextBlock(place(*outer, *core, *kind), body, int(len(body) * 0.2) if rng.random() < 0.2 else 0), 1))
         if rng.random() < 0.2:
             clutter(side, core)
     if rng.random() < 0.3:
@@ -376,16 +399,23 @@ def made_up_page(rng: np.random.Generator, words: list[str]) -> tuple[list[TextB
     return [b for b, _ in out], np.array([y for _, y in out], np.float32)
 
 
-def fit(pages: DataFrame, bound: int = SAMPLE_PAGES, made_up: int = MADE_UP) -> BlockLabeller:
-    """Learn from at most `bound` different pages, picked by a hash of their html, and from `made_up` sequences of their words."""
+def fit(pages: DataFrame, bound: int = SAMPLE_PAGES, made_up: int = MADE_UP, disguises: int = DISGUISES) -> BlockLabeller:
+    """Learn from at most `bound` different pages, picked by a hash of their html, and from `made_up` sequences of their words.
+
+    Each page comes again `disguises` times with names that mean nothing, and so do half as many made-up sequences: there
+    links, words, measures and neighbours have to tell.
+    """
     drawn = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select(F.xxhash64("html").alias("draw"), "html")
     total = drawn.agg(F.approx_count_distinct("draw")).first()[0]
     rows = smallest_hashes(drawn.groupBy("draw").agg(F.min("html").alias("html")), "draw", bound, total)
-    read = [b for b in (blocks_of(r["html"]) for r in rows) if b]
-    words = sorted({w for b in read for x in b for w in x.text.split()[:50]})[:20_000] or ["word", "text", "line", "page"]
+    read = [(r["html"], b) for r in rows if (b := blocks_of(r["html"]))]
+    words = sorted({w for _, b in read for x in b for w in x.text.split()[:50]})[:20_000] or ["word", "text", "line", "page"]
     rng = np.random.default_rng(5)
     made = [made_up_page(rng, words) for _ in range(made_up)]
-    sample = [(b, label_page(b)) for b in read] + made
+    sample = [(b, label_page(b)) for _, b in read] + made
+    for _ in range(disguises):
+        sample += [(blocks_of(page, Disguise(rng)), label_page(b)) for page, b in read]
+        sample += [made_up_page(rng, words, Disguise(rng)) for _ in range(made_up // 2)]
     return train([describe(b) for b, _ in sample], [y for _, y in sample])
 
 

@@ -222,6 +222,18 @@ def test_main_text(labeller):
     assert kept[0].split("\n") == [b.text for b in html_blocks.blocks_of(PAGE)][3:8] and kept[1:] == ["", ""]
 
 
+def test_names_may_mean_nothing(spark):
+    """Fitted on one half of the pages, 95 % of the other half's blocks are told without any telling name."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    net, right, rng = html_blocks.fit(pages.where("page_id % 2 = 0")), [], np.random.default_rng(7)
+    for row in pages.where("page_id % 2 = 1").collect():
+        plain = html_blocks.blocks_of(row["html"])
+        if plain:
+            x, real = html_blocks.padded([html_blocks.describe(html_blocks.blocks_of(row["html"], html_blocks.Disguise(rng)))])
+            right += list((net.probabilities(x, real)[0] >= 0.5) == html_blocks.label_page(plain))
+    assert len(right) > 500 and np.mean(right) >= 0.95
+
+
 def test_made_up_pages_are_labelled_well(labeller):
     rng, describe = np.random.default_rng(99), html_blocks.describe
     right = total = 0
