@@ -94,8 +94,8 @@ def quartile(value: str, breaks: Column, reverse: bool = False) -> Column:
 def rfm_quartiles(features: DataFrame) -> DataFrame:
     """Quartiles over the whole frame; recency runs from 4 (most recent) to 1.
 
-    The breaks are exact quantiles of distributed value counts, read as one scalar subquery. Three
-    passes read the features (cut points, counts, result), so they are written down first.
+    The breaks are exact quantiles, read as one scalar subquery. Three passes read the features (brackets, counts,
+    result), so they are written down first.
     """
     features = cut_lineage(features)
     names = ("frequency", "monetary_value", "recency")

@@ -36,14 +36,13 @@ def _common(columns, numbers) -> list:
 
 
 def descriptive_exact(df: DataFrame, spec: MetricSpec) -> DataFrame:
-    """Exact statistics. Quantiles come from distributed value counts, not from one buffer per group."""
+    """Exact statistics in two scans: the first also brackets the quantiles, the second counts and orders inside the brackets."""
     df = apply_where(df, spec.where)
     columns, numbers = existing_columns(df, spec.columns), numeric_columns(df, spec.columns)
     aggs = _common(columns, numbers) + [F.skewness(c).alias(f"{c}_Skew") for c in numbers]
-    summary = df.groupBy(*spec.keys).agg(*aggs)
     if not numbers:
-        return summary
-    return join_on_nullable(summary, exact_quantiles(df, spec.keys, numbers, QUANTILES), spec.keys, "left")
+        return df.groupBy(*spec.keys).agg(*aggs)
+    return exact_quantiles(df, spec.keys, numbers, QUANTILES, aggs)
 
 
 def descriptive_sketch(df: DataFrame, spec: MetricSpec) -> DataFrame:

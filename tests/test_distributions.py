@@ -21,17 +21,50 @@ def sample(spark, n=3000, seed=1):
     return spark.createDataFrame(data, "g string, v double, t string"), data
 
 
-@pytest.mark.parametrize("buckets", [None, 2, 16])
-def test_exact_quantiles_match_numpy(spark, buckets):
+@pytest.mark.parametrize("margin", [prefix.MARGIN, 0.01, 0.2])
+def test_exact_quantiles_match_numpy(spark, margin):
     df, data = sample(spark)
     probs = {"a": 0.25, "b": 0.9, "lo": 0.0, "hi": 1.0}
-    got = {r["g"]: r for r in prefix.exact_quantiles(df, ["g"], ["v"], probs, buckets).collect()}
+    got = {r["g"]: r for r in prefix.exact_quantiles(df, ["g"], ["v"], probs, margin=margin).collect()}
     for g in {d[0] for d in data}:
         values = [d[1] for d in data if d[0] == g]
         for name, q in (("a", 25), ("b", 90), ("lo", 0), ("hi", 100)):
             assert got[g][f"v_{name}"] == pytest.approx(np.percentile(values, q))
 
 
+@pytest.mark.parametrize("shape", ["uniform", "ties", "sorted", "wild"])
+def test_exact_quantiles_of_large_groups_shuffle_little(spark, shape):
+    """Equal to numpy in a group far above the size that is ordered as a whole, and under 5 % of the cells by value."""
+    n, rng = 120_000, np.random.default_rng(5)
+    v = {"uniform": rng.random(n), "ties": rng.integers(0, 7, n).astype(float), "sorted": np.arange(n) * 1.0,
+         "wild": np.exp(rng.normal(0, 30, n)) * rng.choice([-1, 1], n)}[shape]
+    small = np.arange(50) * 0.5
+    df = spark.createDataFrame([(None, float(x)) for x in v] + [("s", float(x)) for x in small], "g string, v double").repartition(7)
+    probs = dict(descriptive.QUANTILES, p999=0.999)
+    got = {r["g"]: r for r in prefix.exact_quantiles(df, ["g"], ["v"], probs).collect()}
+    for g, values in ((None, v), ("s", small)):
+        for name, p in probs.items():
+            assert got[g][f"v_{name}"] == pytest.approx(np.quantile(values, p), rel=1e-12)
+    brackets = prefix.quantile_brackets(df, ["g"], ["v"], list(probs.values()))
+    cells = prefix.bracketed_counts(df, ["g"], ["v"], brackets, len(probs))
+    assert cells.count() < 0.05 * n and cells.agg(F.sum("__n")).first()[0] == n + 50
+    assert "BroadcastHashJoin" in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_with_nan_and_negative_zero(spark):
+    """NaN is larger than every number, in groups that are ordered as a whole and in bracketed ones."""
+    for n in (9, 30_000):
+        df = spark.range(n).selectExpr("if(id % 3 = 0, double('NaN'), if(id % 3 = 1, -0.0d, double('inf'))) AS a")
+        got = prefix.exact_quantiles(df, [], ["a"], {"x": 0.1, "y": 0.5, "z": 0.9}).first()
+        assert got.a_x == 0 and got.a_y == math.inf and math.isnan(got.a_z)
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, a double")
+    assert prefix.exact_quantiles(empty, [], ["a"], {"m": 0.5}).collect()[0].a_m is None
+    assert prefix.exact_quantiles(empty, ["g"], ["a"], {"m": 0.5}).count() == 0
+
+
 def test_quantiles_next_to_infinities(spark):
     df = spark.createDataFrame([(1.0,), (math.inf,), (math.inf,), (math.inf,)], "a double")
     assert prefix.exact_quantiles(df, [], ["a"], {"m": 0.5}).first().a_m == math.inf
