@@ -15,7 +15,7 @@ from outcome_engine import fixtures
 from outcome_engine.functions import sketches, stats
 from outcome_engine.functions.columns import ratio, round_columns, total, weighted_mean
 from outcome_engine.operators import (changes, clean, conversion, descriptive, engagement, event_index, filters, labels,
-                                      merge, ml)
+                                      merge, ml, recommender_state)
 from outcome_engine.operators import clv as clv_ops
 from outcome_engine.plans import customers, pipeline, profile, purchase_models, reports, tables
 from outcome_engine.session import new_folder
@@ -1106,10 +1106,15 @@ def _in_loads(spark, folder, when, loads: int) -> list[DataFrame]:
     return [read.where(F.col("part") == n).drop("part") for n in range(loads)]
 
 
-def _changes_of_loads(spark, folder, spec: MetricSpec) -> DataFrame:
-    """Change records of three loads: each interaction's rows are spread over them, impressions mostly before clicks."""
+def _spread_interactions(spark, folder) -> list[DataFrame]:
+    """Three loads: each interaction's rows are spread over them, impressions mostly before clicks."""
     late = F.when(F.col("Outcome").isin("Clicked", "Conversion"), 1).otherwise(0)
-    parts = _in_loads(spark, folder, F.pmod(F.crc32(F.concat_ws("|", "InteractionID", "Outcome")), F.lit(2)).cast("int") + late, 3)
+    return _in_loads(spark, folder, F.pmod(F.crc32(F.concat_ws("|", "InteractionID", "Outcome")), F.lit(2)).cast("int") + late, 3)
+
+
+def _changes_of_loads(spark, folder, spec: MetricSpec) -> DataFrame:
+    """Change records of three loads."""
+    parts = _spread_interactions(spark, folder)
     records = changes.ChangeRecords(spark, f"changes_{uuid.uuid4().hex}", new_folder(spark, "changes"), spec, parts[0].schema, buckets=16)
     kept = store.AggregateStore(spark, new_folder(spark, "tables"))
     for load, rows in enumerate(parts):
@@ -1129,6 +1134,18 @@ def conv_touchpoints_loads(spark, folder):
     return round_columns(plain_year(_changes_of_loads(spark, folder, CONVERSION)), 4, "Revenue")
 
 
+@query
+def ml_recommender_loads(spark, folder):
+    """Personalization and novelty from the sums of three loads: those of one load."""
+    parts = _spread_interactions(spark, folder)
+    records = recommender_state.RecommenderRecords(spark, f"recommender_{uuid.uuid4().hex}", new_folder(spark, "recommender"), MODEL, parts[0].schema, buckets=16)
+    kept = store.AggregateStore(spark, new_folder(spark, "tables"))
+    for load, rows in enumerate(parts):
+        kept.write_batch(MODEL.name, load, records.changes(rows, load), stream="loads")
+    made = recommender_state.scores_of_records(kept.read(MODEL.name), MODEL)
+    return round_columns(plain_year(made), 8, "personalization", "novelty")
+
+
 @query
 def dedup_event_loads(spark, folder):
     """Every event comes in two of three loads; the index lets its first one through."""

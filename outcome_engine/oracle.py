@@ -685,6 +685,8 @@ shaped AS (SELECT CASE event_type WHEN 'view' THEN 'Impression' WHEN 'click' THE
 kept AS (SELECT *, CASE WHEN Outcome = 'Clicked' THEN 1 ELSE 0 END AS label FROM shaped
   QUALIFY label = max(label) OVER (PARTITION BY k))""", counts("strftime(ts, '%Y-%m-%d') AS \"Day\", Kind", "kept"))
 ORACLE["inc_merge_files"] = ORACLE["inc_merge"]
+add("ml_recommender_loads", FINE_MODEL, f"""SELECT {MODEL_KEYS}, "Count", round(personalization, 8) + 0.0::DOUBLE AS personalization,
+  round(novelty, 8) AS novelty FROM fine_model""")
 ORACLE["lab_best_outcome_loads"], ORACLE["conv_touchpoints_loads"] = ORACLE["eng_agg"], ORACLE["conv_agg"]
 ORACLE["dedup_event_loads"] = ORACLE["dedup_event"]
 add("inc_dedup", "", EVENTS)

@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from outcome_engine.operators import changes, clean, conversion, engagement, event_index
+from outcome_engine.operators import changes, clean, conversion, engagement, event_index, ml, recommender_state
 from outcome_engine.operators.merge import compact, regroup
 from outcome_engine.plans import pipeline
 from outcome_engine.sources.load_log import LoadLog
@@ -187,3 +187,51 @@ def test_one_sided_loads_are_kept(spark, tmp_path):
     kept.append("engagement", batch(spark, "web", 4, 0))
     kept.append("engagement", batch(spark, "web", 0, 4))
     assert pipeline.report(kept, ReportSpec(CLICKS, ("Channel",))).first().CTR == 0.5
+
+
+# ---- recommender scores -----------------------------------------------------------------------------
+
+SCORED = MetricSpec("model_ml_scores", ("Channel",), positive=("Clicked",), negative=("Impression",))
+
+
+def test_recommender_records_add_up_to_one_load(spark, tmp_path):
+    names = F.concat(F.lit("offer"), F.pmod(F.crc32(F.concat_ws("|", "InteractionID", "Revenue")), F.lit(7)))
+    data = made(11)
+    whole = spark.createDataFrame(data, IH).withColumn("Name", F.when(F.col("Revenue") > 0, names))
+    records = recommender_state.RecommenderRecords(spark, "rec_scores", f"file://{tmp_path}/rec", SCORED, whole.schema, buckets=4)
+    bounds = [0, 130, 130, 400]  # the second load is empty
+    for load, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        part = spark.createDataFrame(data[a:b], IH).withColumn("Name", F.when(F.col("Revenue") > 0, names))
+        for _ in range(2 if load == 2 else 1):  # a load that is repeated changes nothing
+            records.changes(part, load).write.mode("overwrite").parquet(f"{tmp_path}/out/load={load}")
+        stored = spark.read.parquet(f"{tmp_path}/out").drop("load")
+        so_far = spark.createDataFrame(data[:b], IH).withColumn("Name", F.when(F.col("Revenue") > 0, names))
+        expected = rows(ml.recommender_scores(ml.scored_rows(so_far, SCORED), SCORED.keys), "Channel")
+        for found in (stored, recommender_state.compact_records(stored, SCORED)):
+            got = rows(recommender_state.scores_of_records(found, SCORED), "Channel")
+            assert [(r["Channel"], r["Count"]) for r in got] == [(r["Channel"], r["Count"]) for r in expected]
+            for g, e in zip(got, expected):
+                assert (g["personalization"], g["novelty"]) == pytest.approx((e["personalization"], e["novelty"]), abs=1e-12)
+
+
+def test_recommender_records_shrink_lists_and_customers(spark, tmp_path):
+    schema = IH + ", Name string"
+    empty = spark.createDataFrame([], schema)
+    records = recommender_state.RecommenderRecords(spark, "rec_small", f"file://{tmp_path}/r", SCORED, empty.schema, buckets=2)
+
+    def load(number, *data):
+        spark_rows = spark.createDataFrame([(i, a, 1, o, "web", "Test", s, None, 0.0, n) for i, a, o, s, n in data], schema)
+        records.changes(spark_rows, number).write.parquet(f"{tmp_path}/out/load={number}")
+        return [(r.Count, round(r.personalization, 9), round(r.novelty, 9)) for r in recommender_state.scores_of_records(
+            spark.read.parquet(f"{tmp_path}/out").drop("load"), SCORED).collect()]
+
+    assert load(0, ("1", "a", "Impression", "s", "x"), ("1", "a", "Impression", "t", "x")) == []  # no positive as yet
+    # the click takes the place of both impressions: customers s and t go, u comes, the list has one row
+    assert load(1, ("1", "a", "Clicked", "u", "y")) == [(1, 0.0, 0.0)]
+    # two customers with different items: nothing in common
+    assert load(2, ("2", "a", "Impression", "v", "z")) == [(2, 1.0, 1.0)]
+
+
+def test_recommender_records_take_no_other_family(spark, tmp_path):
+    with pytest.raises(ValueError, match="no recommender scores"):
+        recommender_state.RecommenderRecords(spark, "none", f"file://{tmp_path}/n", CLICKS, spark.createDataFrame([], IH).schema)
