@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import uuid
 import zipfile
@@ -129,28 +130,34 @@ def src_gzip(spark, folder):
     return _customers_by_segment(files.read_json(spark, target, CUSTOMER_SCHEMA))
 
 
-def zipped(lines: DataFrame) -> DataFrame:
-    """(path, content): each Arrow batch becomes a zip with two JSON members without final newline."""
+def write_zips(lines: DataFrame, target: str) -> None:
+    """Each Arrow batch becomes a zip file with two JSON members without final newline, named by its content."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for i, pdf in enumerate(frames):
+        storage, place = files.open_storage(target)
+        storage.create_dir(place, recursive=True)
+        for pdf in frames:
             rows = list(pdf["line"])
             half = len(rows) // 2
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("b.json", "\n".join(rows[half:]))
-                archive.writestr("a.json", "\n".join(rows[:half]))
-                archive.writestr("readme.txt", "not data")
-            yield pd.DataFrame({"path": [f"export-{i}.zip"], "content": [buffer.getvalue()]})
+                for name, text in (("b.json", "\n".join(rows[half:])), ("a.json", "\n".join(rows[:half])), ("readme.txt", "not data")):
+                    archive.writestr(zipfile.ZipInfo(name), text, zipfile.ZIP_DEFLATED)
+            name = f"export-{hashlib.md5(chr(10).join(rows).encode()).hexdigest()}.zip"
+            with storage.open_output_stream(f"{place}/{name}") as out:
+                out.write(buffer.getvalue())
+            yield pd.DataFrame({"name": [name]})
 
-    return lines.mapInPandas(pack, "path string, content binary")
+    lines.mapInPandas(pack, "name string").write.format("noop").mode("overwrite").save()
 
 
 @query
 def src_archive(spark, folder):
+    """Zip files in the shared folder, their members read in parallel."""
     rows = fixtures.table(spark, folder, "customer")
-    archives = zipped(rows.select(F.to_json(F.struct(*rows.columns)).alias("line")))
-    return _customers_by_segment(files.parse_lines(files.expand_archives(archives), CUSTOMER_SCHEMA))
+    target = new_folder(spark, "archives")
+    write_zips(rows.select(F.to_json(F.struct(*rows.columns)).alias("line")), target)
+    return _customers_by_segment(files.read_archives(spark, f"{target}/*.zip", CUSTOMER_SCHEMA))
 
 
 @query

@@ -56,6 +56,40 @@ def test_archives(spark, archives):
         read("bad.zip")
 
 
+def test_archives_by_member(spark, tmp_path):
+    many = files.LINES_PER_BATCH * 2 + 7
+    with zipfile.ZipFile(tmp_path / "big one.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for m in range(4):
+            z.writestr(f"{m}.json", "\n".join(json.dumps({"a": i, "b": str(m)}) for i in range(many if m == 0 else 5)))
+        z.writestr("empty.json", "")
+    lines = files.archive_lines(spark, str(tmp_path / "big one.zip"), parts=5)
+    assert lines.rdd.getNumPartitions() == 5 and lines.select(F.spark_partition_id()).distinct().count() == 4
+    read = files.read_archives(spark, str(tmp_path / "big one.zip"), SCHEMA)
+    assert {r.b: r["count"] for r in read.groupBy("b").count().collect()} == {"0": many, "1": 5, "2": 5, "3": 5}
+    listed = files.archive_members(spark.createDataFrame([(str(tmp_path / "big one.zip"),)], "path string"))
+    assert sorted(r.member for r in listed.collect()) == ["0.json", "1.json", "2.json", "3.json", "empty.json"]
+    whole = spark.read.format("binaryFile").load(str(tmp_path / "big one.zip"))
+    assert files.expand_archives(whole).count() == many + 15
+
+
+def test_broken_lines_raise(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "broken.zip", "w") as z:
+        z.writestr("a.json", LINES[0] + "\n{broken")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        files.read_archives(spark, str(tmp_path / "broken.zip"), SCHEMA).collect()
+    lines = files.archive_lines(spark, str(tmp_path / "broken.zip"))
+    assert sorted((r.a is None, r.b) for r in files.parse_lines(lines, SCHEMA, "PERMISSIVE").collect()) == [(False, "v0"), (True, None)]
+    with tarfile.open(tmp_path / "none.tgz", "w:gz") as t:
+        t.addfile(tarfile.TarInfo("notes.txt"))
+    with pytest.raises(Exception, match="no JSON member"):
+        files.read_archives(spark, str(tmp_path / "none.tgz"), SCHEMA).collect()
+
+
+def test_storage_of_paths():
+    for path in ("/tmp/a b/c.zip", "file:/tmp/a b/c.zip", "file:///tmp/a b/c.zip"):
+        assert files.open_storage(path)[1] == "/tmp/a b/c.zip"
+
+
 def test_unsupported(spark):
     with pytest.raises(ValueError, match="not supported"):
         files.read_records(spark, "x.xlsx", "xlsx")
