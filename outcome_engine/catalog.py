@@ -44,6 +44,8 @@ MODEL = MetricSpec("model_ml_scores", ("Month", "Year", "Quarter", "Channel", "C
 PURCHASES = MetricSpec("clv", ("ControlGroup",), customer_id_col="CustomerID", purchase_date_col="PurchasedDateTime",
                        lifespan=9, segment_map="retail_banking")
 AS_OF = "2002-01-01"
+BGNBD_PARAMS = (0.8, 120.0, 0.9, 2.4)
+GAMMA_PARAMS = (2.5, 3.5, 900.0)
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -1051,6 +1053,20 @@ def clv_gammagamma(spark, folder):
     return purchase_models.value_by_segment(stored_rfm(spark, folder), 1)
 
 
+@query
+def clv_bgnbd_loglik(spark, folder):
+    """Log-likelihood of given BG/NBD parameters."""
+    made = purchase_models.loglik_by_segment(rfm(spark, folder), "bgnbd", BGNBD_PARAMS)
+    return round_columns(made, 5, "loglik")
+
+
+@query
+def clv_gammagamma_loglik(spark, folder):
+    """Log-likelihood of given Gamma-Gamma parameters."""
+    made = purchase_models.loglik_by_segment(rfm(spark, folder), "gamma_gamma", GAMMA_PARAMS)
+    return round_columns(made, 5, "loglik")
+
+
 # ---- profiling ----------------------------------------------------------------------------------------------------
 
 

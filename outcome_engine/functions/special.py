@@ -25,6 +25,30 @@ def lgamma(x) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series / y - np.log(product)
 
 
+def _shifted(x, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """x moved up to at least 10, and the sum of 1 / (x + i)^power over the steps."""
+    x = np.asarray(x, dtype=float)
+    shift = np.maximum(0, np.ceil(10.0 - x)).astype(int)
+    steps = np.zeros_like(x)
+    for i in range(int(shift.max(initial=0))):
+        steps = steps + np.where(i < shift, 1.0 / (x + i) ** power, 0.0)
+    return x + shift, steps
+
+
+def digamma(x) -> np.ndarray:
+    """Derivative of log Gamma for x > 0: that of the Stirling series, term by term."""
+    y, steps = _shifted(x, 1)
+    series = sum(c * (2 * k + 1) / y ** (2 * k + 2) for k, c in enumerate(STIRLING))
+    return np.log(y) - 0.5 / y - series - steps
+
+
+def trigamma(x) -> np.ndarray:
+    """Second derivative of log Gamma for x > 0."""
+    y, steps = _shifted(x, 2)
+    series = sum(c * (2 * k + 1) * (2 * k + 2) / y ** (2 * k + 3) for k, c in enumerate(STIRLING))
+    return 1.0 / y + 0.5 / y**2 + series + steps
+
+
 def hyp2f1(a, b, c, z, terms: int = 20000, tol: float = 1e-15) -> np.ndarray:
     """Gauss series for 0 <= z < 1; elements leave the loop once their term no longer counts. Raises if one is left."""
     a, b, c, z = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, c, z)))

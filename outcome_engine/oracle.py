@@ -650,6 +650,17 @@ add("clv_density", f"""{RFM}, span AS (SELECT min(recency) AS rl, max(recency) A
   CAST(least(floor((frequency - fl) / (fh - fl) * 60), 59) AS INTEGER) AS y_bin, round(sum(lifetime_value), 2) AS value, count(*) AS n
 FROM rfm CROSS JOIN span GROUP BY ALL""")
 
+add("clv_bgnbd_loglik", f"""{RFM}, p AS (SELECT *, 0.8::DOUBLE AS r, 120.0::DOUBLE AS alpha, 0.9::DOUBLE AS a, 2.4::DOUBLE AS b, frequency::DOUBLE AS x
+  FROM rfm WHERE frequency > 0 AND recency > 0),
+terms AS (SELECT *, lgamma(r + x) - lgamma(r) + r * ln(alpha) + lgamma(a + b) + lgamma(b + x) - lgamma(b) - lgamma(a + b + x) AS base,
+  -(r + x) * ln(alpha + tenure) AS alive, ln(a / (b + x - 1)) - (r + x) * ln(alpha + recency) AS dead FROM p)""",
+    """SELECT rfm_segment, count(*) AS customers, round(sum(base + greatest(alive, dead) + ln(1 + exp(-abs(alive - dead)))), 5) AS loglik
+FROM terms GROUP BY ALL""")
+add("clv_gammagamma_loglik", f"""{RFM}, p AS (SELECT *, 2.5::DOUBLE AS p, 3.5::DOUBLE AS q, 900.0::DOUBLE AS v, frequency::DOUBLE AS x, monetary_value::DOUBLE AS m
+  FROM rfm WHERE frequency > 0 AND monetary_value > 0)""",
+    """SELECT rfm_segment, count(*) AS customers, round(sum(lgamma(p * x + q) - lgamma(p * x) - lgamma(q) + q * ln(v) + (p * x - 1) * ln(m)
+  + p * x * ln(x) - (p * x + q) * ln(x * m + v)), 5) AS loglik FROM p GROUP BY ALL""")
+
 # ---- profiling --------------------------------------------------------------------------------------------------------
 
 _ITEMS = {"l_partkey": 1, "l_suppkey": 1, "l_linenumber": 1, "l_quantity": 1, "l_extendedprice": 1, "l_discount": 1, "l_tax": 1,

@@ -1,7 +1,7 @@
 """Purchase models: BG/NBD, Pareto/NBD and Gamma-Gamma, fitted by Spark aggregations.
 
 Customers with equal (frequency, recency, tenure) are counted together first. Each optimiser step is
-one Spark job that returns the log-likelihood sums of a small batch of parameter vectors; the driver
+one Spark job that returns the sums of log-likelihood, gradient and Hessian at one point, from exact derivatives; the driver
 only ever holds those sums. Formulas: Fader, Hardie & Lee (2005); Schmittlein, Morrison & Colombo
 (1987); Fader & Hardie (2005, Gamma-Gamma).
 """
@@ -16,8 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outcome_engine.functions import jets
 from outcome_engine.functions.columns import ratio
-from outcome_engine.functions.special import hyp2f1, lgamma
+from outcome_engine.functions.jets import hyp2f1, lgamma, log, logaddexp
+from outcome_engine.session import cut_lineage
 
 DAYS_PER_PERIOD = 30
 CELL = ["frequency", "recency", "tenure"]
@@ -28,137 +30,137 @@ class FittedModel:
     kind: str
     params: tuple[float, ...]
     nll: float
+    errors: tuple[float, ...] = ()  # standard errors of the parameters, from the Hessian of the fitted objective
+    jobs: int = 0  # Spark jobs of the optimiser
 
 
 # ---- log-likelihoods per row ------------------------------------------------------------------
+# Parameters are numbers or jets; histories are arrays.
 
 
-def bgnbd_loglik(params, x, recency, age) -> np.ndarray:
+def bgnbd_loglik(params, x, recency, age):
     r, alpha, a, b = params
-    first = lgamma(r + x) - lgamma(r) + r * np.log(alpha)
+    first = lgamma(r + x) - lgamma(r) + r * log(alpha)
     second = lgamma(a + b) + lgamma(b + x) - lgamma(b) - lgamma(a + b + x)
-    alive = -(r + x) * np.log(alpha + age)
-    dead = np.log(a) - np.log(b + np.maximum(x, 1) - 1) - (r + x) * np.log(alpha + recency)
-    return first + second + np.where(x > 0, np.logaddexp(alive, dead), alive)
+    alive = -(r + x) * log(alpha + age)
+    dead = log(a) - log(b + (np.maximum(x, 1) - 1)) - (r + x) * log(alpha + recency)
+    return first + second + jets.where(x > 0, logaddexp(alive, dead), alive)
 
 
-def _log_pareto_integral(params, x, recency, age) -> np.ndarray:
+def _log_pareto_integral(params, x, recency, age):
     r, alpha, s, beta = params
-    big, gap = max(alpha, beta), abs(alpha - beta)
-    t = r + x if alpha < beta else np.full_like(x, s + 1, dtype=float)
+    below = bool(np.all(jets.value(alpha) < jets.value(beta)))
+    big, gap = (beta, beta - alpha) if below else (alpha, alpha - beta)
+    t = r + x if below else s + 1 + np.zeros_like(x)
     rsx = r + s + x
 
     def part(time):
         # Euler's transform keeps the series terms positive and bounded.
         z = gap / (big + time)
-        return ((1 - t) * np.log1p(-z) + np.log(hyp2f1(np.ones_like(rsx), rsx + 1 - t, rsx + 1, z))
-                - rsx * np.log(big + time))
+        return ((1 - t) * jets.log1p(-z) + log(hyp2f1(np.ones_like(x), rsx + 1 - t, rsx + 1, z))
+                - rsx * log(big + time))
 
     high, low = part(recency), part(age)
-    return high + np.log(np.maximum(-np.expm1(np.minimum(low - high, 0.0)), 1e-300))
+    # A last purchase on the last day leaves no time to have gone since: the integral is 0.
+    some = jets.value(low) < jets.value(high)
+    fall = jets.where(some, low - high, (low - high) * 0.0 - 1.0)
+    return jets.where(some, high + jets.log1mexp(fall), high - 690.0)
 
 
-def pareto_loglik(params, x, recency, age) -> np.ndarray:
+def pareto_loglik(params, x, recency, age):
     r, alpha, s, beta = params
-    lead = lgamma(r + x) - lgamma(r) + r * np.log(alpha) + s * np.log(beta)
-    alive = -(r + x) * np.log(alpha + age) - s * np.log(beta + age)
-    dead = np.log(s) + _log_pareto_integral(params, x, recency, age) - np.log(r + s + x)
-    return lead + np.logaddexp(alive, dead)
+    lead = lgamma(r + x) - lgamma(r) + r * log(alpha) + s * log(beta)
+    alive = -(r + x) * log(alpha + age) - s * log(beta + age)
+    dead = log(s) + _log_pareto_integral(params, x, recency, age) - log(r + s + x)
+    return lead + logaddexp(alive, dead)
 
 
-def gamma_gamma_loglik(params, x, money) -> np.ndarray:
+def gamma_gamma_loglik(params, x, money):
     p, q, v = params
-    return (lgamma(p * x + q) - lgamma(p * x) - lgamma(q) + q * np.log(v) + (p * x - 1) * np.log(money)
-            + p * x * np.log(x) - (p * x + q) * np.log(x * money + v))
+    return (lgamma(p * x + q) - lgamma(p * x) - lgamma(q) + q * log(v) + (p * x - 1) * np.log(money)
+            + p * x * np.log(x) - (p * x + q) * log(v + x * money))
 
 
 # ---- fitting ------------------------------------------------------------------------------------
 
 
-def batch_loglik(cells: DataFrame, loglik: Callable, columns: Sequence[str]) -> Callable:
-    """params batch -> weighted log-likelihood sums, one Spark job per call."""
+def batch_derivatives(cells: DataFrame, loglik: Callable, columns: Sequence[str]) -> Callable:
+    """point (logs of the parameters) -> weighted sums of log-likelihood, gradient and Hessian, one Spark job per call."""
 
-    def evaluate(batch: np.ndarray) -> np.ndarray:
-        vectors = [tuple(map(float, row)) for row in np.exp(batch)]
+    def evaluate(point: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        size, logs = len(point), [float(p) for p in point]
 
         def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = np.zeros(len(vectors))
+            sums = np.zeros(1 + size + size * size)
             for pdf in frames:
                 values = [pdf[c].to_numpy(dtype=float) for c in columns]
                 weight = pdf["n"].to_numpy(dtype=float)
-                with np.errstate(all="ignore"):
-                    sums += [float(np.sum(weight * loglik(v, *values))) for v in vectors]
-            yield pd.DataFrame({"k": np.arange(len(vectors)), "s": sums})
-
-        parts = cells.mapInPandas(partial, "k int, s double")
-        found = parts.groupBy("k").agg(F.sum("s").alias("s")).collect()
-        out = np.full(len(vectors), -np.inf)
-        for row in found:
-            if row["s"] is not None and np.isfinite(row["s"]):
-                out[row["k"]] = row["s"]
-        return out
+                if len(weight):
+                    with np.errstate(all="ignore"):
+                        found = loglik(jets.log_variables(logs), *values).rows(len(weight))
+                        sums += np.concatenate([[found.v @ weight], found.g @ weight, (found.h @ weight).ravel()])
+            yield pd.DataFrame({"k": np.arange(len(sums)), "s": sums})
+
+        parts = cells.mapInPandas(partial, "k int, s double").groupBy("k").agg(F.sum("s").alias("s"))
+        sums = np.full(1 + size + size * size, np.nan)
+        for row in parts.collect():
+            sums[row["k"]] = row["s"]
+        return sums[0], sums[1:1 + size], sums[1 + size:].reshape(size, size)
 
     return evaluate
 
 
-FLAT = 1e-4  # slope below which a point that no step improves counts as the optimum
+FLAT = 1e-7  # slope below which a point counts as the optimum
+HALVINGS = 8
 
 
-def minimise(objective: Callable, start: np.ndarray, rounds: int = 40, step: float = 1e-3,
-             tol: float = 1e-10) -> tuple[np.ndarray, float]:
-    """Damped Newton on log-parameters; all difference points of a round are one batch.
+def minimise(objective: Callable, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float, np.ndarray, int]:
+    """Damped Newton over (value, gradient, Hessian): point, value, Hessian there and the number of calls.
 
-    Returns only a point where the last step gained less than `tol` or the slope is flat; otherwise it raises.
+    A step that does not lower the value is shortened. Returns only a point with a flat slope, or one that no step improves
+    although its slope is nearly flat; otherwise it raises.
     """
-    point, size = np.asarray(start, dtype=float), len(start)
-    eye = np.eye(size) * step
-    pairs = [(i, j) for i in range(size) for j in range(i)]
-    best = None
+    point = np.asarray(start, dtype=float)
+    best, gradient, hessian = objective(point)
+    calls = 1
     for _ in range(rounds):
-        batch = [point] + [point + s * eye[i] for i in range(size) for s in (1, -1)]
-        batch += [point + s * (eye[i] + eye[j]) for i, j in pairs for s in (1, -1)]
-        f = objective(np.array(batch))
-        best = f[0]
-        up, down = f[1:1 + 2 * size:2], f[2:2 + 2 * size:2]
-        gradient = (up - down) / (2 * step)
-        hessian = np.diag((up + down - 2 * f[0]) / step**2)
-        for n, (i, j) in enumerate(pairs):
-            both, neither = f[1 + 2 * size + 2 * n], f[2 + 2 * size + 2 * n]
-            mixed = (both - up[i] - up[j] + 2 * f[0] - down[i] - down[j] + neither) / (2 * step**2)
-            hessian[i, j] = hessian[j, i] = mixed
-        if not np.all(np.isfinite(hessian)):
+        if not (np.isfinite(best) and np.all(np.isfinite(gradient)) and np.all(np.isfinite(hessian))):
             raise ArithmeticError(f"the likelihood is not finite around {point}")
-        if np.max(np.abs(gradient)) < 1e-8:
-            return point, float(best)
+        if np.max(np.abs(gradient)) < FLAT:
+            return point, float(best), hessian, calls
         values, vectors = np.linalg.eigh(hessian)
         floor = max(1e-8, 1e-6 * np.max(np.abs(values)))
-        newton = -vectors @ ((vectors.T @ gradient) / np.maximum(np.abs(values), floor))
-        newton *= min(1.0, 3.0 / max(np.max(np.abs(newton)), 1e-12))
-        descent = -gradient / max(np.max(np.abs(gradient)), 1e-12)
-        moves = [newton * s for s in (1.0, 0.5, 0.25, 0.1, 0.02)] + [descent * s for s in (0.5, 0.1, 0.01)]
-        tried = objective(np.array([point + m for m in moves]))
-        pick = int(np.argmin(tried))
-        if not tried[pick] < best:
-            if np.max(np.abs(gradient)) < FLAT:
-                return point, float(best)
+        move = -vectors @ ((vectors.T @ gradient) / np.maximum(np.abs(values), floor))
+        move *= min(1.0, 3.0 / max(np.max(np.abs(move)), 1e-12))
+        for _ in range(HALVINGS):
+            tried = objective(point + move)
+            calls += 1
+            if np.isfinite(tried[0]) and tried[0] < best and np.all(np.isfinite(tried[2])):
+                break
+            move = move * 0.25
+        else:
+            if np.max(np.abs(gradient)) < 1000 * FLAT:
+                return point, float(best), hessian, calls
             raise ArithmeticError(f"no step improves the fit at {point}, slope {gradient}")
-        gain, point, best = best - tried[pick], point + moves[pick], tried[pick]
-        if gain < tol:
-            return point, float(best)
+        point, (best, gradient, hessian) = point + move, tried
     raise ArithmeticError(f"no fit after {rounds} rounds; at {point}")
 
 
 def _fit(kind: str, cells: DataFrame, loglik: Callable, columns: Sequence[str], start: Sequence[float],
          penalty: float, count: float) -> FittedModel:
-    evaluate = batch_loglik(cells, loglik, columns)
+    """`start` holds logs of the parameters."""
+    evaluate = batch_derivatives(cells, loglik, columns)
 
-    def objective(batch: np.ndarray) -> np.ndarray:
+    def objective(point: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         with np.errstate(all="ignore"):
-            value = -evaluate(batch) / count + penalty * np.sum(np.exp(batch) ** 2, axis=1)
-        return np.where(np.isfinite(value), value, 1e300)
+            total, gradient, hessian = evaluate(point)
+            squares = penalty * np.exp(2 * point)
+            return -total / count + squares.sum(), -gradient / count + 2 * squares, -hessian / count + np.diag(4 * squares)
 
-    point, best = minimise(objective, np.array(start, dtype=float))
-    return FittedModel(kind, tuple(float(v) for v in np.exp(point)), best)
+    point, best, hessian, calls = minimise(objective, np.array(start, dtype=float))
+    params = np.exp(point)
+    spread = np.sqrt(np.maximum(np.diag(np.linalg.pinv(hessian)), 0.0) / count)
+    return FittedModel(kind, tuple(params.tolist()), best, tuple((params * spread).tolist()), calls)
 
 
 def purchase_cells(rfm: DataFrame) -> DataFrame:
@@ -167,38 +169,35 @@ def purchase_cells(rfm: DataFrame) -> DataFrame:
             .groupBy(*[F.col(c).cast("double").alias(c) for c in CELL]).agg(F.count("*").alias("n")))
 
 
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Cells written once and dealt evenly: they are few bytes, but each costs long series, so they must not share one task."""
+    return cut_lineage(cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def fit_purchases(rfm: DataFrame, kind: str = "bgnbd", penalty: float = 0.001) -> FittedModel:
     """BG/NBD or Pareto/NBD. Times are scaled to a longest tenure of 10 while fitting."""
-    cells = purchase_cells(rfm).persist()
-    try:
-        longest, count = cells.agg(F.max("tenure"), F.sum("n")).first()
-        if not count:
-            raise ValueError("no customer with repeat purchases")
-        scale = 10.0 / longest
-        scaled = cells.withColumns({"recency": F.col("recency") * scale, "tenure": F.col("tenure") * scale})
-        loglik = {"bgnbd": bgnbd_loglik, "pareto": pareto_loglik}[kind]
-        found = _fit(kind, scaled, loglik, CELL, (0.1, 0.1, 0.1, 0.1), penalty, count)
-    finally:
-        cells.unpersist()
-    p = list(found.params)
-    for i in (1,) if kind == "bgnbd" else (1, 3):
-        p[i] /= scale
-    return FittedModel(kind, tuple(p), found.nll)
+    cells = _dealt(purchase_cells(rfm))
+    longest, count = cells.agg(F.max("tenure"), F.sum("n")).first()
+    if not count:
+        raise ValueError("no customer with repeat purchases")
+    scale = 10.0 / longest
+    scaled = cells.withColumns({"recency": F.col("recency") * scale, "tenure": F.col("tenure") * scale})
+    loglik = {"bgnbd": bgnbd_loglik, "pareto": pareto_loglik}[kind]
+    found = _fit(kind, scaled, loglik, CELL, (0.1, 0.1, 0.1, 0.1), penalty, count)
+    times = (1,) if kind == "bgnbd" else (1, 3)
+    params, errors = ([v / scale if i in times else v for i, v in enumerate(vs)] for vs in (found.params, found.errors))
+    return FittedModel(kind, tuple(params), found.nll, tuple(errors), found.jobs)
 
 
 def fit_gamma_gamma(rfm: DataFrame, penalty: float = 0.01) -> FittedModel:
-    cells = (rfm.filter((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
-             .groupBy(F.col("frequency").cast("double").alias("frequency"),
-                      F.col("monetary_value").cast("double").alias("monetary_value"))
-             .agg(F.count("*").alias("n"))).persist()
-    try:
-        count = cells.agg(F.sum("n")).first()[0]
-        if not count:
-            raise ValueError("no customer with repeat purchases")
-        return _fit("gamma_gamma", cells, gamma_gamma_loglik, ["frequency", "monetary_value"],
-                    (0.5, 0.5, 0.5), penalty, count)
-    finally:
-        cells.unpersist()
+    cells = _dealt(rfm.filter((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
+                   .groupBy(F.col("frequency").cast("double").alias("frequency"),
+                            F.col("monetary_value").cast("double").alias("monetary_value"))
+                   .agg(F.count("*").alias("n")))
+    count = cells.agg(F.sum("n")).first()[0]
+    if not count:
+        raise ValueError("no customer with repeat purchases")
+    return _fit("gamma_gamma", cells, gamma_gamma_loglik, ["frequency", "monetary_value"], (0.5, 0.5, 0.5), penalty, count)
 
 
 # ---- prediction -----------------------------------------------------------------------------------
@@ -265,6 +264,20 @@ def with_expected_purchases(rfm: DataFrame, model: FittedModel, days: float) ->
     return buyers.withColumn("expected_number_of_purchases", expected_purchases(model, days)(*CELL))
 
 
+def loglik_by_segment(rfm: DataFrame, kind: str, params: Sequence[float]) -> DataFrame:
+    """Log-likelihood of given parameters per segment: to compare models, or one model on other customers."""
+    columns = ["frequency", "monetary_value"] if kind == "gamma_gamma" else CELL
+    loglik = {"bgnbd": bgnbd_loglik, "pareto": pareto_loglik, "gamma_gamma": gamma_gamma_loglik}[kind]
+
+    @F.pandas_udf("double")
+    def each(*values: pd.Series) -> pd.Series:
+        return pd.Series(loglik(tuple(params), *(v.to_numpy(dtype=float) for v in values)))
+
+    buyers = rfm.filter((F.col("frequency") > 0) & (F.col(columns[1]) > 0))
+    cells = buyers.groupBy("rfm_segment", *columns).agg(F.count("*").alias("n"))
+    return cells.groupBy("rfm_segment").agg(F.sum("n").alias("customers"), F.sum(F.col("n") * each(*columns)).alias("loglik"))
+
+
 def purchases_by_segment(rfm: DataFrame, kind: str = "bgnbd", years: int = 1) -> DataFrame:
     """Mean expected purchases per segment; predictions are made once per distinct history."""
     model = fit_purchases(rfm, kind)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outcome_engine.functions.special import hyp2f1, lgamma
 from outcome_engine.operators import clv
+from outcome_engine.functions import jets, special
 from outcome_engine.plans import customers, purchase_models
 from outcome_engine.spec import MetricSpec
 
@@ -152,6 +153,9 @@ def test_special_functions():
 
     x = np.array([0.01, 0.5, 3.3, 12.0, 400.0])
     assert np.allclose(lgamma(x), [math.lgamma(v) for v in x], rtol=1e-13, atol=1e-13)
+    assert special.digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-13)
+    assert special.digamma(0.25) == pytest.approx(-0.5772156649015329 - math.pi / 2 - 3 * math.log(2), abs=1e-12)
+    assert special.trigamma(1.0) == pytest.approx(math.pi**2 / 6, abs=1e-13)
     assert hyp2f1(1, 1, 2, 0.5) == pytest.approx(2 * math.log(2))
     assert hyp2f1(0.5, 1.0, 1.5, 0.81) == pytest.approx(math.atanh(0.9) / 0.9)
 
@@ -173,6 +177,34 @@ def test_fit_is_an_optimum_and_matches_numpy(spark):
     assert all(nll(best * np.exp(rng.normal(0, s, 4))) >= fitted.nll - 1e-9 for s in (0.01, 0.1, 0.5) for _ in range(40))
 
 
+@pytest.mark.parametrize("loglik, point, money", [
+    (purchase_models.bgnbd_loglik, (0.3, 1.1, -0.4, 0.7), False), (purchase_models.pareto_loglik, (0.3, 1.1, -0.4, 0.7), False),
+    (purchase_models.pareto_loglik, (0.3, 0.7, -0.4, 1.1), False), (purchase_models.pareto_loglik, (0.1, 0.1, 0.1, 0.1), False),
+    (purchase_models.gamma_gamma_loglik, (0.5, 0.9, 1.5), True)])
+def test_derivatives_are_exact(loglik, point, money):
+    x = np.array([1.0, 2.0, 7.0, 3.0])
+    history = (x, np.array([3.0, 10.0, 55.0, 0.5])) if money else (x, np.array([0.5, 3.0, 6.0, 8.0]), np.array([9.0, 4.0, 6.5, 8.0]))
+    point, step = np.array(point), 1e-4
+    found = loglik(jets.log_variables(point), *history)
+    assert np.allclose(found.v, loglik(np.exp(point), *history), atol=1e-10)
+    for i in range(len(point)):
+        move = np.eye(len(point))[i] * step
+        up, down = (loglik(jets.log_variables(point + s * move), *history) for s in (1, -1))
+        assert np.allclose(found.g[i], (up.v - down.v) / (2 * step), atol=1e-6)
+        assert np.allclose(found.h[i], (up.g - down.g) / (2 * step), atol=1e-5)
+
+
+@pytest.mark.parametrize("kind", ["bgnbd", "pareto"])
+def test_fits_take_few_jobs_and_give_errors(spark, kind):
+    data = simulated(1500)
+    df = spark.createDataFrame([(x, float(t), float(age)) for x, t, age in data], "frequency long, recency double, tenure double")
+    fitted = purchase_models.fit_purchases(df, kind)
+    assert fitted.jobs <= 15 and len(fitted.errors) == 4 and all(e > 0 for e in fitted.errors)
+    twice = purchase_models.fit_purchases(df.union(df).union(df).union(df), kind)  # four times the data: half the error
+    assert twice.params == pytest.approx(fitted.params, rel=1e-4)
+    assert np.array(twice.errors) == pytest.approx(np.array(fitted.errors) / 2, rel=1e-3)
+
+
 def test_expected_purchases_against_integration():
     """E by quadrature over the posterior of rate and dropout."""
     params, x, recency, age, t = (1.2, 20.0, 0.8 + 1.0, 2.5), 3.0, 50.0, 100.0, 60.0
