@@ -1070,8 +1070,8 @@ def clv_gammagamma_loglik(spark, folder):
 # ---- profiling ----------------------------------------------------------------------------------------------------
 
 
-def _profile(spark, folder) -> DataFrame:
-    return profile.schema_profile(fixtures.table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "order_id"))
+def _profile(spark, folder, approximate: bool = False) -> DataFrame:
+    return profile.schema_profile(fixtures.table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "order_id"), approximate=approximate)
 
 
 @query
@@ -1081,6 +1081,26 @@ def prof_schema(spark, folder):
                          8, "min", "max", "mean", "median")
 
 
+@query
+def prof_sketch(spark, folder):
+    """The profile of one scan: what is exact in it, and whether each estimate lies within its bound of the exact value."""
+    near, exact = _profile(spark, folder, approximate=True), _profile(spark, folder).select(
+        "column", F.col("unique_count").alias("__n"))
+    lines = fixtures.table(spark, folder, "lineitem")
+    names = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    middle = near.where(F.col("column").isin(names)).groupBy().pivot("column", names).agg(F.first("median"))
+    at = middle.select(F.struct(*names)).scalar()
+    ranks = lines.select(*names, at.alias("__m")).agg(*[
+        F.struct(F.avg((F.col(n) < F.col(f"__m.{n}")).cast("double")).alias("low"),
+                 F.avg((F.col(n) <= F.col(f"__m.{n}")).cast("double")).alias("high")).alias(n) for n in names])
+    held = ranks.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"{n}.low"), F.col(f"{n}.high")) for n in names])).alias("r")).select("r.*")
+    made = near.join(exact, "column").join(held, "column", "left")
+    return round_columns(made.select(
+        "column", "most_occurring", "min", "max", "mean",
+        (F.abs(F.col("unique_count") - F.col("__n")) <= F.greatest(F.lit(1.0), 0.2 * F.col("__n"))).alias("unique_close"),
+        ((F.col("low") <= 0.51) & (F.col("high") >= 0.49)).alias("median_close")), 8, "min", "max", "mean")
+
+
 @query
 def prof_classify(spark, folder):
     return profile.classify_fields(_profile(spark, folder)).select("column", "field_tags")

