@@ -6,6 +6,9 @@ character trigram model and the costs of the channel like best. A word without a
 
 Every distinct restored word has a toxicity: the largest log-ratio of its features (the word and its beginnings)
 between toxic and clean labelled documents. A logistic model turns the strongest words of a document into its score.
+
+All labelled documents outside the held-out fold teach, with their whole texts: tasks count and Spark adds up. The driver
+holds the model only: character trigrams, the features that speak for toxic, and seven weights.
 """
 
 from __future__ import annotations
@@ -13,21 +16,23 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest_hashes
+from .common import slices, stored, strings
 from .language import fold
 
-SAMPLE = 4_000  # labelled documents that the model is fitted on, at most
-SAMPLE_CHARS = 20_000  # longer texts are scored whole, but not learned from
 CACHE = 300_000  # words whose toxicity a task remembers before it starts anew
+COUNTED = 300_000  # counts that a task holds before it hands them on
 BEGINNINGS = (4, 5, 6)
 STRONGEST = 5
+TELLING = 0.5  # log-ratio above which a word counts
 
 # fixed values: letters that a digit or sign may stand for
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -39,18 +44,37 @@ REPEATED = re.compile(r"([^\W\d_])\1\1")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
+def trigrams_of(words: Counter) -> Counter:
+    """Every character of the words and the end of each, after the two before it."""
+    found: Counter = Counter()
+    for word, n in words.items():
+        line = "  " + word + " "
+        for i in range(2, len(line)):
+            found[line[i - 2:i + 1]] += n
+    return found
+
+
+def plain_words(tokens: Counter) -> Counter:
+    """Counts of the words in counts of lower-case tokens, without what may be a disguise."""
+    found: Counter = Counter()
+    for token, n in tokens.items():
+        word = token.strip(EDGE)
+        if word.isalpha() and not REPEATED.search(word):
+            found[word] += n
+    return found
+
+
 class CharacterModel:
     """Trigram probabilities of characters in words, mixed with those of shorter contexts."""
 
-    def __init__(self, words: Counter):
+    def __init__(self, words: Counter, trigrams: Counter | None = None):
+        """From counts of words, or of their trigrams."""
         self.grams: tuple[Counter, ...] = (Counter(), Counter(), Counter())
         self.contexts: tuple[Counter, ...] = (Counter(), Counter(), Counter())
-        for word, n in words.items():
-            line = "  " + word + " "
-            for i in range(2, len(line)):
-                for k in range(3):
-                    self.grams[k][line[i - k:i + 1]] += n
-                    self.contexts[k][line[i - k:i]] += n
+        for gram, n in (trigrams_of(words) if trigrams is None else trigrams).items():
+            for k in range(3):
+                self.grams[k][gram[2 - k:]] += n
+                self.contexts[k][gram[2 - k:2]] += n
         self.known: dict[str, float] = {}
 
     def log(self, context: str, char: str) -> float:
@@ -92,13 +116,14 @@ def lattice(token: str, signs_are_letters: bool = False) -> list[list[tuple[str,
 def decode(token: str, model: CharacterModel, signs_are_letters: bool = False) -> str:
     """The likeliest reading of a lattice, in time linear in its length: readings are kept as chains back to the start."""
     beams: dict[str, tuple[float, tuple]] = {"  ": (0.0, ())}
+    known = model.known
     for options in [*lattice(token, signs_are_letters), [(" ", 0.0)]]:
         after: dict[str, tuple[float, tuple]] = {}
         for context, (score, chain) in beams.items():
             for reading, cost in options:
                 now, last = score - cost, context
                 for char in reading:
-                    now += model.log(last, char)
+                    now += known[last + char] if last + char in known else model.log(last, char)
                     last = ("  " if char == " " else last[1] + char)
                 if last not in after or now > after[last][0]:
                     after[last] = (now, (chain, reading))
@@ -128,6 +153,11 @@ def meanings(token: str, model: CharacterModel) -> set[str]:
     return found
 
 
+def may_spell(tokens: list[str]) -> bool:
+    """Whether three tokens in a row have one character; without that nothing is spelled."""
+    return b"\1\1\1" in bytes([len(x) == 1 for x in tokens])
+
+
 def spelled_words(text: str, model: CharacterModel) -> list[str]:
     """Words that stand in a lower-case text letter by letter."""
     found: list[str] = []
@@ -141,16 +171,26 @@ def features(word: str) -> list[str]:
     return [word] + [word[:n] + "*" for n in BEGINNINGS if len(word) > n]
 
 
+def strongest(values: list[float]) -> list[float]:
+    found = sorted(values, reverse=True)[:STRONGEST]
+    return found + [0.0] * (STRONGEST - len(found))
+
+
+def described(values: list[float], words: int) -> np.ndarray:
+    return np.array([*strongest(values), math.log1p(words), 1.0])
+
+
 @dataclass
 class ToxicityModel:
     characters: CharacterModel | None = None
     evidence: dict[str, float] = field(default_factory=dict)
     beginnings: set[str] = field(default_factory=set)  # of all words that have evidence
     weights: np.ndarray | None = None  # of strongest words and log length, last the constant
-    cache: dict[str, float] = field(default_factory=dict)
+    cache: dict[str, float] = field(default_factory=dict)  # tokens of over TELLING
+    harmless: set[str] = field(default_factory=set)  # all others met
 
     def learn(self, evidence: dict[str, float]) -> None:
-        self.evidence, self.cache = evidence, {}
+        self.evidence, self.cache, self.harmless = evidence, {}, set()
         self.beginnings = {f[:BEGINNINGS[0]] for f in evidence}
 
     def plain_score(self, word: str) -> float:
@@ -159,26 +199,35 @@ class ToxicityModel:
         return max([self.evidence.get(f, 0.0) for f in features(word)])
 
     def word_score(self, token: str) -> float:
-        if token.isalpha() and not REPEATED.search(token):
-            return self.plain_score(token)
+        core = token.strip(EDGE)
+        if core.isalpha() and not REPEATED.search(core):
+            return self.plain_score(core)
         return max([self.plain_score(w) for w in meanings(token, self.characters)], default=0.0)
 
+    def telling(self, tokens: set[str], score: Callable[[str], float]) -> list[float]:
+        """The scores of the tokens that tell."""
+        if len(self.cache) + len(self.harmless) > CACHE:
+            self.cache, self.harmless = {}, set()
+        found = []
+        for token in tokens - self.harmless:
+            if token not in self.cache:
+                x = score(token)
+                if x <= TELLING:
+                    self.harmless.add(token)
+                    continue
+                self.cache[token] = x
+            found.append(self.cache[token])
+        return found
+
     def describe(self, text: str) -> np.ndarray:
         """Strongest words' toxicity, falling, then log of the number of distinct words, then 1."""
         text = text.lower()
-        words = set(text.split())
-        missing = [x for x in words if x not in self.cache]
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache = {}
-            missing = words
-        for word in missing:
-            self.cache[word] = self.word_score(word)
-        values = [x for x in map(self.cache.__getitem__, words) if x > 0.5]
-        if SPELLED.search(text):
-            values += [x for w in set(spelled_words(text, self.characters)) if (x := self.plain_score(w)) > 0.5]
-        values.sort(reverse=True)
-        strongest = values[:STRONGEST]
-        return np.array([*strongest, *[0.0] * (STRONGEST - len(strongest)), math.log1p(len(words)), 1.0])
+        tokens = text.split()
+        words = set(tokens)
+        values = self.telling(words, self.word_score)
+        if may_spell(tokens):
+            values += [x for w in set(spelled_words(text, self.characters)) if (x := self.plain_score(w)) > TELLING]
+        return described(values, len(words))
 
     def score(self, text: str) -> float:
         if self.weights is None:
@@ -186,45 +235,54 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.describe(text) @ self.weights, -30, 30))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Newton's method with a ridge on all but the constant."""
-    penalty = np.full(x.shape[1], ridge)
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Newton's method with a ridge on all but the constant. `sums` gives slope and curvature of the log-likelihood at a point."""
+    penalty = np.full(size, ridge)
     penalty[-1] = 1e-6
-    beta = np.zeros(x.shape[1])
+    beta = np.zeros(size)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - penalty * beta
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), grad)
+        slope, curvature = sums(beta)
+        step = np.linalg.solve(curvature + np.diag(penalty), slope - penalty * beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
     return beta
 
 
-def gather_evidence(seen: list[np.ndarray], labels: np.ndarray, names: list[str]) -> dict[str, float]:
+def derivatives(x: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    return x.T @ (weight * (y - p)), (x * (weight * p * (1 - p))[:, None]).T @ x
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return newton(lambda beta: derivatives(x, y, weight, beta), x.shape[1])
+
+
+def evidence_of(names: list[str], count: np.ndarray, size: np.ndarray) -> dict[str, float]:
     """Log-ratio of each feature's share among toxic and among clean documents, where it speaks for toxic.
-    `seen` has the numbers of each document's features."""
-    count = [np.bincount(np.concatenate([np.zeros(0, np.int64), *[x for x, y in zip(seen, labels) if y == v]]), minlength=len(names))
-             for v in (0, 1)]
-    size = [max(1, int((labels == v).sum())) for v in (0, 1)]
+    `count` has a row for clean and one for toxic documents, `size` the numbers of these."""
+    size = np.maximum(size, 1)
     ratio = np.log((count[1] + 1) / (size[1] + 2)) - np.log((count[0] + 1) / (size[0] + 2))
-    return {names[i]: float(ratio[i]) for i in np.flatnonzero((ratio > 0.5) & (count[1] > 1))}
+    return {names[i]: float(ratio[i]) for i in np.flatnonzero((ratio > TELLING) & (count[1] > 1))}
+
+
+def gather_evidence(seen: list[np.ndarray], labels: np.ndarray, names: list[str]) -> dict[str, float]:
+    """`seen` has the numbers of each document's features."""
+    count = np.array([np.bincount(np.concatenate([np.zeros(0, np.int64), *[x for x, y in zip(seen, labels) if y == v]]), minlength=len(names))
+                      for v in (0, 1)])
+    return evidence_of(names, count, np.array([(labels == v).sum() for v in (0, 1)]))
 
 
 def train(texts: list[str], labels: list[int], weights: list[float]) -> ToxicityModel:
-    """The logistic model sees each half of the documents with the evidence of the other half, so that it learns what
-    evidence is worth on new documents; the words' final evidence is that of all documents."""
+    """`fit` for a list of texts, with weights. The logistic model sees each half of the documents with the evidence of the
+    other half, so that it learns what evidence is worth on new documents; the words' final evidence is that of all documents."""
     if len(set(labels)) < 2:
         return ToxicityModel()
     y, w = np.array(labels), np.array(weights)
-    words: Counter = Counter()
-    for text in texts:
-        words.update(x for x in (t.strip(EDGE) for t in text.lower().split()) if x.isalpha() and not REPEATED.search(x))
-    model = ToxicityModel(CharacterModel(words))
+    model = ToxicityModel(CharacterModel(plain_words(Counter(t for text in texts for t in text.lower().split()))))
     seen, numbers = [], {}
-    for text in map(str.lower, texts):
-        restored = {r for t in set(text.split()) for r in meanings(t, model.characters)} | set(spelled_words(text, model.characters))
-        found = {f for r in restored if r for f in features(r)}
+    for text in texts:
+        found = {f for words in restored(text, model.characters, {})[0] for r in words.split(" ") for f in features(r)}
         seen.append(np.array([numbers.setdefault(f, len(numbers)) for f in found], np.int64))
     names = list(numbers)
     half, rows = np.arange(len(texts)) % 2 == 0, np.zeros((len(texts), STRONGEST + 2))
@@ -237,28 +295,190 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> Toxicity
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, bound: int = SAMPLE) -> ToxicityModel:
-    """Learn from at most `bound` labelled documents outside the held-out fold, half of each class where there are enough.
-
-    They are picked by a hash of doc_id. A document with several labels counts as toxic if one says so. Null labels,
-    doc_ids and texts, and texts of over SAMPLE_CHARS characters, teach nothing.
+# ---- learning from all labelled documents ----------------------------------------------------------
+
+
+def restored(text: str, characters: CharacterModel, cache: dict[str, str]) -> tuple[list[str], int]:
+    """What each distinct token of a text means, its words with spaces between them, then the words that are spelled; and
+    the number of distinct tokens."""
+    text = text.lower()
+    tokens = text.split()
+    distinct = set(tokens)
+    if len(cache) > CACHE:
+        cache.clear()
+    for token in [x for x in distinct if x not in cache]:
+        core = token.strip(EDGE)
+        plain = core.isalpha() and not REPEATED.search(core)
+        cache[token] = core if plain else " ".join(sorted(meanings(token, characters)))
+    found = [x for x in map(cache.__getitem__, distinct) if x]
+    if may_spell(tokens):
+        found += set(spelled_words(text, characters))
+    return found, len(distinct)
+
+
+def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens, grams = Counter(), Counter()
+    for batch in slices(batches):
+        for text in strings(batch, "text"):
+            tokens.update(text.lower().split())
+            if len(tokens) > COUNTED:
+                grams.update(trigrams_of(plain_words(tokens)))
+                tokens.clear()
+            if len(grams) > COUNTED:
+                yield pa.RecordBatch.from_pydict({"gram": list(grams), "n": list(grams.values())})
+                grams.clear()
+    grams.update(trigrams_of(plain_words(tokens)))
+    yield pa.RecordBatch.from_pydict({"gram": list(grams), "n": list(grams.values())})
+
+
+def learn_characters(taught: DataFrame) -> CharacterModel:
+    counted = taught.select("text").mapInArrow(count_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return CharacterModel(Counter(), Counter({r["gram"]: r["n"] for r in counted.collect()}))
+
+
+def restore_texts(taught: DataFrame, characters: CharacterModel) -> DataFrame:
+    """(part, words, tokens): what the texts mean, restored once. A part is twice the half plus the label."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, str] = {}
+        for batch in slices(batches):
+            rows = [restored(x, characters, cache) for x in strings(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in rows], pa.list_(pa.string())),
+                                              pa.array([n for _, n in rows], pa.int32())], ["part", "words", "tokens"])
+
+    return taught.select("part", "text").mapInArrow(made, "part int, words array<string>, tokens int")
+
+
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, part, n): documents of a part that have a feature."""
+    known: dict[str, tuple[str, ...]] = {}
+    counts = [Counter() for _ in range(4)]
+
+    def full() -> Iterator[pa.RecordBatch]:
+        for part, found in enumerate(counts):
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([part] * len(found), pa.int32()),
+                                              pa.array(list(found.values()), pa.int64())], ["feature", "part", "n"])
+            found.clear()
+
+    for batch in slices(batches):
+        for part, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            distinct = set(words)
+            if len(known) > CACHE:
+                known.clear()
+            for x in [x for x in distinct if x not in known]:
+                known[x] = tuple({f for w in x.split(" ") for f in features(w)})
+            counts[part].update(set().union(*map(known.__getitem__, distinct)))
+            if sum(map(len, counts)) > COUNTED:
+                yield from full()
+    yield from full()
+
+
+def learn_evidence(texts: DataFrame, size: np.ndarray) -> list[dict[str, float]]:
+    """The evidence of the first half of the documents, of the second, and of all. Only features that are evidence in
+    one of them come to the driver."""
+    parts = [f"n{p}" for p in range(4)]
+    counted = texts.select("part", "words").mapInArrow(count_features, "feature string, part int, n long").groupBy("feature").agg(
+        *[F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).alias(name) for p, name in enumerate(parts)])
+    views = [([0], [1]), ([2], [3]), ([0, 2], [1, 3])]  # parts of clean and of toxic documents
+
+    def speaks(clean: list[int], toxic: list[int]) -> Column:
+        found = [sum(F.col(parts[p]) for p in ps) for ps in (clean, toxic)]
+        share = [(n + 1) / F.lit(max(1.0, size[ps].sum()) + 2) for n, ps in zip(found, (clean, toxic))]
+        # the driver takes the logarithms; a little less is asked here, so that rounding loses nothing
+        return (share[1] > share[0] * math.exp(TELLING - 1e-6)) & (found[1] > 1)
+
+    rows = counted.where(speaks(*views[0]) | speaks(*views[1]) | speaks(*views[2])).toArrow()
+    names, count = rows.column("feature").to_pylist(), np.array([rows.column(p).to_numpy() for p in parts], float)
+    return [evidence_of(names, np.array([count[ps].sum(axis=0) for ps in view]), np.array([size[ps].sum() for ps in view]))
+            for view in views]
+
+
+def describe_texts(texts: DataFrame, first: ToxicityModel, second: ToxicityModel) -> DataFrame:
+    """(toxic, tokens, s0 to s4, n): the rows of the logistic model, equal ones counted. `first` scores the first half."""
+    names = [f"s{i}" for i in range(STRONGEST)]
+
+    def counted(found: Counter) -> pa.RecordBatch:
+        columns = list(zip(*[(*row, n) for row, n in found.items()])) or [()] * (STRONGEST + 3)
+        types = [pa.int32(), pa.int32(), *[pa.float64()] * STRONGEST, pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["toxic", "tokens", *names, "n"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in slices(batches):
+            for part, words, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                model = (first, second)[part // 2]
+                # tokens of one meaning count one by one
+                value = {w: x for w in set(words) if (x := best(model, w)) > TELLING}
+                found[(part % 2, tokens, *strongest([value[w] for w in words if w in value]))] += 1
+            if len(found) > COUNTED:
+                yield counted(found)
+                found.clear()
+        yield counted(found)
+
+    def best(model: ToxicityModel, words: str) -> float:
+        if words in model.harmless:
+            return 0.0
+        if words not in model.cache:
+            if len(model.cache) + len(model.harmless) > CACHE:
+                model.cache, model.harmless = {}, set()
+            model.cache[words] = max([model.plain_score(w) for w in words.split(" ")])
+            if model.cache[words] <= TELLING:
+                del model.cache[words]
+                model.harmless.add(words)
+                return 0.0
+        return model.cache[words]
+
+    schema = f"toxic int, tokens int, {', '.join(f'{n} double' for n in names)}, n long"
+    return texts.select("part", "words", "tokens").mapInArrow(made, schema).groupBy("toxic", "tokens", *names).agg(F.sum("n").alias("n"))
+
+
+def learn_weights(rows: DataFrame) -> np.ndarray:
+    """One job for each step of Newton's method; the driver gets sums."""
+    size = STRONGEST + 2
+
+    def sums(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = np.zeros(size + size * size)
+            for pdf in frames:
+                x = np.column_stack([pdf[f"s{i}"] for i in range(STRONGEST)] + [np.log1p(pdf["tokens"]), np.ones(len(pdf))])
+                slope, curvature = derivatives(x, pdf["toxic"].to_numpy(float), pdf["n"].to_numpy(float), beta)
+                found += np.concatenate([slope, curvature.ravel()])
+            yield pd.DataFrame({"k": np.arange(len(found)), "s": found})
+
+        added = np.zeros(size + size * size)
+        for r in rows.mapInPandas(partial, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
+            added[r["k"]] = r["s"]
+        return added[:size], added[size:].reshape(size, size)
+
+    return newton(sums, size)
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5) -> ToxicityModel:
+    """Learn from the whole texts of all labelled documents outside the held-out fold, as `train` does; a hash deals the halves.
+
+    A document with several labels counts as toxic if one says so. Null labels, doc_ids and texts teach nothing; a doc_id
+    that repeats teaches with each of its texts.
     """
-    known = labels.where(F.col("toxic").isNotNull() & (fold(folds) != held_out)).groupBy("doc_id").agg(
-        F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)")
-    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    rows = []
-    for value in totals:
-        drawn = known.where(F.col("toxic") == value).select(F.xxhash64("doc_id").alias("draw"), "doc_id", "toxic")
-        ids = smallest_hashes(drawn, "draw", bound // 2, totals[value])
-        chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in ids], known.schema)
-        # the sample has at most bound / 2 rows, so it may be sent to all; repeated doc_ids are cut to the bound again
-        rows += docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(
-            F.xxhash64("doc_id", "text"), "doc_id").limit(bound // 2).collect()
-    counts = Counter(r["toxic"] for r in rows)
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    rows = [r for pair in (([r for r in rows if r["toxic"] == v]) for v in (0, 1)) for r in pair]
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows],
-                 [totals[r["toxic"]] / counts[r["toxic"]] / sum(totals.values()) * len(rows) for r in rows])
+    # written first, so that Spark knows how few they are and need not shuffle the texts of all documents
+    known = stored(labels.where(F.col("toxic").isNotNull() & (fold(folds) != held_out)).groupBy("doc_id").agg(
+        F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)"), "labelled")
+    half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int")
+    taught = stored(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(known, "doc_id").select(
+        (2 * half + F.col("toxic")).alias("part"), "text"), "taught")
+    size = np.zeros(4)
+    for r in taught.groupBy("part").count().collect():
+        size[r["part"]] = r["count"]
+    if not size[[0, 2]].sum() or not size[[1, 3]].sum():
+        return ToxicityModel()
+    model = ToxicityModel(learn_characters(taught))
+    texts = stored(restore_texts(taught, model.characters), "restored")
+    of_first, of_second, of_all = learn_evidence(texts, size)
+    halves = [ToxicityModel(), ToxicityModel()]
+    halves[0].learn(of_second)
+    halves[1].learn(of_first)
+    model.weights = learn_weights(stored(describe_texts(texts, *halves), "described"))
+    model.learn(of_all)
+    return model
 
 
 def toxicity_of(model: ToxicityModel, text: Column) -> Column:

@@ -146,6 +146,52 @@ def test_toxicity_of_hard_rows(spark, hard, hard_rows, empty, toxic_tables):
     assert {r.score for r in toxicity.score_toxicity(hard, labels.where("false")).collect()} == {0.0}
 
 
+def brute_evidence(rows, labels, model):
+    counts = {0: Counter(), 1: Counter()}
+    sizes = Counter(labels.values())
+    for i, text in rows:
+        words = {w for t in text.lower().split() for w in toxicity.meanings(t, model.characters)}
+        counts[labels[i]].update({f for w in words for f in toxicity.features(w)})
+    ratio = {f: np.log((n + 1) / (sizes[1] + 2)) - np.log((counts[0][f] + 1) / (sizes[0] + 2)) for f, n in counts[1].items() if n > 1}
+    return {f: x for f, x in ratio.items() if x > 0.5}
+
+
+def test_every_labelled_document_teaches(spark):
+    """More documents than a sample of 4,000 had, one of over 20,000 characters: each word's evidence is that of all of them."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdeiou") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(vocabulary[:200] if i % 3 else vocabulary, k=4))) for i in range(9000)]
+    rows += [(9000 + i, "grobnik " + "stone river " * 2000) for i in range(20)]
+    labels = [(i, int(i % 3 == 0 or i >= 9000)) for i, _ in rows]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    learned = {r.doc_id for r in docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).collect()}
+    expected = brute_evidence([r for r in rows if r[0] in learned], {i: y for i, y in labels if i in learned}, model)
+    assert "grobnik" in expected and len(expected) > 100
+    assert model.evidence == pytest.approx(expected)
+    words = Counter(w for i, text in rows if i in learned for w in text.split())
+    assert model.characters.grams == toxicity.CharacterModel(toxicity.plain_words(words)).grams
+
+
+def test_counts_handed_on_early_add_up(spark, toxic_tables, toxic_model, monkeypatch):
+    monkeypatch.setattr(toxicity, "COUNTED", 20)
+    monkeypatch.setattr(toxicity, "CACHE", 30)
+    model = toxicity.fit(*toxic_tables)
+    assert model.evidence == toxic_model.evidence and model.characters.grams == toxic_model.characters.grams
+    assert model.weights == pytest.approx(toxic_model.weights)
+
+
+def test_weights_are_those_of_one_machine(spark, toxic_tables):
+    """The logistic model over Spark's rows against the same rows in numpy."""
+    rng = np.random.default_rng(2)
+    values = [sorted(x, reverse=True) for x in rng.exponential(1, (300, toxicity.STRONGEST)).round(1).tolist()]
+    rows = [(int(rng.random() < 0.2 + 0.1 * v[0]), int(rng.integers(1, 90)), *v, int(rng.integers(1, 4))) for v in values]
+    names = ", ".join(f"s{i} double" for i in range(toxicity.STRONGEST))
+    found = toxicity.learn_weights(spark.createDataFrame(rows, f"toxic int, tokens int, {names}, n long"))
+    x = np.array([[*r[2:-1], np.log1p(r[1]), 1.0] for r in rows])
+    assert found == pytest.approx(toxicity.logistic(x, np.array([r[0] for r in rows]), np.array([r[-1] for r in rows])))
+
+
 # ------------------------------------------------------------------ main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p><p>no</p>";</script></head><body>
