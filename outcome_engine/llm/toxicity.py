@@ -408,7 +408,7 @@ def describe_texts(texts: DataFrame, first: ToxicityModel, second: ToxicityModel
             for part, words, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 model = (first, second)[part // 2]
                 # tokens of one meaning count one by one
-                value = {w: x for w in set(words) if (x := best(model, w)) > TELLING}
+                value = {w: x for w in set(words) - model.harmless if (x := best(model, w)) > TELLING}
                 found[(part % 2, tokens, *strongest([value[w] for w in words if w in value]))] += 1
             if len(found) > COUNTED:
                 yield counted(found)
