@@ -126,29 +126,72 @@ def where(condition: np.ndarray, a, b):
 
 
 def hyp2f1(a, b, c, z, terms: int = 20000, tol: float = 1e-15):
-    """Gauss series for 0 <= z < 1; for a jet every derivative is summed until it no longer counts. Raises if a row is left."""
-    jets = [x for x in (a, b, c, z) if isinstance(x, Jet)]
-    if not jets:
+    """Gauss series for 0 <= z < 1; for a jet every derivative is summed until it no longer counts. Raises if a row is left.
+
+    The series is summed with its derivatives by its own arguments, a few numbers a row and term; the chain rule to the jets'
+    variables is applied once, to the sums.
+    """
+    if not any(isinstance(x, Jet) for x in (a, b, c, z)):
         return special.hyp2f1(a, b, c, z, terms, tol)
-    n = max(np.size(value(x)) for x in (a, b, c, z))
-    zero = jets[0] * 0.0
-    a, b, c, z = ((x if isinstance(x, Jet) else zero + x).rows(n) for x in (a, b, c, z))
-    term = (zero + 1.0).rows(n)
-    total = Jet(*(np.array(x) for x in (term.v, term.g, term.h)))
+    args = (a, b, c, z)
+    n = max(np.size(value(x)) for x in args)
+    moving = [i for i in range(3) if isinstance(args[i], Jet)]  # arguments that factors (x + k) depend on
+    upper = [i < 2 for i in moving]
+    at = [np.array(np.broadcast_to(np.asarray(value(x), dtype=float), (n,))) for x in args]
+    m, count = len(moving), len(moving) + 1  # the last derivative is that by z
+    pairs = [(i, j) for i in range(count) for j in range(i, count)]
+    out = np.zeros((1 + count + len(pairs), n))
     live = np.arange(n)
+    # coefficient k times z to the power of max(k - 2, 0), since the second derivative by z has this power; z may be 0
+    coefficient = np.ones(n)
+    first, second = np.zeros((m, n)), np.zeros((m, n))  # of the coefficient's logarithm
     for k in range(terms):
-        term = term * ((a + k) * (b + k) / ((c + k) * (k + 1.0)) * z)
-        total.v[live] += term.v
-        total.g[:, live] += term.g
-        total.h[:, :, live] += term.h
+        x = at[3]
+        low, lower = (coefficient, 0.0) if k == 0 else (coefficient * x, coefficient) if k == 1 else (coefficient * x * x, coefficient * x)
+        lowest = coefficient if k > 1 else 0.0
+        part = np.zeros((len(out), live.size))
+        part[0] = low
+        for i in range(m):
+            part[1 + i] = low * first[i]
+        part[count] = k * lower
+        for place, (i, j) in enumerate(pairs, 1 + count):
+            if i < m and j < m:
+                part[place] = low * (first[i] * first[j] + (second[i] if i == j else 0.0))
+            else:
+                part[place] = k * lower * first[i] if i < m else k * (k - 1.0) * lowest
+        whole = out[:, live] + part if live.size < n else out + part
+        if live.size < n:
+            out[:, live] = whole
+        else:
+            out = whole
         if k > 3 and k % 4 == 0:
-            sums = total.at(live)
-            small = np.abs(term.v) <= tol * np.abs(sums.v)
-            for part, whole, axes in ((term.g, sums.g, (0,)), (term.h, sums.h, (0, 1))):
-                small &= np.abs(part).max(axis=axes) <= tol * np.maximum(np.abs(whole).max(axis=axes), np.abs(sums.v))
+            size = np.abs(whole)
+            small = (np.abs(part) <= tol * np.maximum(size, size[0])).all(axis=0)
             if small.any():
                 stay = ~small
-                live, term, a, b, c, z = live[stay], *(x.at(stay) for x in (term, a, b, c, z))
+                live, coefficient, first, second = live[stay], coefficient[stay], first[:, stay], second[:, stay]
+                at = [v[stay] for v in at]
             if live.size == 0:
-                return total
-    raise ArithmeticError(f"the series needs over {terms} terms for z up to {z.v.max()}")
+                break
+        for i, (argument, up) in enumerate(zip(moving, upper)):
+            inverse = 1.0 / (at[argument] + k)
+            first[i] += inverse if up else -inverse
+            second[i] += -inverse * inverse if up else inverse * inverse
+        coefficient = coefficient * ((at[0] + k) * (at[1] + k) / ((at[2] + k) * (k + 1.0)))
+        if k > 1:
+            coefficient = coefficient * at[3]
+    else:
+        raise ArithmeticError(f"the series needs over {terms} terms for z up to {at[3].max()}")
+    places = [*moving, 3]
+    inner = [args[i].rows(n) if isinstance(args[i], Jet) else None for i in places]
+    known = next(x for x in inner if x is not None)
+    g, h = np.zeros_like(known.g), np.zeros_like(known.h)
+    for i, x in enumerate(inner):
+        if x is not None:
+            g += out[1 + i] * x.g
+            h += out[1 + i] * x.h
+    for place, (i, j) in enumerate(pairs, 1 + count):
+        if inner[i] is not None and inner[j] is not None:
+            cross = out[place] * (inner[i].g[:, None] * inner[j].g[None])
+            h += cross if i == j else cross + cross.swapaxes(0, 1)
+    return Jet(out[0], g, h)

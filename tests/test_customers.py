@@ -257,3 +257,40 @@ def test_models_by_segment(spark):
         assert direct[r.rfm_segment] == pytest.approx(r.expected_number_of_purchases)
     values = {r.rfm_segment: r.expected_lifetime_value for r in purchase_models.value_by_segment(df).collect()}
     assert set(values) == {"hot", "s"} and all(v > 0 for v in values.values())
+
+
+@pytest.mark.parametrize("z", [0.0, 0.3, 0.9])
+def test_series_derivatives_cost_no_jet_products_per_term(monkeypatch, z):
+    """Value and derivatives against differences of plain series; jets are multiplied a fixed number of times, not once a term."""
+    import numpy as np
+
+    from outcome_engine.functions import jets
+
+    products = []
+    times = jets.Jet.__mul__
+    monkeypatch.setattr(jets.Jet, "__mul__", lambda x, y: products.append(1) or times(x, y))
+    p = jets.log_variables([0.4, 0.8])
+    start = np.array([v.v[0] for v in p])
+
+    def series(b, c):
+        return jets.hyp2f1(np.ones(1), b, c + b, (b - start[0]) * 0.1 + z)
+
+    found = series(*p)
+    assert len(products) <= 4
+    at, step = np.array([0.4, 0.8]), 1e-4
+
+    def plain(point):
+        return float(series(*(np.array([v]) for v in np.exp(point)))[0])
+
+    def moved(*moves):
+        return plain(at + sum((m * step * np.eye(2)[i] for i, m in moves), np.zeros(2)))
+
+    if z:  # differences step below 0 else, where the plain series is not meant for
+        for i in range(2):
+            assert found.g[i, 0] == pytest.approx((moved((i, 1)) - moved((i, -1))) / (2 * step), rel=1e-6)
+            for j in range(2):
+                mixed = (moved((i, 1), (j, 1)) - moved((i, 1), (j, -1)) - moved((i, -1), (j, 1)) + moved((i, -1), (j, -1))) / (4 * step**2)
+                assert found.h[i, j, 0] == pytest.approx(mixed, rel=1e-4, abs=1e-5)
+    else:  # 1 + b / (b + c) z + ...: only z's derivative is left at 0
+        b, c = start
+        assert found.v[0] == 1 and found.g[:, 0] == pytest.approx([b / (b + c) * 0.1 * b, 0.0])
