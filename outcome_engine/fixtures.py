@@ -14,10 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def interactions(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem x orders x customer x part as interaction history (times already timestamps)."""
+    # orders meet their customers first: the much longer lineitem is shuffled once less
+    ordered = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     joined = (
         table(spark, folder, "lineitem")
-        .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(ordered, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
     outcome = (F.when(F.col("l_returnflag") == "R", "Clicked")

@@ -12,7 +12,8 @@ from outcome_engine.functions import sketches
 from outcome_engine.functions.columns import join_on_nullable, ratio, safe_sqrt, total, weighted_mean
 from outcome_engine.operators.filters import apply_where
 from outcome_engine.operators.prefix import exact_quantiles
-from outcome_engine.spec import MetricSpec
+from outcome_engine.session import new_folder
+from outcome_engine.spec import MetricSpec, unique_in_order
 
 QUANTILES = {"Median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.90, "p95": 0.95}
 SKETCH_QUANTILES = {**QUANTILES, "p0": 0.0, "p100": 1.0}
@@ -36,12 +37,16 @@ def _common(columns, numbers) -> list:
 
 
 def descriptive_exact(df: DataFrame, spec: MetricSpec) -> DataFrame:
-    """Exact statistics in two scans: the first also brackets the quantiles, the second counts and orders inside the brackets."""
+    """Exact statistics in two scans: the first also brackets the quantiles, the second counts and orders inside the brackets.
+    Both read the columns needed from a written table, so what `df` is made of runs once."""
     df = apply_where(df, spec.where)
     columns, numbers = existing_columns(df, spec.columns), numeric_columns(df, spec.columns)
     aggs = _common(columns, numbers) + [F.skewness(c).alias(f"{c}_Skew") for c in numbers]
     if not numbers:
         return df.groupBy(*spec.keys).agg(*aggs)
+    path = new_folder(df.sparkSession, "described")
+    df.select(*unique_in_order(spec.keys, columns)).write.parquet(path)
+    df = df.sparkSession.read.parquet(path)
     return exact_quantiles(df, spec.keys, numbers, QUANTILES, aggs)
 
 

@@ -284,3 +284,23 @@ def test_gain_and_lift_of_a_random_score_is_flat(spark):
     for r in tables.gain_and_lift(bins).collect():
         assert r.gain == pytest.approx(r.sample_fraction) and (r.lift == pytest.approx(1.0) or r.sample_fraction < 1e-6)
     assert tables.roc_curve(bins).count() == 103 and tables.calibration_curve(bins).count() == 26
+
+
+def counted_input(df):
+    """The same rows, and an accumulator of how many of them were made."""
+    made = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    return df.mapInPandas(count, df.schema), made
+
+
+def test_exact_statistics_make_their_input_once(spark):
+    df, made = counted_input(spark.range(300).selectExpr("id % 3 AS g", "CAST(id AS double) AS x"))
+    spec = MetricSpec("descriptive", ("g",), columns=("x",), scores=("Median",), use_sketch=False)
+    found = {r.g: r.x_Median for r in descriptive.descriptive_exact(df, spec).collect()}
+    assert found == {0: 148.5, 1: 149.5, 2: 150.5}
+    assert made.value == 300
