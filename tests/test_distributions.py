@@ -304,3 +304,14 @@ def test_exact_statistics_make_their_input_once(spark):
     found = {r.g: r.x_Median for r in descriptive.descriptive_exact(df, spec).collect()}
     assert found == {0: 148.5, 1: 149.5, 2: 150.5}
     assert made.value == 300
+
+
+def test_scored_rows_make_their_input_once(spark):
+    data = [(str(i % 40), "a", 1, str(i % 7), f"item{i % 5}", "Clicked" if i % 9 == 0 else "Impression", "web", 0.5) for i in range(200)]
+    df, made = counted_input(spark.createDataFrame(data, "InteractionID string, ActionID string, Rank int, SubjectID string, Name string, "
+                                                         "Outcome string, Channel string, Propensity double"))
+    spec = MetricSpec("model_ml_scores", ("Channel",), positive=("Clicked",), negative=("Impression",))
+    once = ml.scored_once(df, spec)
+    assert made.value == 200
+    direct = ml.scored_rows(spark.createDataFrame(data, df.schema), spec).select(*once.columns)
+    assert sorted(once.collect()) == sorted(direct.collect())
