@@ -235,3 +235,18 @@ def test_recommender_records_shrink_lists_and_customers(spark, tmp_path):
 def test_recommender_records_take_no_other_family(spark, tmp_path):
     with pytest.raises(ValueError, match="no recommender scores"):
         recommender_state.RecommenderRecords(spark, "none", f"file://{tmp_path}/n", CLICKS, spark.createDataFrame([], IH).schema)
+
+
+def test_event_index_shuffles_whole_rows_once(spark, tmp_path):
+    index = event_index.EventIndex(spark, "ev_once", f"file://{tmp_path}/ev", buckets=4)
+    first, second = (spark.createDataFrame(made(seed), IH) for seed in (11, 12))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index.dedup(first, 0).count()
+        lines = index.dedup(second, 1)._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert "Exchange" not in index.new_keys(1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    join, window = (next(i for i, line in enumerate(lines) if name in line) for name in ("SortMergeJoin", "Window ["))
+    assert join < window and not any("Exchange" in line for line in lines[join:window])
