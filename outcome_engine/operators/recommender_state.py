@@ -17,7 +17,7 @@ from outcome_engine.operators.changes import changed_cells, interaction_cells
 from outcome_engine.operators.filters import apply_where
 from outcome_engine.operators.labels import label_outcomes
 from outcome_engine.operators.ml import EPS
-from outcome_engine.session import cut_lineage
+from outcome_engine.session import written
 from outcome_engine.sources.load_log import KEY, LoadLog, key_digest
 from outcome_engine.spec import INTERACTION_ID, NAME, SUBJECT_ID, MetricSpec, unique_in_order
 
@@ -58,8 +58,8 @@ class RecommenderRecords:
         labelled = label_outcomes(apply_where(ih, self.spec.where), self.spec.positive, self.spec.negative)
         self.cells.write(load, interaction_cells(labelled, self.dims, ()))
         changed = changed_cells(self.cells.before_with_keys_of(load), self.cells.of(load), self.dims, ())
-        changed = cut_lineage(changed.groupBy(*self.dims).agg(F.sum("Count").alias("rows"), F.sum("Positives").alias("positives"))
-                              .where("rows <> 0 OR positives <> 0"))
+        changed = written(changed.groupBy(*self.dims).agg(F.sum("Count").alias("rows"), F.sum("Positives").alias("positives"))
+                          .where("rows <> 0 OR positives <> 0"), "changed")
 
         def counted(owner: list[str], names: list[str]) -> DataFrame:
             some = changed.groupBy(*unique_in_order(owner, names)).agg(F.sum("rows").alias("rows")).where("rows <> 0")
@@ -87,10 +87,11 @@ class RecommenderRecords:
     def _item_changes(self, load: int) -> DataFrame:
         both = _before_and_after(self.pairs, load, unique_in_order(self.spec.keys, NAME))
         owner = Window.partitionBy(KEY)
+        # the ordered window first: its order serves the others, which then need no sort of their own
+        both = both.withColumn("first", F.row_number().over(owner.orderBy(F.col(NAME).asc_nulls_first())) == 1)
         for when in ("before", "after"):
             n = F.col(when).cast("double")
             both = both.withColumn(f"norm_{when}", F.sqrt(F.sum(n * n).over(owner)))
-        both = both.withColumn("first", F.row_number().over(owner.orderBy(F.col(NAME).asc_nulls_first())) == 1)
 
         def unit(when: str):
             return F.coalesce(ratio(when, f"norm_{when}"), F.lit(0.0))
@@ -98,8 +99,8 @@ class RecommenderRecords:
         def there(when: str):
             return (F.col("first") & (F.col(f"norm_{when}") > 0)).cast("long")
 
-        both = cut_lineage(both.select(*unique_in_order(self.spec.keys, NAME), (F.col("after") - F.col("before")).alias("more"),
-                                       (unit("after") - unit("before")).alias("turn"), (there("after") - there("before")).alias("come")))
+        both = written(both.select(*unique_in_order(self.spec.keys, NAME), (F.col("after") - F.col("before")).alias("more"),
+                                   (unit("after") - unit("before")).alias("turn"), (there("after") - there("before")).alias("come")), "item_changes")
         return self._part(both, ITEM, NAME, rows=F.sum("more"), unit=F.sum("turn")).unionByName(
             self._part(both, CUSTOMERS, rows=F.sum("come")))
 

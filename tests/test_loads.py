@@ -250,3 +250,20 @@ def test_event_index_shuffles_whole_rows_once(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     join, window = (next(i for i, line in enumerate(lines) if name in line) for name in ("SortMergeJoin", "Window ["))
     assert join < window and not any("Exchange" in line for line in lines[join:window])
+
+
+def test_item_changes_sort_once(spark, tmp_path, monkeypatch):
+    spec = MetricSpec("model_ml_scores", ("Channel",), positive=("Clicked",), negative=("Impression",))
+    data = [(str(i % 30), "a", 1, "Clicked" if i % 6 == 0 else "Impression", "web", f"c{i % 11}", f"item{i % 4}") for i in range(120)]
+    df = spark.createDataFrame(data, "InteractionID string, ActionID string, Rank int, Outcome string, Channel string, SubjectID string, Name string")
+    plans = {}
+
+    def written(made, label):
+        plans[label] = made._jdf.queryExecution().executedPlan().toString()
+        return made
+
+    monkeypatch.setattr(recommender_state, "written", written)
+    records = recommender_state.RecommenderRecords(spark, "rec_sorts", f"file://{tmp_path}/rec", spec, df.schema, buckets=4)
+    records.changes(df, 0).count()
+    windows = plans["item_changes"].split("Window [", 1)[1]
+    assert windows.split("HashAggregate")[0].count("Sort [") == 1
