@@ -30,6 +30,8 @@ from .language import fold
 
 CACHE = 300_000  # words whose toxicity a task remembers before it starts anew
 COUNTED = 300_000  # counts that a task holds before it hands them on
+WORDS = 100_000  # words whose features are counted at a time, and the rest of a text
+PARTS = [f"n{p}" for p in range(4)]  # columns of the counts of each part of the labelled documents
 BEGINNINGS = (4, 5, 6)
 STRONGEST = 5
 TELLING = 0.5  # log-ratio above which a word counts
@@ -41,6 +43,7 @@ STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in STANDS_FOR) + "«»“”„’‘…–—"
 READ_COST, DROP_COST, BREAK_COST, DIGIT_DROP_COST, KEEP_COST, SHORTEN_COST, SPACE_COST = 1.0, 2.0, 2.0, 6.0, 4.0, 0.5, 2.5
 REPEATED = re.compile(r"([^\W\d_])\1\1")
+LETTERS = re.compile(r"[^\W\d_]+")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
@@ -76,6 +79,8 @@ class CharacterModel:
                 self.grams[k][gram[2 - k:]] += n
                 self.contexts[k][gram[2 - k:2]] += n
         self.known: dict[str, float] = {}
+        self.moves: dict[str, tuple[float, str]] = {}  # by context and a reading of one character or none
+        self.meant: dict[str, set[str]] = {}  # words of the disguised tokens met
 
     def log(self, context: str, char: str) -> float:
         """log P(char | last two characters)."""
@@ -88,6 +93,12 @@ class CharacterModel:
             self.known[key] = math.log(p)
         return self.known[key]
 
+    def move(self, context: str, reading: str) -> tuple[float, str]:
+        """log P(reading | context) of one character or none, and the context after it."""
+        found = (self.log(context, reading), "  " if reading == " " else context[1] + reading) if reading else (0.0, context)
+        self.moves[context + reading] = found
+        return found
+
 
 def lattice(token: str, signs_are_letters: bool = False) -> list[list[tuple[str, float]]]:
     """For each place the possible readings (text, cost). White space marks places where a new word may begin.
@@ -115,17 +126,28 @@ def lattice(token: str, signs_are_letters: bool = False) -> list[list[tuple[str,
 
 def decode(token: str, model: CharacterModel, signs_are_letters: bool = False) -> str:
     """The likeliest reading of a lattice, in time linear in its length: readings are kept as chains back to the start."""
-    beams: dict[str, tuple[float, tuple]] = {"  ": (0.0, ())}
-    known = model.known
-    for options in [*lattice(token, signs_are_letters), [(" ", 0.0)]]:
+    moves = model.moves.get
+    head = LETTERS.match(token)
+    plain = head[0] if head and head[0].isalpha() and not REPEATED.search(head[0]) else ""
+    total, last = 0.0, "  "
+    for char in plain:  # one reading
+        log, last = moves(last + char) or model.move(last, char)
+        total += log
+    beams: dict[str, tuple[float, tuple]] = {last: (total, ((), plain) if plain else ())}
+    for options in [*lattice(token[len(plain):], signs_are_letters), [(" ", 0.0)]]:
         after: dict[str, tuple[float, tuple]] = {}
         for context, (score, chain) in beams.items():
             for reading, cost in options:
-                now, last = score - cost, context
-                for char in reading:
-                    now += known[last + char] if last + char in known else model.log(last, char)
-                    last = ("  " if char == " " else last[1] + char)
-                if last not in after or now > after[last][0]:
+                if len(reading) < 2:
+                    log, last = moves(context + reading) or model.move(context, reading)
+                    now = score - cost + log
+                else:
+                    now, last = score - cost, context
+                    for char in reading:
+                        log, last = moves(last + char) or model.move(last, char)
+                        now += log
+                best = after.get(last)
+                if best is None or now > best[0]:
                     after[last] = (now, (chain, reading))
         beams = after
     chain, parts = max(beams.items(), key=lambda x: (x[1][0], x[0]))[1][1], []
@@ -146,16 +168,21 @@ def restore(token: str, model: CharacterModel) -> str:
 def meanings(token: str, model: CharacterModel) -> set[str]:
     """The words of a token as it was meant, and of its reading with letters for all signs at its ends: whether these belong
     to the word can't be told from three characters."""
+    if token in model.meant:
+        return model.meant[token]
     core = token.strip(EDGE)
     found = set(restore(token, model).split())
     if core and any(c in STANDS_FOR and not c.isalnum() for c in (core[0], core[-1])):
         found |= set(decode(core, model, True).split())
+    if len(model.meant) >= CACHE:
+        model.meant.clear()
+    model.meant[token] = found
     return found
 
 
 def may_spell(tokens: list[str]) -> bool:
     """Whether three tokens in a row have one character; without that nothing is spelled."""
-    return b"\1\1\1" in bytes([len(x) == 1 for x in tokens])
+    return b"\1\1\1" in bytes(map((1).__eq__, map(len, tokens)))
 
 
 def spelled_words(text: str, model: CharacterModel) -> list[str]:
@@ -184,19 +211,25 @@ def described(values: list[float], words: int) -> np.ndarray:
 class ToxicityModel:
     characters: CharacterModel | None = None
     evidence: dict[str, float] = field(default_factory=dict)
-    beginnings: set[str] = field(default_factory=set)  # of all words that have evidence
+    beginnings: dict[str, float] = field(default_factory=dict)  # the evidence of beginnings, without their stars
     weights: np.ndarray | None = None  # of strongest words and log length, last the constant
     cache: dict[str, float] = field(default_factory=dict)  # tokens of over TELLING
     harmless: set[str] = field(default_factory=set)  # all others met
 
     def learn(self, evidence: dict[str, float]) -> None:
         self.evidence, self.cache, self.harmless = evidence, {}, set()
-        self.beginnings = {f[:BEGINNINGS[0]] for f in evidence}
+        self.beginnings = {f[:-1]: x for f, x in evidence.items() if f[-1] == "*" and len(f) - 1 in BEGINNINGS}
 
     def plain_score(self, word: str) -> float:
-        if word[:BEGINNINGS[0]] not in self.beginnings:
-            return 0.0
-        return max([self.evidence.get(f, 0.0) for f in features(word)])
+        """The largest evidence of the word's `features`."""
+        best, size = self.evidence.get(word, 0.0), len(word)
+        for n in BEGINNINGS:
+            if size <= n:
+                break
+            x = self.beginnings.get(word[:n], 0.0)
+            if x > best:
+                best = x
+        return best
 
     def word_score(self, token: str) -> float:
         core = token.strip(EDGE)
@@ -210,13 +243,14 @@ class ToxicityModel:
             self.cache, self.harmless = {}, set()
         found = []
         for token in tokens - self.harmless:
-            if token not in self.cache:
+            x = self.cache.get(token)
+            if x is None:
                 x = score(token)
                 if x <= TELLING:
                     self.harmless.add(token)
                     continue
                 self.cache[token] = x
-            found.append(self.cache[token])
+            found.append(x)
         return found
 
     def describe(self, text: str) -> np.ndarray:
@@ -349,46 +383,75 @@ def restore_texts(taught: DataFrame, characters: CharacterModel) -> DataFrame:
     return taught.select("part", "text").mapInArrow(made, "part int, words array<string>, tokens int")
 
 
-def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, part, n): documents of a part that have a feature."""
-    known: dict[str, tuple[str, ...]] = {}
-    counts = [Counter() for _ in range(4)]
+def distinct_words(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of a batch's lists; for each word of the lists in turn its place among these, and its row."""
+    lists = batch.column(batch.schema.get_field_index("words"))
+    coded = lists.flatten().dictionary_encode()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.repeat(np.arange(batch.num_rows), lengths)
 
-    def full() -> Iterator[pa.RecordBatch]:
-        for part, found in enumerate(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([part] * len(found), pa.int32()),
-                                              pa.array(list(found.values()), pa.int64())], ["feature", "part", "n"])
-            found.clear()
 
-    for batch in slices(batches):
-        for part, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            distinct = set(words)
-            if len(known) > CACHE:
-                known.clear()
-            for x in [x for x in distinct if x not in known]:
-                known[x] = tuple({f for w in x.split(" ") for f in features(w)})
-            counts[part].update(set().union(*map(known.__getitem__, distinct)))
-            if sum(map(len, counts)) > COUNTED:
-                yield from full()
-    yield from full()
+def few_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where their lists pass multiples of WORDS words."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(batch.schema.get_field_index("words")).value_lengths().to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // WORDS)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            yield batch.slice(start, end - start)
+
+
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, n0 to n3): documents of each part that have a feature."""
+    numbers: dict[str, int] = {}
+    known: dict[str, int] = {}  # places of words in `sizes`, the numbers of their features, which `listed` has in turn
+    sizes, listed, counts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), *[pa.array(counts[p:4 * len(numbers):4]) for p in range(4)]],
+                                          ["feature", *PARTS])
+
+    for batch in few_words(batches):
+        if len(numbers) > COUNTED:
+            yield full()
+            numbers.clear()
+            known.clear()
+            sizes, listed, counts = sizes[:0], listed[:0], np.zeros(0, np.int64)
+        words, places, rows = distinct_words(batch)
+        new_sizes, new = [], []
+        for x in words:
+            if x not in known:
+                known[x] = len(known)
+                found = {f for w in x.split(" ") for f in features(w)} if " " in x else set(features(x))
+                new_sizes.append(len(found))
+                new += [numbers.setdefault(f, len(numbers)) for f in found]
+        sizes, listed = np.append(sizes, np.array(new_sizes, np.int64)), np.append(listed, np.array(new, np.int64))
+        if 4 * len(numbers) > len(counts):
+            counts = np.append(counts, np.zeros(8 * len(numbers) - len(counts), np.int64))
+        word = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[places]
+        each, starts = sizes[word], (np.cumsum(sizes) - sizes)[word]
+        # the features of each word in turn: as many as it has, from its start on
+        had = listed[np.repeat(starts - np.cumsum(each) + each, each) + np.arange(each.sum())]
+        pairs = np.sort(np.repeat(rows, each) * len(numbers) + had)
+        row, feature = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], max(1, len(numbers)))
+        np.add.at(counts, 4 * feature + batch.column(0).to_numpy()[row], 1)
+    yield full()
 
 
 def learn_evidence(texts: DataFrame, size: np.ndarray) -> list[dict[str, float]]:
     """The evidence of the first half of the documents, of the second, and of all. Only features that are evidence in
     one of them come to the driver."""
-    parts = [f"n{p}" for p in range(4)]
-    counted = texts.select("part", "words").mapInArrow(count_features, "feature string, part int, n long").groupBy("feature").agg(
-        *[F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).alias(name) for p, name in enumerate(parts)])
+    counted = texts.select("part", "words").mapInArrow(count_features, f"feature string, {', '.join(f'{n} long' for n in PARTS)}").groupBy(
+        "feature").agg(*[F.sum(n).alias(n) for n in PARTS])
     views = [([0], [1]), ([2], [3]), ([0, 2], [1, 3])]  # parts of clean and of toxic documents
 
     def speaks(clean: list[int], toxic: list[int]) -> Column:
-        found = [sum(F.col(parts[p]) for p in ps) for ps in (clean, toxic)]
+        found = [sum(F.col(PARTS[p]) for p in ps) for ps in (clean, toxic)]
         share = [(n + 1) / F.lit(max(1.0, size[ps].sum()) + 2) for n, ps in zip(found, (clean, toxic))]
         # the driver takes the logarithms; a little less is asked here, so that rounding loses nothing
         return (share[1] > share[0] * math.exp(TELLING - 1e-6)) & (found[1] > 1)
 
     rows = counted.where(speaks(*views[0]) | speaks(*views[1]) | speaks(*views[2])).toArrow()
-    names, count = rows.column("feature").to_pylist(), np.array([rows.column(p).to_numpy() for p in parts], float)
+    names, count = rows.column("feature").to_pylist(), np.array([rows.column(p).to_numpy() for p in PARTS], float)
     return [evidence_of(names, np.array([count[ps].sum(axis=0) for ps in view]), np.array([size[ps].sum() for ps in view]))
             for view in views]
 
@@ -405,11 +468,14 @@ def describe_texts(texts: DataFrame, first: ToxicityModel, second: ToxicityModel
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in slices(batches):
-            for part, words, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                model = (first, second)[part // 2]
-                # tokens of one meaning count one by one
-                value = {w: x for w in set(words) - model.harmless if (x := best(model, w)) > TELLING}
-                found[(part % 2, tokens, *strongest([value[w] for w in words if w in value]))] += 1
+            words, places, rows = distinct_words(batch)
+            parts = batch.column(0).to_numpy()
+            value = np.array([[best(model, w) for w in words] for model in (first, second)]).reshape(2, len(words))
+            worth = value[parts[rows] // 2, places]  # tokens of one meaning count one by one
+            telling = worth > TELLING
+            worths = np.split(worth[telling], np.searchsorted(rows[telling], np.arange(1, batch.num_rows)))
+            for part, tokens, values in zip(parts.tolist(), batch.column(2).to_pylist(), worths):
+                found[(part % 2, tokens, *strongest(values.tolist()))] += 1
             if len(found) > COUNTED:
                 yield counted(found)
                 found.clear()

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -347,3 +348,28 @@ def test_pipeline_does_what_its_stages_say(spark, folder, tmp_path):
     final = corpus_pipeline.STAGES[-1][1](spark, left, folder)
     assert {r.doc_id for r in final.collect()} == {r.doc_id for r in left.collect()}
     assert packing.CAPACITY >= max(r.offset + r.length for r in final.collect())
+
+
+def test_decoder_builds_a_lattice_only_behind_the_plain_beginning(rude_model, monkeypatch):
+    built = []
+    monkeypatch.setattr(toxicity, "lattice", lambda token, signs=False, made=toxicity.lattice: built.append(token) or made(token, signs))
+    model = rude_model.characters
+    assert toxicity.decode("reading", model) == "reading"
+    toxicity.decode("reading$$$", model)
+    toxicity.decode("loooong", model)
+    assert built == ["", "$$$", "loooong"]
+
+
+def test_features_are_counted_once_a_document_and_sent_once_a_task(monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 3)
+    parts = [0, 3, 0, 2, 1]
+    words = [["banana", "bananas", "a b", "a"], ["banana"], ["a"], [], ["bandit", "x abcd*", "abcde"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(words, pa.list_(pa.string()))], ["part", "words"])
+    out = list(toxicity.count_features(iter([batch])))
+    found = {row["feature"]: tuple(row[n] for n in toxicity.PARTS) for b in out for row in b.to_pylist()}
+    wanted = {}
+    for part, ws in zip(parts, words):
+        for f in {f for x in ws for w in x.split(" ") for f in toxicity.features(w)}:
+            wanted.setdefault(f, [0] * 4)[part] += 1
+    assert found == {f: tuple(n) for f, n in wanted.items()}
+    assert sum(b.num_rows for b in out) == len(wanted)
