@@ -34,13 +34,18 @@ def interaction_cells(labelled: DataFrame, dims: Sequence[str], sums: Sequence[s
     return cells.withColumn(KEY, key_digest(INTERACTION_KEYS)).drop(*[k for k in INTERACTION_KEYS if k not in dims])
 
 
-def changed_cells(old: DataFrame, new: DataFrame, dims: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Per (interaction, dims) what the best-outcome rule keeps with `new` less what it kept without: Count, Positives, sums."""
+def before_and_after(rows: DataFrame, load: int, names: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Sums per (key, names) over the loads before `load`, and with it. Rows of a log stay in their buckets."""
+    earlier = F.col("load") < int(load)
+    return rows.groupBy(KEY, *names).agg(*[F.sum(F.when(earlier, F.col(m)).otherwise(0)).alias(f"{m}_before") for m in measures],
+                                         *[F.sum(m).alias(f"{m}_after") for m in measures])
+
+
+def changed_cells(met: DataFrame, load: int, dims: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Per (interaction, dims) what the best-outcome rule keeps with the load less what it kept without: Count, Positives, sums.
+    `met` has the load's cells and the earlier ones of its interactions."""
     measures = ["all_rows", "won_rows", *[f"{kind}_{c}" for kind in ("all", "won") for c in sums]]
-    sides = [(when, m) for when in WHEN for m in measures]
-    both = old.select(KEY, *dims, *[F.col(m).alias(f"{m}_{when}") for when, m in sides]).unionByName(
-        new.select(KEY, *dims, *[(F.col(m) if when == "after" else F.lit(0)).alias(f"{m}_{when}") for when, m in sides]))
-    cells = both.groupBy(KEY, *dims).agg(*[F.sum(f"{m}_{when}").alias(f"{m}_{when}") for when, m in sides])
+    cells = before_and_after(met, load, dims, measures)
     for when in WHEN:
         cells = cells.withColumn(f"any_{when}", F.max(f"won_rows_{when}").over(Window.partitionBy(KEY)) > 0)
 
@@ -80,7 +85,7 @@ class ChangeRecords:
         """Aggregates to add for this load: the family's columns, with negative numbers where earlier rows no longer count."""
         labelled = label_outcomes(apply_where(ih, self.spec.where), self.spec.positive, self.spec.negative)
         self.cells.write(load, interaction_cells(labelled, self.dims, self.sums))
-        cells = changed_cells(self.cells.before_with_keys_of(load), self.cells.of(load), self.dims, self.sums)
+        cells = changed_cells(self.cells.met_by(load), load, self.dims, self.sums)
         changed = cells.where(" OR ".join(f"`{c}` <> 0" for c in ("Count", "Positives", *self.sums)))
         if not self.touches:
             return self._summed(changed, ())
@@ -95,15 +100,10 @@ class ChangeRecords:
         """Every kept row carries all touchpoints of its (customer, event): both factors may have changed."""
         affected = self.kept.of(load).select(KEY).union(self.touched.of(load).select(KEY)).dropna()
 
-        def sides(log: LoadLog, names: Sequence[str], measure: str, alias: str) -> DataFrame:
-            old = log.before_with_keys_of(load, affected).select(KEY, *names, F.col(measure).alias(f"{alias}_before"), F.col(measure).alias(f"{alias}_after"))
-            new = log.of(load).dropna(subset=[KEY]).select(KEY, *names, F.lit(0).alias(f"{alias}_before"), F.col(measure).alias(f"{alias}_after"))
-            return old.unionByName(new).groupBy(KEY, *names).agg(*[F.sum(f"{alias}_{when}").alias(f"{alias}_{when}") for when in WHEN])
-
-        rows = sides(self.kept, self.spec.keys, "Count", "rows")
-        touches = sides(self.touched, (), "Touchpoints", "touches")
-        change = F.col("rows_after") * F.col("touches_after") - F.col("rows_before") * F.col("touches_before")
-        return rows.join(touches, KEY).select(*self.spec.keys, change.alias("Touchpoints")).where("Touchpoints <> 0")
+        rows = before_and_after(self.kept.met_by(load, affected), load, self.spec.keys, ["Count"])
+        touches = before_and_after(self.touched.met_by(load, affected), load, (), ["Touchpoints"])
+        change = F.col("Count_after") * F.col("Touchpoints_after") - F.col("Count_before") * F.col("Touchpoints_before")
+        return rows.join(touches.hint("merge"), KEY).select(*self.spec.keys, change.alias("Touchpoints")).where("Touchpoints <> 0")
 
     def _summed(self, changed: DataFrame, more: Sequence[str]) -> DataFrame:
         summed = changed.groupBy(*self.spec.keys).agg(*[total(c).alias(c) for c in ("Count", "Positives", *more)])

@@ -57,7 +57,7 @@ class RecommenderRecords:
         keys = self.spec.keys
         labelled = label_outcomes(apply_where(ih, self.spec.where), self.spec.positive, self.spec.negative)
         self.cells.write(load, interaction_cells(labelled, self.dims, ()))
-        changed = changed_cells(self.cells.before_with_keys_of(load), self.cells.of(load), self.dims, ())
+        changed = changed_cells(self.cells.met_by(load), load, self.dims, ())
         changed = written(changed.groupBy(*self.dims).agg(F.sum("Count").alias("rows"), F.sum("Positives").alias("positives"))
                           .where("rows <> 0 OR positives <> 0"), "changed")
 

@@ -267,3 +267,16 @@ def test_item_changes_sort_once(spark, tmp_path, monkeypatch):
     records.changes(df, 0).count()
     windows = plans["item_changes"].split("Window [", 1)[1]
     assert windows.split("HashAggregate")[0].count("Sort [") == 1
+
+
+def test_changes_of_cells_and_touchpoints_stay_in_their_buckets(spark, tmp_path):
+    data = made(7, 200)
+    records = changes.ChangeRecords(spark, "bucketed", f"file://{tmp_path}/b", BUYS, spark.createDataFrame([], IH).schema, buckets=4)
+    for load in range(2):
+        records.changes(spark.createDataFrame(data[100 * load:100 * load + 100], IH), load).collect()
+    cells = changes.changed_cells(records.cells.met_by(1), 1, records.dims, records.sums)
+    for plan in (df._jdf.queryExecution().executedPlan().toString() for df in (cells, records._touch_changes(1))):
+        assert "SortMergeJoin" in plan and "hashpartitioning(key" not in plan
+    met = records.kept.met_by(1).collect()
+    new = {bytes(r.key) for r in met if r.load == 1}
+    assert new and {r.load for r in met} == {0, 1} and all(bytes(r.key) in new for r in met)
