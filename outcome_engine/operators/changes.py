@@ -25,13 +25,14 @@ from outcome_engine.spec import INTERACTION_KEYS, REVENUE, MetricSpec, unique_in
 WHEN = ("before", "after")
 
 
-def interaction_cells(labelled: DataFrame, dims: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Rows, positives and sums of each (interaction, dims), combined before the shuffle: a hot interaction shrinks to few cells."""
+def interaction_cells(labelled: DataFrame, dims: Sequence[str], sums: Sequence[str], log: LoadLog) -> DataFrame:
+    """Rows, positives and sums of each (interaction, dims). Rows go to the buckets of `log` and are counted there, in one shuffle
+    instead of one for the groups and one for the buckets; a hot interaction streams through one task that holds its few cells."""
     won = F.col(LABEL) == 1
-    cells = labelled.groupBy(*unique_in_order(INTERACTION_KEYS, dims)).agg(
+    keyed = labelled.select(key_digest(INTERACTION_KEYS).alias(KEY), *unique_in_order(dims, LABEL, sums))
+    return log.dealt(keyed).groupBy(KEY, *dims).agg(
         F.count("*").alias("all_rows"), F.count(F.when(won, 1)).alias("won_rows"),
         *[total(c).alias(f"all_{c}") for c in sums], *[total(F.when(won, F.col(c))).alias(f"won_{c}") for c in sums])
-    return cells.withColumn(KEY, key_digest(INTERACTION_KEYS)).drop(*[k for k in INTERACTION_KEYS if k not in dims])
 
 
 def before_and_after(rows: DataFrame, load: int, names: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -84,7 +85,7 @@ class ChangeRecords:
     def changes(self, ih: DataFrame, load: int) -> DataFrame:
         """Aggregates to add for this load: the family's columns, with negative numbers where earlier rows no longer count."""
         labelled = label_outcomes(apply_where(ih, self.spec.where), self.spec.positive, self.spec.negative)
-        self.cells.write(load, interaction_cells(labelled, self.dims, self.sums))
+        self.cells.write(load, interaction_cells(labelled, self.dims, self.sums, self.cells))
         cells = changed_cells(self.cells.met_by(load), load, self.dims, self.sums)
         changed = cells.where(" OR ".join(f"`{c}` <> 0" for c in ("Count", "Positives", *self.sums)))
         if not self.touches:

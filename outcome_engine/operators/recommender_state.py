@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outcome_engine.functions.columns import ratio
-from outcome_engine.operators.changes import changed_cells, interaction_cells
+from outcome_engine.operators.changes import before_and_after, changed_cells, interaction_cells
 from outcome_engine.operators.filters import apply_where
 from outcome_engine.operators.labels import label_outcomes
 from outcome_engine.operators.ml import EPS
@@ -26,10 +26,9 @@ MEASURES = ("rows", "unit", "positives")
 
 
 def _before_and_after(log: LoadLog, load: int, names: list[str]) -> DataFrame:
-    """Rows per (key, names) of what this load touches: without it and with it."""
-    old = log.before_with_keys_of(load).select(KEY, *names, F.col("rows").alias("before"), F.col("rows").alias("after"))
-    new = log.of(load).select(KEY, *names, F.lit(0).cast("long").alias("before"), F.col("rows").alias("after"))
-    return old.unionByName(new).groupBy(KEY, *names).agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    """Rows per (key, names) of what this load touches: without it and with it. They stay in the log's buckets."""
+    both = before_and_after(log.met_by(load), load, names, ["rows"])
+    return both.withColumnsRenamed({"rows_before": "before", "rows_after": "after"})
 
 
 class RecommenderRecords:
@@ -56,17 +55,17 @@ class RecommenderRecords:
         """(keys, part, item, length, rows, unit, positives) to add for this load."""
         keys = self.spec.keys
         labelled = label_outcomes(apply_where(ih, self.spec.where), self.spec.positive, self.spec.negative)
-        self.cells.write(load, interaction_cells(labelled, self.dims, ()))
-        changed = changed_cells(self.cells.met_by(load), load, self.dims, ())
-        changed = written(changed.groupBy(*self.dims).agg(F.sum("Count").alias("rows"), F.sum("Positives").alias("positives"))
-                          .where("rows <> 0 OR positives <> 0"), "changed")
+        self.cells.write(load, interaction_cells(labelled, self.dims, (), self.cells))
+        # neither these changes nor the counts below are combined before they go to their buckets: each is one shuffle
+        changed = changed_cells(self.cells.met_by(load), load, self.dims, ()).withColumnsRenamed({"Count": "rows", "Positives": "positives"})
+        changed = written(changed.where("rows <> 0 OR positives <> 0"), "changed")
 
-        def counted(owner: list[str], names: list[str]) -> DataFrame:
-            some = changed.groupBy(*unique_in_order(owner, names)).agg(F.sum("rows").alias("rows")).where("rows <> 0")
-            return some.withColumn(KEY, key_digest(owner))
+        def count(log: LoadLog, owner: list[str], names: list[str]) -> None:
+            keyed = changed.where("rows <> 0").select(key_digest(owner).alias(KEY), *names, "rows")
+            log.write(load, log.dealt(keyed).groupBy(KEY, *names).agg(F.sum("rows").alias("rows")).where("rows <> 0"))
 
-        self.pairs.write(load, counted(unique_in_order(keys, SUBJECT_ID), unique_in_order(keys, NAME)))
-        self.lists.write(load, counted(unique_in_order(keys, INTERACTION_ID), keys))
+        count(self.pairs, unique_in_order(keys, SUBJECT_ID), unique_in_order(keys, NAME))
+        count(self.lists, unique_in_order(keys, INTERACTION_ID), keys)
         parts = [self._item_changes(load), self._list_changes(load),
                  self._part(changed, LABELS, positives=F.sum("positives"))]
         out = parts[0]

@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from outcome_engine.operators import changes, clean, conversion, engagement, event_index, ml, recommender_state
+from outcome_engine.operators.labels import label_outcomes
 from outcome_engine.operators.merge import compact, regroup
 from outcome_engine.plans import pipeline
 from outcome_engine.sources.load_log import LoadLog
@@ -280,3 +281,35 @@ def test_changes_of_cells_and_touchpoints_stay_in_their_buckets(spark, tmp_path)
     met = records.kept.met_by(1).collect()
     new = {bytes(r.key) for r in met if r.load == 1}
     assert new and {r.load for r in met} == {0, 1} and all(bytes(r.key) in new for r in met)
+
+
+def test_the_log_has_the_sessions_partitions_as_buckets_and_keeps_them(spark, tmp_path):
+    def log(name, partitions):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            return LoadLog(spark, name, f"file://{tmp_path}/log", "n BIGINT", buckets=2)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    first = log("buckets_first", 5)
+    first.write(0, spark.range(40).select(F.md5(F.col("id").cast("string")).cast("binary").alias("key"), F.col("id").alias("n")))
+    again = log("buckets_again", 3)
+    assert (first.buckets, again.buckets) == (5, 5)
+    assert again.of(0).groupBy("key").count().where("count = 1").count() == 40
+
+
+def test_rows_of_a_log_move_once(spark, tmp_path):
+    schema = IH + ", Name string"
+    df = spark.createDataFrame([(*r, f"offer{i % 5}") for i, r in enumerate(made(13, 200))], schema)
+    records = recommender_state.RecommenderRecords(spark, "rec_once", f"file://{tmp_path}/rec", SCORED, df.schema, buckets=4)
+    for load in range(2):
+        records.changes(df, load).collect()
+
+    def exchanges(frame):
+        return frame._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    cells = changes.interaction_cells(label_outcomes(df, SCORED.positive, SCORED.negative), records.dims, (), records.cells)
+    assert exchanges(records.cells.dealt(cells)) == 1
+    for log, names in ((records.pairs, ["Channel", "Name"]), (records.lists, ["Channel"])):
+        assert exchanges(recommender_state._before_and_after(log, 1, names)) == 0
