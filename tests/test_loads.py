@@ -313,3 +313,27 @@ def test_rows_of_a_log_move_once(spark, tmp_path):
     assert exchanges(records.cells.dealt(cells)) == 1
     for log, names in ((records.pairs, ["Channel", "Name"]), (records.lists, ["Channel"])):
         assert exchanges(recommender_state._before_and_after(log, 1, names)) == 0
+
+
+def test_event_index_moves_only_rows_that_share_their_key(spark, tmp_path):
+    def row(i, revenue, channel="web"):
+        return (None if i < 0 else str(i), "a", 1, "Clicked", channel, "Test", None, None, revenue)
+
+    first = [row(i, 1.0) for i in range(50)] + [row(-1, 2.0), row(-1, 1.0)]
+    second = ([row(i, 5.0) for i in range(40, 300)] + [row(i, 3.0, None) for i in range(45, 60)] + [row(i, 4.0) for i in range(55, 60)]
+              + [row(-1, 0.0)] + [row(400, 7.0)] * 4)
+    index = event_index.EventIndex(spark, "ev_marks", f"file://{tmp_path}/ev", buckets=4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = [rows(index.dedup(spark.createDataFrame(first, IH).repartition(3), 0))]
+        found = index.dedup(spark.createDataFrame(second, IH).repartition(5), 1)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        kept.append(rows(found))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Exchange" not in plan[:plan.index("SortMergeJoin")]  # rows that are alone are read and marked in place
+    assert [len(k) for k in kept] == [51, 251]
+    assert {r["InteractionID"]: (r["Channel"], r["Revenue"]) for r in kept[0]} == {**{str(i): ("web", 1.0) for i in range(50)}, None: ("web", 1.0)}
+    best = {str(i): ("web", 5.0) for i in range(50, 300)} | {str(i): (None, 3.0) for i in range(50, 60)} | {"400": ("web", 7.0)}
+    assert {r["InteractionID"]: (r["Channel"], r["Revenue"]) for r in kept[1]} == best
