@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from outcome_engine import fixtures
 from outcome_engine.operators import changes, clean, conversion, engagement, event_index, ml, recommender_state
 from outcome_engine.operators.labels import label_outcomes
 from outcome_engine.operators.merge import compact, regroup
@@ -337,3 +338,19 @@ def test_event_index_moves_only_rows_that_share_their_key(spark, tmp_path):
     assert {r["InteractionID"]: (r["Channel"], r["Revenue"]) for r in kept[0]} == {**{str(i): ("web", 1.0) for i in range(50)}, None: ("web", 1.0)}
     best = {str(i): ("web", 5.0) for i in range(50, 300)} | {str(i): (None, 3.0) for i in range(50, 60)} | {"400": ("web", 7.0)}
     assert {r["InteractionID"]: (r["Channel"], r["Revenue"]) for r in kept[1]} == best
+
+
+def test_interactions_join_parts_before_orders(spark, folder):
+    found = fixtures.interactions(spark, folder)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "l_orderkey" in joins[0] and "l_partkey" in joins[1] and "o_custkey" in joins[2]
+    assert found.count() == fixtures.table(spark, folder, "lineitem").count()
+    counted = {r["Outcome"]: r["count"] for r in found.groupBy("Outcome").count().collect()}
+    raw = fixtures.table(spark, folder, "lineitem").groupBy("l_returnflag", "l_linestatus").count().collect()
+    named = {"R": "Clicked", "A": "Impression"}
+    expected = {}
+    for r in raw:
+        name = named.get(r.l_returnflag) or ("Pending" if r.l_linestatus == "F" else "Conversion")
+        expected[name] = expected.get(name, 0) + r["count"]
+    assert counted == expected
